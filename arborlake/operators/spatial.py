@@ -1,0 +1,263 @@
+"""Similarity clusters of points: bisecting k-means, and groups linked by distance.
+
+Points are summed up per grid cell (count, sums, sums of squares). The cells,
+not the points, are what bisecting k-means splits: over all data, and of
+bounded size, as cells are widened until there are at most ``MOST_CELLS``.
+"""
+
+from __future__ import annotations
+
+import heapq
+import math
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from arborlake.operators.components import connected_components
+from arborlake.runtime import arrow_schema, is_number, written
+
+#: Most cells whose sums the driver holds, and that are broadcast with their leaf.
+MOST_CELLS = 50_000
+#: Compactness limits of a leaf: rows, and root mean square distance to the centre (µm).
+LEAF_ROWS = 100_000
+LEAF_RADIUS = 300.0
+
+
+def located(neurons: DataFrame, eps: float) -> DataFrame:
+    """Rows with a key and finite coordinates, with their cell. Points of one cell lie within ``eps``."""
+    size = eps / math.sqrt(3) * (1 - 1e-9)
+    cell = [F.floor(F.col(c) / size).alias(n) for c, n in zip("xyz", "ijk")]
+    ok = is_number("x") & is_number("y") & is_number("z") & F.col("file_id").isNotNull() & F.col("node_id").isNotNull()
+    far = F.greatest(F.abs("x"), F.abs("y"), F.abs("z")) < 1e15  # cells are longs
+    return neurons.where(ok & far).select("file_id", "node_id", "x", "y", "z", *cell)
+
+
+class Leaves:
+    """Leaves of the bisecting k-means tree over cells of 2**level fine cells a side."""
+
+    def __init__(self, cells: np.ndarray, leaf: np.ndarray, level: int):
+        self.cells, self.leaf, self.level = cells, leaf, level
+
+
+def bisect(n: np.ndarray, sums: np.ndarray, squares: np.ndarray, most_rows: float, radius: float) -> np.ndarray:
+    """Split the node of largest dispersion in two by 2-means until every leaf is compact.
+
+    Input: count, coordinate sums and sum of squares per cell. A leaf is
+    compact with at most ``most_rows`` rows and a root mean square distance of
+    at most ``radius``; a leaf of one cell stays as it is. Returns leaf
+    numbers per cell.
+    """
+    leaf, todo, made = np.zeros(len(n), np.int64), [], 1
+    centre = sums / n[:, None]
+
+    def push(members: np.ndarray, number: int) -> None:
+        rows, total = n[members].sum(), sums[members].sum(0)
+        spread = max(0.0, squares[members].sum() - (total @ total) / rows)
+        if len(members) > 1 and (rows > most_rows or spread / rows > radius * radius):
+            heapq.heappush(todo, (-spread, number, members))
+
+    if len(n):
+        push(np.arange(len(n)), 0)
+    while todo:
+        _, number, members = heapq.heappop(todo)
+        c, w = centre[members], n[members][:, None]
+        mean = (c * w).sum(0) / w.sum()
+        axis = np.argmax((w * (c - mean) ** 2).sum(0))
+        right = c[:, axis] > mean[axis]
+        for _ in range(20):
+            if right.all() or not right.any():
+                break
+            a, b = ((c[side] * w[side]).sum(0) / w[side].sum() for side in (~right, right))
+            now = ((c - b) ** 2).sum(1) < ((c - a) ** 2).sum(1)
+            if (now == right).all():
+                break
+            right = now
+        if right.all() or not right.any():  # equal centres: halve in any way
+            right = np.arange(len(members)) >= len(members) // 2
+        leaf[members[right]] = made
+        push(members[~right], number)
+        push(members[right], made)
+        made += 1
+    return leaf
+
+
+def fit_leaves(points: DataFrame, most_cells: int = MOST_CELLS, leaf_rows: int = LEAF_ROWS, radius: float = LEAF_RADIUS) -> Leaves:
+    """Bisecting k-means over the sums of all points per cell."""
+    x2 = F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z")
+    level, sums = 0, [F.sum(c).alias(f"s{c}") for c in "xyz"]
+    cells = written(points.groupBy("i", "j", "k").agg(F.count(F.lit(1)).alias("n"), *sums, F.sum(x2).alias("sq")))
+    coarse = cells
+    while coarse.count() > most_cells:
+        level += 1
+        coarse = cells.groupBy(*[F.shiftright(c, level).alias(c) for c in "ijk"]).agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sz", "sq")])
+    got = coarse.toPandas().sort_values(["i", "j", "k"])  # at most most_cells rows
+    leaf = bisect(got["n"].to_numpy(float), got[["sx", "sy", "sz"]].to_numpy(float), got["sq"].to_numpy(float), leaf_rows, radius)
+    return Leaves(got[["i", "j", "k"]].to_numpy(np.int64), leaf, level)
+
+
+def leaf_map(points: DataFrame, leaves: Leaves) -> DataFrame:
+    """Leaf of each cell, at most ``MOST_CELLS`` rows: i, j, k (at the leaves' level), leaf."""
+    rows = [(*map(int, c), int(x)) for c, x in zip(leaves.cells, leaves.leaf)]
+    return points.sparkSession.createDataFrame(rows, "ci long, cj long, ck long, leaf long")
+
+
+def _in_leaf(points: DataFrame, mapped: DataFrame, level: int) -> DataFrame:
+    same = (F.shiftright("i", level) == F.col("ci")) & (F.shiftright("j", level) == F.col("cj")) & (F.shiftright("k", level) == F.col("ck"))
+    return points.join(F.broadcast(mapped), same).drop("ci", "cj", "ck")
+
+
+def near(a: np.ndarray, b: np.ndarray, eps: float) -> bool:
+    """Whether some point of a lies within eps of one of b. Exact; boxes are divided until it shows."""
+    limit = eps * eps * (1 + 1e-12)
+    low_a, high_a, low_b, high_b = a.min(0), a.max(0), b.min(0), b.max(0)
+    gap = np.maximum(0, np.maximum(low_a - high_b, low_b - high_a))
+    if gap @ gap > limit:
+        return False
+    reach = np.maximum(high_a - low_b, high_b - low_a)
+    if reach @ reach <= limit:
+        return True
+    if len(a) * len(b) > 4096:
+        out = np.maximum(0, np.maximum(low_b - a, a - high_b))
+        a = a[(out * out).sum(1) <= limit]
+        if not len(a):
+            return False
+        low_a, high_a = a.min(0), a.max(0)
+        out = np.maximum(0, np.maximum(low_a - b, b - high_a))
+        b = b[(out * out).sum(1) <= limit]
+        if not len(b):
+            return False
+    if len(a) * len(b) <= 4096:
+        d = a[:, None] - b[None]
+        return bool(((d * d).sum(2) <= limit).any())
+    if len(a) < len(b):
+        a, b = b, a
+    axis = np.argmax(a.max(0) - a.min(0))
+    order = np.argsort(a[:, axis], kind="stable")
+    halves = [a[order[: len(a) // 2]], a[order[len(a) // 2 :]]]
+    halves.sort(key=lambda h: ((h.mean(0) - b.mean(0)) ** 2).sum())
+    return any(near(h, b, eps) for h in halves)
+
+
+LINKED = "cell long, root long, n long"
+OFFSETS = sorted(
+    ((i, j, k) for i in range(-2, 3) for j in range(-2, 3) for k in range(-2, 3) if (i, j, k) > (0, 0, 0)),
+    key=lambda o: sum(x * x for x in o),
+)
+
+
+def _link_leaf(eps: float):
+    schema = arrow_schema(LINKED)
+
+    def run(table: pa.Table) -> pa.Table:
+        get = {c: table.column(c).to_numpy() for c in ("cell", "i", "j", "k", "x", "y", "z", "node", "own")}
+        order = np.lexsort((get["k"], get["j"], get["i"]))
+        get = {c: v[order] for c, v in get.items()}
+        cells = np.column_stack([get["i"], get["j"], get["k"]])
+        start = np.flatnonzero(np.append(True, (cells[1:] != cells[:-1]).any(1)))
+        end = np.append(start[1:], len(cells))
+        at = {tuple(c): v for v, c in enumerate(cells[start].tolist())}
+        own, xyz = get["own"][start], np.column_stack([get["x"], get["y"], get["z"]])
+        points = [xyz[s:e] for s, e in zip(start, end)]
+        up = list(range(len(start)))
+
+        def root(v: int) -> int:
+            while up[v] != v:
+                up[v] = up[up[v]]
+                v = up[v]
+            return v
+
+        for di, dj, dk in OFFSETS:
+            for (i, j, k), v in at.items():
+                u = at.get((i + di, j + dj, k + dk))
+                if u is None or not (own[u] or own[v]):
+                    continue
+                a, b = root(u), root(v)
+                if a != b and near(points[u], points[v], eps):
+                    up[max(a, b)] = min(a, b)
+        roots = np.array([root(v) for v in range(len(start))], np.int64)
+        n = np.array([len(np.unique(get["node"][s:e])) if o else 0 for s, e, o in zip(start, end, own)], np.int64)
+        ids = get["cell"][start]
+        keep = own | (roots != np.arange(len(start)))
+        return pa.table([pa.array(ids[keep]), pa.array(ids[roots[keep]]), pa.array(n[keep])], schema=schema)
+
+    return run
+
+
+def linked_cells(points: DataFrame, leaves: Leaves, eps: float) -> DataFrame:
+    """Group of each fine cell: cells joined by pairs of points within ``eps``.
+
+    Each leaf is linked on its own, together with the cells of later leaves
+    next to it; so every pair of cells is looked at once. Leaves are joined by
+    the cells they share. Output: cell, group_id, n_nodes (distinct nodes of the cell).
+    """
+    reach = range(-2, 3) if leaves.level == 0 else range(-1, 2)
+    at = {tuple(c): int(x) for c, x in zip(leaves.cells.tolist(), leaves.leaf)}
+    rows = []
+    for (i, j, k), own in at.items():
+        rows.append((i, j, k, own, True))
+        others = {at.get((i + di, j + dj, k + dk), own) for di in reach for dj in reach for dk in reach}
+        rows += [(i, j, k, other, False) for other in others if other < own]
+    mapped = points.sparkSession.createDataFrame(rows, "ci long, cj long, ck long, leaf long, own boolean")
+    spread = _in_leaf(points, mapped, leaves.level).select("leaf", "own", F.xxhash64("i", "j", "k").alias("cell"), "i", "j", "k", "x", "y", "z", F.xxhash64("file_id", "node_id").alias("node"))
+    local = written(spread.groupBy("leaf").applyInArrow(_link_leaf(eps), LINKED))
+    own = local.where("n > 0")
+    shared = own.select("cell", "root").join(local.where("n = 0").select(F.col("cell").alias("c"), F.col("root").alias("other")), F.col("cell") == F.col("c")).select("root", "other").distinct()
+    # Roots may be cells of another leaf: those have their own root there.
+    merged = connected_components(shared)
+    return own.join(merged, F.col("root") == F.col("vertex"), "left").select("cell", F.coalesce("component", "root").alias("group_id"), F.col("n").alias("n_nodes"))
+
+
+def distance_groups(neurons: DataFrame, eps: float = 60.0, least: int = 40, **limits) -> tuple[DataFrame, DataFrame]:
+    """Groups of nodes linked by chains of steps of at most ``eps``, with ``least`` nodes or more.
+
+    Returns the located points (with ``cell``) and the table cell, group_id,
+    group_size. Nodes without coordinates are in no group; repeats count once.
+    """
+    points = located(neurons, eps)
+    leaves = fit_leaves(points, **limits)
+    cells = linked_cells(points, leaves, eps)
+    sizes = cells.groupBy("group_id").agg(F.sum("n_nodes").alias("group_size")).where(F.col("group_size") >= least)
+    return points.withColumn("cell", F.xxhash64("i", "j", "k")), written(cells.join(sizes, "group_id").select("cell", "group_id", "group_size"))
+
+
+def probe_pairs(neurons: DataFrame, probes: DataFrame, eps: float = 60.0, least: int = 40, **limits) -> DataFrame:
+    """Pairs of probes whose nodes lie in one group. Output: probe_a, probe_b (smaller first)."""
+    points, groups = distance_groups(neurons, eps, least, **limits)
+    asked = probes.where("probe_id is not null").select(F.col("file_id").alias("pf"), F.col("node_id").alias("pn"), "probe_id")
+    placed = points.join(asked, (F.col("file_id") == F.col("pf")) & (F.col("node_id") == F.col("pn"))).select("probe_id", "cell").join(groups, "cell").select("probe_id", "group_id").distinct()
+    other = placed.select(F.col("probe_id").alias("probe_b"), F.col("group_id").alias("g"))
+    return placed.join(other, (F.col("group_id") == F.col("g")) & (F.col("probe_id") < F.col("probe_b"))).select(F.col("probe_id").alias("probe_a"), "probe_b").distinct()
+
+
+def node_groups(neurons: DataFrame, eps: float = 60.0, least: int = 40, **limits) -> DataFrame:
+    """Each node's group. Output: file_id, node_id, group_id, group_size; nodes of no group are left out."""
+    points, groups = distance_groups(neurons, eps, least, **limits)
+    return points.select("file_id", "node_id", "cell").join(groups, "cell").select("file_id", "node_id", "group_id", "group_size").distinct()
+
+
+def clusters(neurons: DataFrame, typical: int = 3, eps: float = 60.0, **limits) -> DataFrame:
+    """Leaves of bisecting k-means: size, centre, radius and the nodes nearest to the centre.
+
+    Nodes without coordinates are in no cluster; repeats count once; ties at
+    the same distance go by key. Output: cluster, n_nodes, cx, cy, cz, radius,
+    rank, file_id, node_id, distance.
+    """
+    points = located(neurons, eps)
+    leaves = fit_leaves(points, **limits)
+    nodes = written(_in_leaf(points, leaf_map(points, leaves), leaves.level).groupBy("file_id", "node_id").agg(*[F.min(c).alias(c) for c in ("leaf", "x", "y", "z")]))
+    centres = nodes.groupBy("leaf").agg(F.count(F.lit(1)).alias("n_nodes"), *[F.avg(c).alias(f"c{c}") for c in "xyz"], *[F.var_pop(c).alias(f"v{c}") for c in "xyz"])
+    centres = centres.select("leaf", "n_nodes", "cx", "cy", "cz", F.sqrt(F.col("vx") + F.col("vy") + F.col("vz")).alias("radius"))
+    away = F.sqrt(sum((F.col(c) - F.col(f"c{c}")) ** 2 for c in "xyz"))
+    measured = nodes.join(centres, "leaf").withColumn("distance", away)
+    rank = F.row_number().over(Window.partitionBy("leaf").orderBy("distance", "file_id", "node_id"))
+    return measured.withColumn("rank", rank).where(F.col("rank") <= typical).select(F.col("leaf").alias("cluster"), "n_nodes", "cx", "cy", "cz", "radius", "rank", "file_id", "node_id", "distance")
+
+
+def node_clusters(neurons: DataFrame, eps: float = 60.0, **limits) -> DataFrame:
+    """Each node's cluster. Output: file_id, node_id, cluster."""
+    points = located(neurons, eps)
+    leaves = fit_leaves(points, **limits)
+    return _in_leaf(points, leaf_map(points, leaves), leaves.level).select("file_id", "node_id", F.col("leaf").alias("cluster")).distinct()
