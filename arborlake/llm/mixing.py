@@ -67,7 +67,8 @@ def _sampled(documents: DataFrame, targets: DataFrame, seed: int, vocabulary: st
     inside = joined.where("upto <= rest").withColumn("taken", F.lit(1))
     edge = joined.where("upto > rest and before < rest")
     run = F.sum("n_tokens").over(Window.partitionBy("mix_name", "source", "part").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    edge = edge.withColumn("taken", (F.col("before") + run <= F.col("rest")).cast("int"))
+    over = F.col("before") + run - F.col("rest")  # the document that crosses the budget is taken if that comes nearer to it
+    edge = edge.withColumn("taken", ((over <= 0) | ((over < F.col("n_tokens")) & (2 * over < F.col("n_tokens")))).cast("int"))
     others = joined.where("upto is null or (upto > rest and before >= rest)").withColumn("taken", F.lit(0))
     used = inside.unionByName(edge).unionByName(others).withColumn("n_uses", F.col("epochs") + F.col("taken")).where("n_uses > 0")
     return used.select("mix_name", "doc_id", "source", "n_uses", "n_tokens"), plans
@@ -77,8 +78,8 @@ def mix_documents(documents: DataFrame, targets: DataFrame, seed: int = 0, vocab
     """How often each document is used in each mix.
 
     Complete epochs of a source come first; the rest of its budget is filled
-    with documents in order of their sampling keys, as long as they fit one
-    after the other. Documents with a null id or source are in no mix, null
+    with documents in order of their sampling keys, one after the other; the
+    one that crosses the budget is taken if that comes nearer to it. Documents with a null id or source are in no mix, null
     and empty texts have no tokens. Sampling depends on seed, mix and document
     only. Output: mix_name, doc_id, source, n_uses, n_tokens (of one use);
     unused documents are left out.

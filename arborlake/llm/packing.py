@@ -8,6 +8,7 @@ and its number among the items of that length.
 
 from __future__ import annotations
 
+import bisect
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -34,6 +35,7 @@ class Complements:
 
     def __init__(self, counts: np.ndarray):
         self.counts = counts
+        self.there = np.flatnonzero(counts).tolist()  # sorted lengths with items
         self.fresh = False
         self.size = 1 << int(2 * len(counts)).bit_length()
 
@@ -73,9 +75,20 @@ class Complements:
         return self.pair(gap) or self.triple(gap)
 
     def largest(self, most: int) -> int:
-        while most > 0 and self.counts[most] == 0:
-            most -= 1
-        return most
+        at = bisect.bisect_right(self.there, most)
+        return self.there[at - 1] if at else 0
+
+    def take(self, n: int, times: int = 1) -> None:
+        self.counts[n] -= times
+        if not self.counts[n]:
+            del self.there[bisect.bisect_left(self.there, n)]
+            self.fresh = False
+
+    def give(self, n: int) -> None:
+        if not self.counts[n]:
+            bisect.insort(self.there, n)
+            self.fresh = False
+        self.counts[n] += 1
 
 
 def solve(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -92,31 +105,30 @@ def solve(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]
     top = capacity
     while (top := index.largest(top)) > 0:
         pattern, gap = [top], capacity - top
-        counts[top] -= 1
+        index.take(top)
         while gap:
             if found := index.exact(gap):
                 pattern += found
                 for n in found:
-                    counts[n] -= 1
+                    index.take(n)
                 gap = 0
             elif n := index.largest(gap):
                 pattern.append(n)
-                counts[n] -= 1
+                index.take(n)
                 gap -= n
             else:
                 break
         for n in pattern:
-            counts[n] += 1
-        used, often = np.unique(pattern, return_counts=True)
+            index.give(n)
         if gap:  # no exact fill with what is left: its first item goes to best fit, once
             rest[top] += 1
-            counts[top] -= 1
-            index.fresh &= counts[top] > 0
+            index.take(top)
             continue
+        used, often = np.unique(pattern, return_counts=True)
         times = int((counts[used] // often).min())
         done.append((tuple(sorted(pattern, reverse=True)), times))
-        counts[used] -= often * times
-        index.fresh = False
+        for n, k in zip(used.tolist(), often.tolist()):
+            index.take(n, k * times)
     return done + best_fit(rest, capacity)
 
 
