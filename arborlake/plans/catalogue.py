@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from arborlake.plans import dealt
+from arborlake.plans import dealt, morphology
 
-PARTS = [dealt]
+PARTS = [dealt, morphology]
 
 
 def queries() -> dict:
