@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from arborlake.runtime import written
+
 #: Spellings of a field, reduced to lower-case letters and digits, and the column they go to.
 ALIASES = {
     "xflat": "x_flat", "flatx": "x_flat", "yflat": "y_flat", "flaty": "y_flat",
@@ -53,6 +55,16 @@ def _numbered_exports(lines: DataFrame) -> DataFrame:
     return exports.select("stream", "export_id", F.col("exported_at").alias("at"), F.row_number().over(by).alias("seq"))
 
 
+def _catalogue(fields: DataFrame, exports: DataFrame) -> DataFrame:
+    seen = fields.groupBy("stream", "export_id", "field").agg(
+        F.count("value").alias("n_values"), F.count_if(F.col("value").isNull()).alias("n_nulls"),
+        *[F.max(F.coalesce(F.col("kind") == k, F.lit(False))).alias(k) for k in ("boolean", "integer", "decimal", "text")],
+    )
+    mixed = F.col("boolean") & (F.col("integer") | F.col("decimal"))
+    kind = F.when(F.col("text") | mixed, "text").when(F.col("boolean"), "boolean").when(F.col("decimal"), "decimal").when(F.col("integer"), "integer")
+    return seen.join(exports, ["stream", "export_id"]).select("stream", "export_id", "at", "seq", "field", kind.alias("type"), "n_values", "n_nulls")
+
+
 def column_catalogue(lines: DataFrame) -> DataFrame:
     """Which fields each export has, with the type of their non-null values.
 
@@ -60,13 +72,7 @@ def column_catalogue(lines: DataFrame) -> DataFrame:
     with nulls only has no type. Counts are combined before the shuffle.
     Output: stream, export_id, at, seq, field, type, n_values, n_nulls.
     """
-    seen = export_fields(lines).groupBy("stream", "export_id", "field").agg(
-        F.count("value").alias("n_values"), F.count_if(F.col("value").isNull()).alias("n_nulls"),
-        *[F.max(F.coalesce(F.col("kind") == k, F.lit(False))).alias(k) for k in ("boolean", "integer", "decimal", "text")],
-    )
-    mixed = F.col("boolean") & (F.col("integer") | F.col("decimal"))
-    kind = F.when(F.col("text") | mixed, "text").when(F.col("boolean"), "boolean").when(F.col("decimal"), "decimal").when(F.col("integer"), "integer")
-    return seen.join(_numbered_exports(lines), ["stream", "export_id"]).select("stream", "export_id", "at", "seq", "field", kind.alias("type"), "n_values", "n_nulls")
+    return _catalogue(export_fields(lines), _numbered_exports(lines))
 
 
 def column_lifespans(lines: DataFrame) -> DataFrame:
@@ -84,10 +90,8 @@ def column_lifespans(lines: DataFrame) -> DataFrame:
     ).drop("island")
 
 
-def _edges(lines: DataFrame) -> DataFrame:
+def _edges(catalogue: DataFrame, exports: DataFrame) -> DataFrame:
     """Starts, endings and type changes, at the export where each shows."""
-    catalogue = column_catalogue(lines)
-    exports = _numbered_exports(lines).withColumn("last_seq", F.max("seq").over(Window.partitionBy("stream")))
     by = Window.partitionBy("stream", "field").orderBy("seq")
     c = catalogue.select(
         "stream", "seq", "field", "type",
@@ -99,7 +103,7 @@ def _edges(lines: DataFrame) -> DataFrame:
     event = lambda when, name, at: F.when(when, F.struct(F.lit(name).alias("change"), at.alias("seq")))
     events = F.array(event(starts, "added", F.col("seq")), event(ends, "removed", F.col("seq") + 1), event(retyped, "retyped", F.col("seq")))
     flat = c.select("stream", "field", F.explode(F.filter(events, lambda e: e.isNotNull())).alias("e")).select("stream", "field", "e.change", "e.seq")
-    return flat.join(exports.drop("last_seq"), ["stream", "seq"])  # an ending after the last export meets none
+    return flat.join(exports, ["stream", "seq"])  # an ending after the last export meets none
 
 
 def schema_changes(lines: DataFrame) -> DataFrame:
@@ -110,23 +114,25 @@ def schema_changes(lines: DataFrame) -> DataFrame:
     equal sums of two 64-bit hashes of (node, value), compared without
     listing pairs of values. A field without any value there is not matched.
     Where several names hold the same values, they are paired in order of
-    name. Repeated and late lines count once. Nulls in stream, export or node
-    keys are values like any other. Output: stream, export_id, at, change,
-    field, new_field.
+    name. Repeated and late lines count once. Nulls in node keys are values
+    like any other; lines without a stream or export, and lines that are no
+    JSON object, are left out. Output: stream, export_id, at, change, field,
+    new_field.
+
+    Lines are parsed once; fields, catalogue and edges are written to the
+    shared folder, so that each following step has a short plan.
     """
-    edges = _edges(lines)
-    exports = _numbered_exports(lines)
+    lines = lines.where(F.col("stream").isNotNull() & F.col("export_id").isNotNull())
+    exports = written(_numbered_exports(lines).coalesce(1))  # one row an export
+    fields = written(export_fields(lines).join(exports.select(F.col("stream").alias("_s"), F.col("export_id").alias("_e"), "seq"), (F.col("stream") == F.col("_s")) & (F.col("export_id") == F.col("_e"))).drop("_s", "_e", "exported_at"))
+    edges = written(_edges(_catalogue(fields, exports), exports))
     moves = edges.where("change in ('added', 'removed')")
     both = moves.groupBy("stream", "seq").agg(F.count_if(F.col("change") == "added").alias("a"), F.count_if(F.col("change") == "removed").alias("r")).where("a > 0 and r > 0").select("stream", "seq")
     wanted = moves.join(both, ["stream", "seq"], "left_semi").select("stream", F.col("seq").alias("boundary"), "field", "change", (F.col("seq") - F.when(F.col("change") == "removed", 1).otherwise(0)).alias("seq"))
-    values = export_fields(lines).where("value is not null").join(exports.select("stream", "export_id", "seq"), ["stream", "export_id"])
-    values = values.select("stream", "seq", "file_id", "node_id", "field", "value")
-    # Nodes that both exports of a boundary have.
-    parsed = lines.select("stream", "export_id", F.expr("try_parse_json(payload)").alias("v")).select(
-        "stream", "export_id", F.expr("try_variant_get(v, '$.file_id', 'string')").alias("file_id"), F.expr("try_variant_get(v, '$.node_id', 'bigint')").alias("node_id")
-    )
-    nodes = parsed.join(exports.select("stream", "export_id", "seq"), ["stream", "export_id"]).select("stream", "seq", "file_id", "node_id").distinct()
+    values = fields.where("value is not null").select("stream", "seq", "file_id", "node_id", "field", "value")
+    # Exports of each node, so that it shows whether the one before or after has it too.
     near = Window.partitionBy("stream", "file_id", "node_id").orderBy("seq")
+    nodes = fields.select("stream", "seq", "file_id", "node_id").distinct()
     nodes = nodes.select("*", (F.lag("seq").over(near) == F.col("seq") - 1).alias("was"), (F.lead("seq").over(near) == F.col("seq") + 1).alias("stays"))
     asked = values.join(wanted, ["stream", "seq", "field"]).distinct()
     in_both = F.when(F.col("change") == "removed", F.col("stays")).otherwise(F.col("was"))
@@ -137,10 +143,10 @@ def schema_changes(lines: DataFrame) -> DataFrame:
             ("h1", F.shiftright(h(1), 32)), ("h2", h(1).bitwiseAND(0xFFFFFFFF)), ("h3", F.shiftright(h(2), 32)), ("h4", h(2).bitwiseAND(0xFFFFFFFF)))],
     )
     alike = ("stream", "boundary", "n", "h1", "h2", "h3", "h4")
-    sums = sums.withColumn("k", F.row_number().over(Window.partitionBy(*alike, "change").orderBy("field")))
+    sums = written(sums.withColumn("k", F.row_number().over(Window.partitionBy(*alike, "change").orderBy("field"))))
     gone = sums.where("change = 'removed'").select(*alike, "k", "field")
     new = sums.where("change = 'added'").select(*alike, "k", F.col("field").alias("new_field"))
-    renamed = gone.join(new, [*alike, "k"]).select("stream", F.col("boundary").alias("seq"), "field", "new_field")
+    renamed = written(gone.join(new, [*alike, "k"]).select("stream", F.col("boundary").alias("seq"), "field", "new_field"))
     out_names = renamed.select("stream", "seq", F.lit("removed").alias("change"), "field").unionByName(renamed.select("stream", "seq", F.lit("added").alias("change"), F.col("new_field").alias("field")))
     plain = edges.join(out_names, ["stream", "seq", "change", "field"], "left_anti").select("stream", "seq", "change", "field", F.lit("").alias("new_field"))
     changes = plain.unionByName(renamed.select("stream", "seq", F.lit("renamed").alias("change"), "field", "new_field"))

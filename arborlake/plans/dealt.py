@@ -60,17 +60,17 @@ tops AS (SELECT a.file_id, a.node_id FROM n a LEFT JOIN n b ON a.file_id = b.fil
 fine AS (SELECT file_id, node_id, node_id AS root_id, 0 AS depth FROM tops
   UNION ALL SELECT c.file_id, c.node_id, f.root_id, f.depth + 1 FROM fine f JOIN n c ON c.file_id = f.file_id AND c.p = f.node_id AND c.p <> -1),
 bad AS (SELECT n.* FROM n ANTI JOIN fine USING (file_id, node_id)),
-walk AS (SELECT file_id, node_id, p AS at FROM bad UNION SELECT w.file_id, w.node_id, b.p FROM walk w JOIN bad b ON b.file_id = w.file_id AND b.node_id = w.at),
-above AS (SELECT file_id, node_id, p AS at FROM n SEMI JOIN fine USING (file_id, node_id) WHERE p <> -1 UNION ALL SELECT a.file_id, a.node_id, n.p FROM above a JOIN n ON n.file_id = a.file_id AND n.node_id = a.at WHERE n.p <> -1)
+walk AS (SELECT file_id, node_id, p AS cur FROM bad UNION SELECT w.file_id, w.node_id, b.p FROM walk w JOIN bad b ON b.file_id = w.file_id AND b.node_id = w.cur),
+above AS (SELECT file_id, node_id, p AS cur FROM n SEMI JOIN fine USING (file_id, node_id) WHERE p <> -1 UNION ALL SELECT a.file_id, a.node_id, n.p FROM above a JOIN n ON n.file_id = a.file_id AND n.node_id = a.cur WHERE n.p <> -1)
 """
 
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "p2_found": _TREES + """SELECT w.file_id, w.node_id, MIN(w.at) AS cycle_node_id FROM walk w
-            JOIN (SELECT DISTINCT file_id, at FROM walk WHERE node_id = at) l ON w.file_id = l.file_id AND w.at = l.at GROUP BY 1, 2""",
+        "p2_found": _TREES + """SELECT w.file_id, w.node_id, MIN(w.cur) AS cycle_node_id FROM walk w
+            JOIN (SELECT DISTINCT file_id, cur FROM walk WHERE node_id = cur) l ON w.file_id = l.file_id AND w.cur = l.cur GROUP BY 1, 2""",
         "p2_depths": _TREES + """SELECT f.file_id, f.node_id, f.root_id, f.depth, COALESCE(c.n, 0) AS n_descendants FROM fine f
-            LEFT JOIN (SELECT file_id, at, COUNT(*) AS n FROM above GROUP BY 1, 2) c ON f.file_id = c.file_id AND f.node_id = c.at""",
+            LEFT JOIN (SELECT file_id, cur, COUNT(*) AS n FROM above GROUP BY 1, 2) c ON f.file_id = c.file_id AND f.node_id = c.cur""",
         "p3_found": "SELECT file_id FROM neurons GROUP BY file_id HAVING COUNT(*) >= 0.02 * (SELECT COUNT(*) FROM neurons)",
         "p3_loads": "SELECT file_id, COUNT(*) AS n_rows, COUNT(*) >= 0.02 * (SELECT COUNT(*) FROM neurons) AS heavy FROM neurons GROUP BY file_id",
         "p3_quantiles": "\nUNION ALL\n".join(
