@@ -40,7 +40,7 @@ def export_fields(lines: DataFrame) -> DataFrame:
         F.expr("try_variant_get(v, '$.file_id', 'string')").alias("file_id"), F.expr("try_variant_get(v, '$.node_id', 'bigint')").alias("node_id"),
     )
     spark = lines.sparkSession
-    pairs = view.lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).select("stream", "export_id", "exported_at", "file_id", "node_id", "texts", F.col("key").alias("field"), "value")
+    pairs = view.lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).select("stream", "export_id", "exported_at", "file_id", "node_id", "texts", F.col("key").alias("field"), "value").where("field is not null")
     shape = F.schema_of_variant("value")
     text = F.coalesce(F.element_at("texts", F.col("field")), F.expr("try_variant_get(value, '$', 'string')"))
     number = F.when(text.rlike("[.eE]"), "decimal").otherwise("integer")

@@ -71,8 +71,13 @@ def key_quantiles(df: DataFrame, key: str, value: str, probs: list[float], hot_r
     kind = dict(stats.dtypes)["k"]
     while live:
         state = F.broadcast(spark.createDataFrame(live, f"sk {kind}, p double, n long, want long, lo double, hi double"))
-        # The bin is a monotone function of v, so ranks carry over; a bin that holds lo and hi at once still shrinks, as its own least and greatest value replace them.
-        position = F.least(F.floor((F.col("v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2) * bins), F.lit(bins - 1))
+        # The bin is a monotone function of v, so ranks carry over. lo and hi fall into different bins, and each bin's own
+        # least and greatest value become the next interval, so every round shrinks it. Halves keep hi - lo finite; where
+        # they vanish (subnormal numbers), whole values are used.
+        v, lo, hi = F.col("v"), F.col("lo"), F.col("hi")
+        half = F.nullif(hi / 2 - lo / 2, F.lit(0.0))
+        share = F.coalesce((v / 2 - lo / 2) / half, (v - lo) / F.nullif(hi - lo, F.lit(0.0)))
+        position = F.least(F.floor(share * bins), F.lit(bins - 1))
         hist = (
             rows.join(state, F.col("k").eqNullSafe(F.col("sk")) & F.col("v").between(F.col("lo"), F.col("hi")))
             .groupBy("k", "p", position.alias("b"))
