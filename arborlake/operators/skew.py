@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -33,6 +33,12 @@ def key_loads(df: DataFrame, key: str, share: float = 0.02) -> DataFrame:
     )
 
 
+def _magnitude(c: Column, narrow: Column) -> Column:
+    """The value itself, or its signed order of magnitude (both never fall as the value grows)."""
+    order = F.signum(c) * (F.log(F.abs(c)) + 746.0)  # 746: above -ln of the least positive double
+    return F.when(narrow, c).otherwise(F.coalesce(order, F.lit(0.0)))
+
+
 def key_quantiles(df: DataFrame, key: str, value: str, probs: list[float], hot_rows: int = HOT_ROWS, bins: int = BINS) -> DataFrame:
     """Exact quantiles per key: the value at rank ceil(p * n), first rank 1.
 
@@ -70,14 +76,13 @@ def key_quantiles(df: DataFrame, key: str, value: str, probs: list[float], hot_r
     live = [x for x in live if x[4] != x[5]]
     kind = dict(stats.dtypes)["k"]
     while live:
-        state = F.broadcast(spark.createDataFrame(live, f"sk {kind}, p double, n long, want long, lo double, hi double"))
+        narrow = [(*x, 0 < x[4] and x[5] / x[4] < 1e4 or x[5] < 0 and x[4] / x[5] < 1e4) for x in live]
+        state = F.broadcast(spark.createDataFrame(narrow, f"sk {kind}, p double, n long, want long, lo double, hi double, narrow boolean"))
         # The bin is a monotone function of v, so ranks carry over. lo and hi fall into different bins, and each bin's own
-        # least and greatest value become the next interval, so every round shrinks it. Halves keep hi - lo finite; where
-        # they vanish (subnormal numbers), whole values are used.
-        v, lo, hi = F.col("v"), F.col("lo"), F.col("hi")
-        half = F.nullif(hi / 2 - lo / 2, F.lit(0.0))
-        share = F.coalesce((v / 2 - lo / 2) / half, (v - lo) / F.nullif(hi - lo, F.lit(0.0)))
-        position = F.least(F.floor(share * bins), F.lit(bins - 1))
+        # least and greatest value become the next interval, so every round shrinks it. Intervals over many magnitudes
+        # are divided by magnitude, the others evenly, which bounds the rounds by the bits of a double.
+        v, lo, hi = (_magnitude(F.col(c), F.col("narrow")) for c in ("v", "lo", "hi"))
+        position = F.least(F.floor((v - lo) / (hi - lo) * bins), F.lit(bins - 1))
         hist = (
             rows.join(state, F.col("k").eqNullSafe(F.col("sk")) & F.col("v").between(F.col("lo"), F.col("hi")))
             .groupBy("k", "p", position.alias("b"))

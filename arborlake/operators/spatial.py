@@ -90,7 +90,7 @@ def fit_leaves(points: DataFrame, most_cells: int = MOST_CELLS, leaf_rows: int =
     level, sums = 0, [F.sum(c).alias(f"s{c}") for c in "xyz"]
     cells = written(points.groupBy("i", "j", "k").agg(F.count(F.lit(1)).alias("n"), *sums, F.sum(x2).alias("sq")))
     coarse = cells
-    while coarse.count() > most_cells:
+    while coarse.count() > max(8, most_cells):  # widening cannot join the eight octants
         level += 1
         coarse = cells.groupBy(*[F.shiftright(c, level).alias(c) for c in "ijk"]).agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sz", "sq")])
     got = coarse.toPandas().sort_values(["i", "j", "k"])  # at most most_cells rows
