@@ -318,6 +318,29 @@ def hierarchies(neurons: DataFrame, cap: int = CAP, paths: bool = True) -> DataF
     if large is None:
         return out
     nodes = written(large)
+    ends = written(resolve_links(_parent_links(nodes, False), cap).select("g", F.col("id").alias("node"), F.col("last").alias("root"), "cycle"))
+    # Trees up to cap nodes are resolved whole, wherever their nodes lie in the file.
+    sizes = ends.where("cycle is null").groupBy(F.col("g").alias("tg"), F.col("root").alias("tree")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cap).drop("n")
+    huge = [tuple(r) for r in sizes.collect()]  # at most rows / cap trees
+    placed = nodes.join(ends, (F.col("file_id") == F.col("g")) & (F.col("node_id") == F.col("node")))
+    names = F.broadcast(neurons.sparkSession.createDataFrame(huge, "tg string, tree long"))
+    of_huge = (F.col("g") == F.col("tg")) & (F.col("root") == F.col("tree"))
+    none = lambda c, t: F.lit(None).cast(t).alias(c)
+    out = out.unionByName(placed.where("cycle is not null").select(
+        "file_id", "node_id", "parent_id", none("root_id", "int"), none("depth", "int"), none("entry", "long"), none("exit", "long"), none("n_descendants", "long"),
+        F.col("cycle").cast("int").alias("cycle_node_id"), none("path", "array<int>"),
+    ))
+    placed = placed.where("cycle is null")
+    whole = placed.join(names, of_huge, "left_anti") if huge else placed
+    whole = whole.select("file_id", "node_id", "parent_id", F.pmod(F.xxhash64("file_id", "root"), F.lit(2 * buckets)).alias("bucket"))
+    out = out.unionByName(whole.groupBy("bucket").applyInArrow(_inner(_small_files(paths, True), ["file_id", "node_id", "parent_id"]), TREE))
+    if not huge:
+        return out
+    return out.unionByName(_huge_trees(written(placed.join(names, of_huge, "left_semi").select("file_id", "node_id", "parent_id")), cap, paths))
+
+
+def _huge_trees(nodes: DataFrame, cap: int, paths: bool) -> DataFrame:
+    """Trees that no task may hold: paths and Euler tours as links between blocks."""
     up = written(resolve_links(_parent_links(nodes, paths), cap, paths))
     up = up.select("g", F.col("id").alias("node"), F.col("last").alias("root"), F.col("w"), F.col("cycle"), *(["path"] if paths else []))
     trees = nodes.join(up.where("cycle is null").select("g", "node"), (F.col("file_id") == F.col("g")) & (F.col("node_id") == F.col("node")), "left_semi")
@@ -342,10 +365,10 @@ def hierarchies(neurons: DataFrame, cap: int = CAP, paths: bool = True) -> DataF
     full = full.join(nodes.select(F.col("file_id").alias("nf"), F.col("node_id").alias("nn"), F.coalesce("parent_id", F.lit(-1)).alias("parent_id")), (F.col("g") == F.col("nf")) & (F.col("node") == F.col("nn")))
     ok = F.col("cycle").isNull()
     whole_path = F.transform(F.reverse("path"), lambda x: x.cast("int")) if paths else F.lit(None).cast("array<int>")
-    return out.unionByName(full.select(
+    return full.select(
         F.col("g").alias("file_id"), F.col("node").cast("int").alias("node_id"), "parent_id", F.when(ok, F.col("root").cast("int")).alias("root_id"), F.when(ok, (F.col("w") - 1).cast("int")).alias("depth"),
         (F.col("whole") - F.col("rin")).alias("entry"), (F.col("whole") - F.col("rout")).alias("exit"), F.floor((F.col("rin") - F.col("rout") - 1) / 2).alias("n_descendants"), F.col("cycle").cast("int").alias("cycle_node_id"), F.when(ok, whole_path).alias("path"),
-    ))
+    )
 
 
 def descendants(trees: DataFrame, picked: DataFrame) -> DataFrame:
