@@ -18,9 +18,8 @@ def standardised(points: DataFrame, mapping: dict[str, str] | None = None) -> Da
     Raises for missing required columns, doubled names, blank labels and
     coordinates that are no finite numbers, with their counts.
     """
-    mapping = mapping or {}
-    names = {old: new for new, old in mapping.items()}
-    if len(names) != len(mapping):
+    names = dict(mapping or {})  # column -> standard name
+    if len(set(names.values())) != len(names):
         raise ValueError("a column is mapped twice")
     if missing := [old for old in names if old not in points.columns]:
         raise ValueError(f"mapped columns that are not there: {missing}")

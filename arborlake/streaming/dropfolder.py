@@ -11,7 +11,7 @@ from arborlake.sources.swc import new_files, node_table
 def parse_contents(files: DataFrame) -> DataFrame:
     """Nodes of whole SWC files (path, content); lines of fewer than seven numbers are skipped."""
     name = F.url_decode(F.regexp_extract("path", "([^/]+)$", 1)).alias("file_id")
-    lines = files.select(name, F.explode(F.split(F.decode("content", F.lit("UTF-8")), r"\r?\n")).alias("line"))
+    lines = files.select(name, F.explode(F.split(F.decode("content", "UTF-8"), r"\r?\n")).alias("line"))
     parts = F.split(F.trim(F.regexp_replace(F.regexp_replace("line", "#.*$", ""), r"\s+", " ")), " ")
     numbers = lines.select("file_id", F.transform(parts, lambda p: p.try_cast("double")).alias("v")).where(F.size("v") >= 7)
     numbers = numbers.where(F.forall(F.slice("v", 1, 7), lambda v: v.isNotNull()))
