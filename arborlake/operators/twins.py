@@ -81,7 +81,7 @@ def differences(neurons: DataFrame, copy: DataFrame, tolerance: float = 0.001, b
         pick("region_id", "n").alias("rn"), pick("region_id", "c").alias("rc"), pick("x", "n").alias("xn"), pick("x", "c").alias("xc")
     )  # region_id is never null here, so it also tells on which sides the node is
     both = F.col("rn").isNotNull() & F.col("rc").isNotNull()
-    x_differs = F.coalesce(F.abs(F.col("xn") - F.col("xc")) > tolerance, ~(F.col("xn").isNull() & F.col("xc").isNull()))
+    x_differs = F.coalesce((F.col("xn") != F.col("xc")) & (F.abs(F.col("xn") - F.col("xc")) > tolerance), ~(F.col("xn").isNull() & F.col("xc").isNull()))
     text = lambda c: F.col(c).cast("string")
     part = lambda when, diff, a, b: F.when(when, F.struct(F.lit(diff).alias("diff"), a.alias("in_neurons"), b.alias("in_copy")))
     none = F.lit(None).cast("string")
