@@ -167,15 +167,24 @@ def target_column() -> Column:
     return F.element_at(table, reduced)
 
 
+def _typed(kind: str) -> Column:
+    """Value in a type of the consistent table, null if it does not fit; whole decimals are integers (18.0 is 18)."""
+    cast = F.expr(f"try_cast(value as {kind})")
+    if kind != "int":
+        return cast
+    whole = F.expr("try_cast(value as double) = rint(try_cast(value as double))")
+    return F.coalesce(cast, F.when(whole, F.expr("try_cast(try_cast(value as double) as int)")))
+
+
 def consistent_nodes(lines: DataFrame) -> DataFrame:
     """One table of all exports: each node once, each field under one name and type.
 
     Names go through the alias table, values through its casts; of several
     exports the latest non-null value stands. A value that does not fit its
-    type is null. Output: file_id, node_id, type, x and the target columns,
+    type is null; integers may come in decimal form. Output: file_id, node_id, type, x and the target columns,
     last_export (time of the latest export with the node).
     """
     fields = export_fields(lines).where("file_id is not null and node_id is not null")
     fields = fields.withColumn("target", F.when(F.col("field").isin("type", "x"), F.col("field")).otherwise(target_column()))
-    latest = lambda c, t: F.max_by(F.expr(f"try_cast(value as {t})"), F.when((F.col("target") == c) & F.expr(f"try_cast(value as {t})").isNotNull(), F.struct("exported_at", "export_id", "value"))).alias(c)
+    latest = lambda c, t: F.max_by(_typed(t), F.when((F.col("target") == c) & _typed(t).isNotNull(), F.struct("exported_at", "export_id", "value"))).alias(c)
     return fields.groupBy("file_id", "node_id").agg(latest("type", "int"), latest("x", "double"), *[latest(c, t) for c, t in TARGETS.items()], F.max("exported_at").alias("last_export"))

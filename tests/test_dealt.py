@@ -111,6 +111,19 @@ def test_consistent_nodes_takes_latest_value_and_casts(spark):
     assert (got["x"], got["x_flat"], got["cluster_id"]) == (1.5, 0.75, 3)
 
 
+def test_consistent_nodes_takes_whole_decimals_as_integers(spark):
+    forms = {1: "18.0", 2: '"18.0"', 3: "1.8e1", 4: '" 18.0 "', 5: "18", 6: "18.5", 7: "3e9", 8: '"NaN"', 9: '"Infinity"', 10: "null", 11: "-2147483648.0", 12: "2147483647.0", 13: "2147483648.0"}
+    rows = [("s", 1, T0, T0, n, f'{{"file_id":"f","node_id":{n},"type":{v},"cluster_id":{v},"clusterAssignment":{v}}}', 1, "") for n, v in forms.items()]
+    want = {n: 18 for n in range(1, 6)} | {n: None for n in (6, 7, 8, 9, 10, 13)} | {11: -(2**31), 12: 2**31 - 1}
+    for c in ("type", "cluster_id", "cluster_assignment"):
+        assert {r["node_id"]: r[c] for r in drift.consistent_nodes(spark.createDataFrame(rows, LINES)).collect()} == want
+
+
+def test_consistent_nodes_keep_the_latest_of_decimal_and_integer(spark):
+    rows = [("s", k, T0 + timedelta(days=k), T0, 1, f'{{"file_id":"f","node_id":1,"cluster_id":{v}}}', 1, "") for k, v in enumerate(("3", "4.0", "4.5"))]
+    assert drift.consistent_nodes(spark.createDataFrame(rows, LINES)).first()["cluster_id"] == 4
+
+
 # 2 -----------------------------------------------------------------------------------------------
 
 
