@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arborlake.operators.components import connected_components
+from arborlake.runtime import written
 
 #: Largest cohort whose distance matrix the driver holds (20,000² floats are 3.2 GB; the default stays far below).
 MOST_NEURONS = 5_000
@@ -168,11 +169,14 @@ def soma_clusters(somas: DataFrame, k: int, method: str = "ward") -> DataFrame:
 
 
 def soma_kmeans(somas: DataFrame, k: int, starts: int = 10, seed: int = 42) -> DataFrame:
-    """k-means of soma coordinates on Spark, best of several starts; labels from 1."""
+    """k-means of soma coordinates on Spark, best of several starts; labels from 1.
+
+    The somas are written once, so that no start derives them again.
+    """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import VectorAssembler
 
-    rows = VectorAssembler(inputCols=["x", "y", "z"], outputCol="features").transform(somas.select("file_id", "x", "y", "z"))
+    rows = VectorAssembler(inputCols=["x", "y", "z"], outputCol="features").transform(written(somas.select("file_id", "x", "y", "z")))
     fits = [KMeans(k=k, seed=seed + s).fit(rows) for s in range(starts)]
     best = min(fits, key=lambda m: m.summary.trainingCost)
     return best.transform(rows).select("file_id", (F.col("prediction") + 1).alias("label"))

@@ -194,7 +194,7 @@ def queries() -> dict:
         "cor04_dense_pearson": lambda s, d: _r(COR.dense_pearson(COR.voxel_counts(nodes(s, d), SIZE)), "r"),
         "cl02_correlation_clusters": lambda s, d: CL.correlation_clusters(COR.pearson(COR.voxel_counts(nodes(s, d), SIZE)), 8),
         "cl05_soma_clusters": lambda s, d: CL.soma_clusters(_somas(s, d), 8),
-        "cl06_soma_kmeans": lambda s, d: CL.soma_kmeans(_somas(s, d), 8, starts=3),
+        "cl06_soma_kmeans": lambda s, d: CL.soma_kmeans(_somas(s, d), 8),
         "cl07_soma_dbscan": lambda s, d: CL.soma_dbscan(_somas(s, d), 300.0, 3),
         "cl07_soma_pairs": lambda s, d: _r(CL.soma_pairs(_somas(s, d), 300.0), "d", digits=4),
         "cl09_contingency": lambda s, d: A.contingency(labels(s, d), labels(s, d, "name")),

@@ -5,9 +5,11 @@ import os
 
 import numpy as np
 import pytest
+from pyspark.ml.clustering import KMeans
 from pyspark.sql import functions as F
 
 from arborlake.operators import assignments, clustering, correlation, flatmap, morphology, nodes, points, regions, voxels
+from arborlake.plans import catalogue
 from arborlake.sources import nrrd, swc, tables
 from arborlake.streaming import dropfolder
 
@@ -181,6 +183,15 @@ def test_dbscan_marks_noise_with_1(spark):
     assert {r[0]: r[1] for r in clustering.soma_dbscan(somas, 1.5, 3).collect()} == {"a": 2, "b": 2, "c": 2, "h": 2, "d": 3, "e": 3, "f": 3, "g": 1}
 
 
+def test_kmeans_query_takes_the_best_of_ten_starts(spark, sf, monkeypatch):
+    fits, fit = {}, KMeans.fit
+    monkeypatch.setattr(KMeans, "fit", lambda self, rows: fits.setdefault(self.getSeed(), fit(self, rows)))
+    got = catalogue.queries()["cl06_soma_kmeans"](spark, sf).groupBy("label").count().collect()
+    assert sorted(fits) == list(range(42, 52))
+    best = min(fits.values(), key=lambda m: m.summary.trainingCost)
+    assert {r["label"] - 1: r["count"] for r in got} == {v: n for v, n in enumerate(best.summary.clusterSizes) if n}
+
+
 def test_projection_codes_and_mirrored_depth(spark):
     lookup = spark.createDataFrame([(0, 0, 1, 0.1, 0.5, -1.0), (0, 0, 3, 1.9, 0.5, 100.0), (0, 0, 0, -1.0, -1.0, -1.0)], "i long, j long, k long, x_flat double, y_flat double, depth double")
     df = cells(spark, [("left", 1, -1, 1, (0.0, 0.0, 0.0), ""), ("right", 1, -1, 1, (0.0, 0.0, 30.0), ""), ("out", 1, -1, 1, (0.0, 0.0, 99.0), ""), ("none", 1, -1, 1, (0.0, math.nan, 0.0), "")])
