@@ -178,11 +178,12 @@ def heatmap_mask(volume: DataFrame, sigma: float, shape: tuple[int, int, int], t
     return threshold_mask(soft, otsu(soft) if threshold is None else threshold)
 
 
-def dilated(mask: DataFrame, fraction: float, shape: tuple[int, int, int], most: int = 64) -> DataFrame:
+def dilated(mask: DataFrame, fraction: float, shape: tuple[int, int, int]) -> DataFrame:
     """Grow a mask by whole distance shells until its volume reaches (1 + fraction) times the first.
 
-    Distances are Euclidean, to the nearest mask voxel; candidates come from
-    offsets within a reach that is doubled until enough voxels are reached.
+    Distances are Euclidean, to the nearest mask voxel; squares are added axis
+    by axis within a reach that is doubled until enough voxels are reached, or
+    all of the volume is: a mask that is wanted larger than the volume fills it.
     """
     start = mask.select(*IJK).distinct()
     n = start.count()
@@ -190,19 +191,19 @@ def dilated(mask: DataFrame, fraction: float, shape: tuple[int, int, int], most:
         return start
     want, reach = n * (1 + fraction), 1
     while True:
-        steps = [(a, b, c, a * a + b * b + c * c) for a in range(-reach, reach + 1) for b in range(-reach, reach + 1) for c in range(-reach, reach + 1) if a * a + b * b + c * c <= reach * reach]
-        near = mask.sparkSession.createDataFrame(steps, "a long, b long, c long, d2 long")
-        shells = start.crossJoin(F.broadcast(near)).select((F.col("i") + F.col("a")).alias("i"), (F.col("j") + F.col("b")).alias("j"), (F.col("k") + F.col("c")).alias("k"), "d2")
+        shells = start.withColumn("d2", F.lit(0).cast("long"))
         for c, limit in zip(IJK, shape):
-            shells = shells.where(F.col(c).between(0, limit - 1))
-        shells = shells.groupBy(*IJK).agg(F.min("d2").alias("d2"))
+            least, last = F.greatest(F.col(c) - reach, F.lit(0)), F.least(F.col(c) + reach, F.lit(limit - 1))
+            shells = shells.where(least <= last).withColumn("to", F.explode(F.sequence(least.cast("long"), last.cast("long"))))
+            shells = shells.withColumn("d2", F.col("d2") + (F.col("to") - F.col(c)) * (F.col("to") - F.col(c))).where(F.col("d2") <= reach * reach)
+            shells = shells.withColumn(c, F.col("to")).groupBy(*IJK).agg(F.min("d2").alias("d2"))
         sizes = shells.groupBy("d2").agg(F.count(F.lit(1)).alias("n")).orderBy("d2").collect()  # at most reach² rows
         total = 0
         for r in sizes:
             total += r["n"]
             if total >= want:
                 return shells.where(F.col("d2") <= r["d2"]).select(*IJK)
-        if reach >= most or reach > max(shape):
+        if reach * reach >= sum((limit - 1) ** 2 for limit in shape):  # no two voxels are further apart
             return shells.select(*IJK)
         reach *= 2
 

@@ -127,6 +127,22 @@ def test_raster_algebra(spark):
     assert grown.count() >= 5 and voxels.dilated(one, 0.0, (1, 1, 9)).count() == 1
 
 
+def test_dilation_reaches_the_wanted_volume_however_far(spark):
+    one = spark.createDataFrame([(0, 0, 0)], "i long, j long, k long")
+    assert {r["k"] for r in voxels.dilated(one, 149.5, (1, 1, 200)).collect()} == set(range(151))
+    assert voxels.dilated(one, 1e6, (1, 2, 200)).count() == 400
+
+
+def test_dilation_equals_brute_force(spark):
+    shape, rng = (9, 7, 8), np.random.default_rng(3)
+    first = {tuple(map(int, rng.integers(0, shape))) for _ in range(5)} | {(-1, 3, 3)}
+    d2 = {p: min(sum((a - b) ** 2 for a, b in zip(p, q)) for q in first) for p in np.ndindex(*shape)}
+    for fraction in (1.0, 9.0, 40.0, 75.0):
+        limit = next(d for d in sorted(set(d2.values())) if sum(v <= d for v in d2.values()) >= len(first) * (1 + fraction))
+        grown = voxels.dilated(spark.createDataFrame(sorted(first), "i long, j long, k long"), fraction, shape)
+        assert {tuple(r) for r in grown.collect()} == {p for p, v in d2.items() if v <= limit}
+
+
 def test_majority_takes_the_least_region_in_ties(spark):
     df = spark.createDataFrame([(0, 0, 0, 5), (0, 0, 0, 3), (0, 0, 1, 7), (0, 0, 1, 7), (0, 0, 1, 2)], "i long, j long, k long, region_id int")
     assert {r["k"]: (r["region_id"], r["n_labels"]) for r in voxels.majority_labels(df).collect()} == {0: (3, 2), 1: (7, 2)}
