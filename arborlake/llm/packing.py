@@ -28,9 +28,9 @@ SALT = 64
 class Complements:
     """Single, pair and triple sums of the available lengths.
 
-    Sums of pairs are found by convolving availability; they are built again
-    once a length runs out, and every combination is checked against the
-    counts before it is used.
+    Sums of pairs are counted by convolving availability; they are built again
+    once a length runs out, and combinations that the counts do not allow are
+    taken off, so a triple is found whenever there is one.
     """
 
     def __init__(self, counts: np.ndarray):
@@ -42,7 +42,7 @@ class Complements:
     def _pairs(self) -> np.ndarray:
         if not self.fresh:
             spectrum = np.fft.rfft((self.counts > 0).astype(float), self.size)
-            self.sums = np.fft.irfft(spectrum * spectrum, self.size)[: len(self.counts)] > 0.5
+            self.sums = np.rint(np.fft.irfft(spectrum * spectrum, self.size)[: len(self.counts)]).astype(np.int64)
             self.fresh = True
         return self.sums
 
@@ -57,14 +57,20 @@ class Complements:
         return (gap - a, a) if a and room[a] > 0 else None
 
     def triple(self, gap: int) -> tuple[int, ...] | None:
-        fits = np.flatnonzero((self.counts[1:gap] > 0) & self._pairs()[1:gap][::-1]) + 1
-        for a in fits[::-1][:32].tolist():
-            self.counts[a] -= 1
-            found = self.pair(gap - a)
-            self.counts[a] += 1
-            if found:
-                return (a, *found)
-        return None
+        c, first = self.counts, np.flatnonzero(self.counts[1:gap] > 0) + 1
+        second = gap - first
+        half, other = second // 2, second - first
+        # Ordered pairs of each rest, less those that need more items of a length than there are beside the first.
+        twice = (second % 2 == 0) & (c[half] > 0) & (c[half] - (half == first) < 2)
+        again = (c[first] == 1) & (other > 0) & (other != first) & (c[np.maximum(other, 0)] > 0)
+        fits = first[self._pairs()[second] - twice - 2 * again > 0]
+        if not len(fits):
+            return None
+        a = int(fits[-1])
+        c[a] -= 1
+        found = self.pair(gap - a)
+        c[a] += 1
+        return (a, *found)
 
     def exact(self, gap: int) -> tuple[int, ...] | None:
         """A single, pair or triple of available lengths with this very sum."""

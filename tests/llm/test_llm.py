@@ -1,5 +1,6 @@
 """The text operators against brute force and on awkward input."""
 
+import itertools
 import random
 import unicodedata
 from collections import Counter, defaultdict
@@ -54,6 +55,28 @@ def test_complements_are_exact():
         assert not found or sum(found) == gap and not Counter(found) - Counter(lengths)
 
 
+def test_triples_are_found_behind_many_that_need_an_item_twice():
+    # No number of `few` is the mean of two others, so gap - 2x is no start: it would need x twice.
+    few = [n for n in range(1, 400) if "2" not in np.base_repr(n, 3)][:40]
+    starts = [2000 - 2 * x for x in few[:-1]] + [2000 - few[-1] - few[-2]]
+    counts = np.zeros(2001, np.int64)
+    counts[few + starts] = 1
+    assert packing.Complements(counts).exact(2000) == (starts[-1], few[-1], few[-2])
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_triples_equal_brute_force(seed):
+    rng = np.random.default_rng(seed)
+    counts = rng.choice(4, 70, p=(0.8, 0.13, 0.04, 0.03))
+    counts[0] = 0
+    items = np.repeat(np.arange(70), counts).tolist()
+    sums = {a + b + c for a, b, c in itertools.combinations(items, 3)}
+    for gap in range(2, 70):
+        found, before = packing.Complements(c := counts.copy()).triple(gap), counts.copy()
+        assert (found is not None) == (gap in sums) and np.array_equal(c, before)
+        assert found is None or sum(found) == gap and not Counter(found) - Counter(items)
+
+
 def test_packing_of_documents(spark):
     rows = [(1, "word " * 50, "a"), (2, "", "a"), (3, None, "a"), (4, "one two three", "b"), (5, "one two three", "b"), (5, "one two three", "b"), (6, "x" * 20_000, None), (None, "no id", "b")]
     packs = spark.createDataFrame([("p", 8), ("q", 100), ("none", 0), (None, 5), ("null", None)], "pack_name string, capacity_tokens int")
