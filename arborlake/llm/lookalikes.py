@@ -16,12 +16,16 @@ DRAWN_ALIKE = {
     # Cyrillic capitals
     "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X",
     "Ѕ": "S", "І": "I", "Ј": "J", "Ԛ": "Q", "Ԝ": "W", "Ӏ": "I", "Ү": "Y", "Ғ": "F",
+    "Ѵ": "V", "Ӕ": "Æ", "Ә": "Ə",
     # Cyrillic small letters
-    "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "ѕ": "s", "і": "i", "ј": "j", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ѵ": "v",
+    "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "ѕ": "s", "і": "i", "ј": "j", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ѵ": "v", "ӕ": "æ", "ә": "ə",
     # Greek capitals
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X",
+    "Ϲ": "C", "Ϳ": "J",
     # Greek small letters
     "ο": "o", "ν": "v", "α": "a", "ρ": "p", "ϲ": "c", "ϳ": "j",
+    # Greek and Cyrillic letters drawn alike without a Latin one
+    "Γ": "Г", "Π": "П", "Φ": "Ф", "Ѱ": "Ψ", "ѱ": "ψ",
     # Latin letters drawn like another, and signs
     "ɑ": "a", "ɡ": "g", "µ": "μ", "Ω": "Ω", "K": "K", "‐": "-", "‑": "-",
 }

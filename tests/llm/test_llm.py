@@ -165,6 +165,11 @@ def test_what_looks_alike(a, b, same):
     assert (lookalikes.canonical(a) == lookalikes.canonical(b)) is same
 
 
+@pytest.mark.parametrize("a,b", ["ГΓ", "ПΠ", "ФΦ", "ѰΨ", "ѱψ", "CϹ", "СϹ", "JͿ", "ЈͿ", "VѴ", "ÆӔ", "æӕ", "ƏӘ", "əә"])
+def test_letters_drawn_alike_without_a_latin_twin_and_rare_ones(a, b):
+    assert lookalikes.canonical(f"x {a}1") == lookalikes.canonical(f"x {b}1") == lookalikes.canonical(lookalikes.canonical(f"x {b}1"))
+
+
 def test_lookalike_pairs(spark):
     rows = [(1, "axon", "s"), (2, "ахon", "s"), (3, "axon", "s"), (4, "Axon", "s"), (5, None, "s"), (6, "", "s"), (7, "​", "s"), (None, "axon​", "s"), (8, "é" * 50_000, "s"), (9, "é" * 50_000, "s"), (9, "é" * 50_000, "s")]
     got = {tuple(r) for r in lookalikes.lookalike_pairs(docs(spark, rows)).collect()}
