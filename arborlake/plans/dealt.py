@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from arborlake.operators import drift, hierarchy, references, skew, spatial, twins
 from arborlake.runtime import read_table as t
 from arborlake.sources import csv_points
@@ -9,16 +11,24 @@ from arborlake.sources import csv_points
 QUANTILES = [0.05, 0.25, 0.5, 0.75, 0.95]
 
 
+def _texts(trees):
+    """Paths as text, which every store and checker holds alike."""
+    return trees.withColumn("path", F.array_join("path", "/"))
+
+
 def queries() -> dict:
     return {
         "p1_found": lambda s, d: drift.schema_changes(t(s, d, "node_exports")).select("export_id", "change", "field", "new_field"),
         "p1_lifespans": lambda s, d: drift.column_lifespans(t(s, d, "node_exports")),
         "p1_nodes": lambda s, d: drift.consistent_nodes(t(s, d, "node_exports")),
         "p2_found": lambda s, d: hierarchy.cyclic_nodes(t(s, d, "neurons")),
-        "p2_trees": lambda s, d: hierarchy.hierarchies(t(s, d, "neurons")),
+        "p2_trees": lambda s, d: _texts(hierarchy.hierarchies(t(s, d, "neurons"))),
+        "p2_found_in_blocks": lambda s, d: hierarchy.cyclic_nodes(t(s, d, "neurons"), cap=500),
+        "p2_trees_in_blocks": lambda s, d: _texts(hierarchy.hierarchies(t(s, d, "neurons"), cap=500)),
+        "p2_descendants": lambda s, d: hierarchy.descendants(hierarchy.hierarchies(t(s, d, "neurons"), paths=False)),
         "p2_depths": lambda s, d: hierarchy.hierarchies(t(s, d, "neurons"), paths=False).where("cycle_node_id is null").select("file_id", "node_id", "root_id", "depth", "n_descendants"),
-        "p3_found": lambda s, d: skew.key_loads(t(s, d, "neurons"), "file_id").where("heavy").select("file_id"),
-        "p3_loads": lambda s, d: skew.key_loads(t(s, d, "neurons"), "file_id").select("file_id", "n_rows", "heavy"),
+        "p3_found": lambda s, d: skew.key_loads(t(s, d, "neurons"), "file_id", "x").where("heavy").select("file_id"),
+        "p3_loads": lambda s, d: skew.key_loads(t(s, d, "neurons"), "file_id", "x").select("file_id", "n_rows", "heavy"),
         "p3_quantiles": lambda s, d: skew.key_quantiles(t(s, d, "neurons"), "file_id", "x", QUANTILES),
         "p4_found": lambda s, d: spatial.probe_pairs(t(s, d, "neurons"), t(s, d, "probes")),
         "p4_groups": lambda s, d: spatial.node_groups(t(s, d, "neurons")),
@@ -65,10 +75,24 @@ above AS (SELECT file_id, node_id, p AS cur FROM n SEMI JOIN fine USING (file_id
 """
 
 
+_LOOPS = """SELECT w.file_id, w.node_id, MIN(w.cur) AS cycle_node_id FROM walk w
+  JOIN (SELECT DISTINCT file_id, cur FROM walk WHERE node_id = cur) l ON w.file_id = l.file_id AND w.cur = l.cur GROUP BY 1, 2"""
+_WHOLE_TREES = _TREES.replace("0 AS depth FROM tops", "0 AS depth, [node_id] AS ids FROM tops").replace("f.depth + 1 FROM fine", "f.depth + 1, list_append(f.ids, c.node_id) FROM fine") + f""",
+numbered AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY file_id, root_id ORDER BY ids) - 1 AS preorder FROM fine),
+sizes AS (SELECT file_id, cur, COUNT(*) AS n FROM above GROUP BY 1, 2), loops AS ({_LOOPS})
+SELECT f.file_id, f.node_id, COALESCE(n.p, -1) AS parent_id, f.root_id, f.depth, 2 * preorder - f.depth AS entry, 2 * preorder - f.depth + 2 * COALESCE(s.n, 0) + 1 AS exit, preorder, COALESCE(s.n, 0) AS n_descendants,
+  CAST(NULL AS INT) AS cycle_node_id, array_to_string(ids, '/') AS path
+FROM numbered f JOIN n USING (file_id, node_id) LEFT JOIN sizes s ON f.file_id = s.file_id AND f.node_id = s.cur
+UNION ALL SELECT file_id, node_id, COALESCE(n.p, -1), NULL, NULL, NULL, NULL, NULL, NULL, cycle_node_id, NULL FROM loops JOIN n USING (file_id, node_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
-        "p2_found": _TREES + """SELECT w.file_id, w.node_id, MIN(w.cur) AS cycle_node_id FROM walk w
-            JOIN (SELECT DISTINCT file_id, cur FROM walk WHERE node_id = cur) l ON w.file_id = l.file_id AND w.cur = l.cur GROUP BY 1, 2""",
+        "p2_found": _TREES + _LOOPS,
+        "p2_found_in_blocks": _TREES + _LOOPS,
+        "p2_trees": _WHOLE_TREES,
+        "p2_trees_in_blocks": _WHOLE_TREES,
+        "p2_descendants": _TREES + "SELECT a.file_id, cur AS node_id, a.node_id AS descendant_id FROM above a SEMI JOIN n ON a.file_id = n.file_id AND a.cur = n.node_id",
         "p2_depths": _TREES + """SELECT f.file_id, f.node_id, f.root_id, f.depth, COALESCE(c.n, 0) AS n_descendants FROM fine f
             LEFT JOIN (SELECT file_id, cur, COUNT(*) AS n FROM above GROUP BY 1, 2) c ON f.file_id = c.file_id AND f.node_id = c.cur""",
         "p3_found": "SELECT file_id FROM neurons GROUP BY file_id HAVING COUNT(*) >= 0.02 * (SELECT COUNT(*) FROM neurons)",

@@ -180,6 +180,8 @@ def test_hierarchies_equal_brute_force(spark, cap):
         if k in loops:
             assert r["cycle_node_id"] == loops[k] and r["path"] is None and r["depth"] is None
         else:
+            assert r["preorder"] == sum(want[o] < want[k] for o in want if o[0] == k[0] and isinstance(want[o], list) and want[o][0] == want[k][0])
+            assert r["entry"] == 2 * r["preorder"] - r["depth"] and r["exit"] == r["entry"] + 2 * r["n_descendants"] + 1
             assert r["path"] == want[k] and r["depth"] == len(want[k]) - 1 and r["root_id"] == want[k][0] and r["n_descendants"] == len(below[k])
     chosen = sorted(k for k, v in below.items() if v)[:5]
     some = spark.createDataFrame(chosen, "file_id string, node_id int")
@@ -187,6 +189,7 @@ def test_hierarchies_equal_brute_force(spark, cap):
     for r in hierarchy.descendants(trees, some).collect():
         picked[r[0], r[1]].add(r[2])
     assert picked == {k: below[k] for k in chosen}
+    assert hierarchy.descendants(trees).count() == sum(map(len, below.values()))
 
 
 def test_links_without_order_fall_back_to_jumps(spark):
@@ -209,18 +212,20 @@ def test_hierarchies_of_nothing(spark):
 
 def test_key_loads_and_heavy_keys(spark):
     rows = [("a",)] * 96 + [("b",)] * 2 + [("c",)] + [(None,)]
-    got = {r["file_id"]: (r["n_rows"], r["heavy"]) for r in skew.key_loads(spark.createDataFrame(rows, "file_id string"), "file_id").collect()}
+    table = "file_id string, x double, k string, cell long, c long, least double"
+    given = [(k, [1.5, -2.0, None, math.nan, math.inf][n % 5], "k", 1, 1, 0.0) for n, (k,) in enumerate(rows)]
+    got = {r["file_id"]: (r["n_rows"], r["heavy"]) for r in skew.key_loads(spark.createDataFrame(given, table), "file_id", "x").collect()}
     assert got == {"a": (96, True), "b": (2, True), "c": (1, False), None: (1, False)}
-    assert skew.key_loads(spark.createDataFrame([], "file_id string"), "file_id").count() == 0
+    assert skew.key_loads(spark.createDataFrame([], table), "file_id", "x").count() == 0 and skew.key_quantiles(spark.createDataFrame([], table), "file_id", "x", [0.5]).count() == 0
 
 
-@pytest.mark.parametrize("hot", [1, 40, 10**6])
-def test_quantiles_equal_brute_force(spark, hot):
-    rng = random.Random(hot)
-    data = {"hot": [rng.choice([rng.gauss(0, 1e6), rng.random(), 5.0, -0.0, 1e300, -1e300, 5e-324]) for _ in range(400)], "same": [2.0] * 60, "one": [1.5], None: [3.0, 1.0, 2.0]}
+@pytest.mark.parametrize("bins", [2, 8, 512])
+def test_quantiles_equal_brute_force(spark, bins):
+    rng = random.Random(bins)
+    data = {"hot": [rng.choice([rng.gauss(0, 1e6), rng.random(), 5.0, -0.0, 1e300, -1e300, 5e-324, 7 + rng.random() / 1e6]) for _ in range(400)], "same": [2.0] * 60, "one": [1.5], None: [3.0, 1.0, 2.0]}
     rows = [(k, v) for k, vs in data.items() for v in vs] + [("hot", None), ("hot", math.nan), ("hot", math.inf), ("bare", None)]
     probs = [0.0, 0.01, 0.5, 0.77, 1.0]
-    got = {(r["file_id"], r["prob"]): (r["n_values"], r["value"]) for r in skew.key_quantiles(spark.createDataFrame(rows, "file_id string, x double"), "file_id", "x", probs, hot_rows=hot, bins=8).collect()}
+    got = {(r["file_id"], r["prob"]): (r["n_values"], r["value"]) for r in skew.key_quantiles(spark.createDataFrame(rows, "file_id string, x double"), "file_id", "x", probs, bins).collect()}
     want = {(k, p): (len(v), sorted(v)[max(1, math.ceil(p * len(v))) - 1]) for k, v in data.items() for p in probs}
     assert got == want
 
