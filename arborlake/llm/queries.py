@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from arborlake.llm import lookalikes, mixing, packing
+from arborlake.llm import clusters, lookalikes, mixing, packing
 from arborlake.runtime import read_table
 
 
 def queries() -> dict:
     t = read_table
     return {
+        "p4_found": lambda s, d: clusters.probe_pairs(t(s, d, "neurons"), t(s, d, "probes")),
+        "p4_groups": lambda s, d: clusters.node_groups(t(s, d, "neurons")),
+        "p4_clusters": lambda s, d: clusters.clusters(t(s, d, "neurons")),
+        "p4_members": lambda s, d: clusters.node_clusters(t(s, d, "neurons")),
         "p8_packed": lambda s, d: packing.pack_documents(t(s, d, "documents"), t(s, d, "pack_targets")),
         "p8_containers": lambda s, d: packing.containers(t(s, d, "documents"), t(s, d, "pack_targets")),
         "p8_report": lambda s, d: packing.pack_report(t(s, d, "documents"), t(s, d, "pack_targets")),
