@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from arborlake.runtime import written
+
 #: Ids that share a block of the as-of match; bounds what one window holds.
 BLOCK_IDS = 1 << 15
 
 
 def key_runs(keys: DataFrame, scope: str, key: str, since: str, block_ids: int = BLOCK_IDS) -> DataFrame:
-    """Contiguous runs of integer keys that are there since the same moment.
+    """Contiguous runs of integer keys that are there since the same moment (or for the same spans).
 
     Input rows are distinct per (scope, key). Runs end at block borders, so
     the longest window has ``block_ids`` rows. Output: scope, block, run_start,
@@ -26,21 +28,22 @@ def key_runs(keys: DataFrame, scope: str, key: str, since: str, block_ids: int =
     return marked.groupBy("scope", "block", "run").agg(F.min("k").alias("run_start"), F.max("k").alias("run_end"), F.first("since").alias("since")).drop("run")
 
 
-def match_runs(refs: DataFrame, runs: DataFrame, scope: str, ref: str, block_ids: int = BLOCK_IDS) -> DataFrame:
-    """As-of match: each reference meets the run that starts at or before it.
+def match_runs(asked: DataFrame, runs: DataFrame, block_ids: int = BLOCK_IDS) -> DataFrame:
+    """As-of match: each reference (scope, k; distinct) meets the run that starts at or before it.
 
-    References are first reduced to distinct (scope, ref), so a key that a
-    third of all rows refer to is looked up once. Adds ``found`` (the
-    reference is not beyond the run's end) and ``found_since``.
+    Adds ``found`` (the reference is not beyond the run's end) and ``since``
+    of the run. Other columns of ``asked`` are kept.
     """
-    asked = refs.select(F.col(scope).alias("scope"), F.col(ref).cast("long").alias("k")).distinct().withColumn("block", F.floor(F.col("k") / block_ids))
-    both = runs.select("scope", "block", F.col("run_start").alias("k"), F.struct("run_end", "since").alias("run"), F.lit(0).alias("asks")).unionByName(
-        asked.select("scope", "block", "k", F.lit(None).cast(_run_type(runs)).alias("run"), F.lit(1).alias("asks"))
+    extra = [c for c in asked.columns if c not in ("scope", "k")]
+    placed = asked.withColumn("block", F.floor(F.col("k") / block_ids))
+    blank = [F.lit(None).cast(dict(asked.dtypes)[c]).alias(c) for c in extra]
+    both = runs.select("scope", "block", F.col("run_start").alias("k"), *blank, F.struct("run_end", "since").alias("run"), F.lit(0).alias("asks")).unionByName(
+        placed.select("scope", "block", "k", *extra, F.lit(None).cast(_run_type(runs)).alias("run"), F.lit(1).alias("asks"))
     )
     by = Window.partitionBy("scope", "block").orderBy("k", "asks").rowsBetween(Window.unboundedPreceding, 0)
     met = both.withColumn("run", F.last("run", ignorenulls=True).over(by)).where("asks = 1")
     ok = F.coalesce(F.col("k") <= F.col("run.run_end"), F.lit(False))
-    return met.select("scope", F.col("k").alias("ref"), ok.alias("found"), F.when(ok, F.col("run.since")).alias("found_since"))
+    return met.select("scope", "k", *extra, ok.alias("found"), F.when(ok, F.col("run.since")).alias("since"))
 
 
 def _run_type(runs: DataFrame) -> str:
@@ -49,53 +52,63 @@ def _run_type(runs: DataFrame) -> str:
 
 
 def first_loads(neurons: DataFrame) -> DataFrame:
-    """Distinct nodes with their first load. Repeats are combined before the shuffle."""
-    return neurons.groupBy("file_id", "node_id").agg(F.min("loaded_at").alias("first_load"), F.min("parent_id").alias("parent_id"), F.min("region_id").alias("region_id"))
+    """Distinct nodes with their first load. Repeats are combined before the shuffle; null keys name no node."""
+    named = neurons.where(F.col("file_id").isNotNull() & F.col("node_id").isNotNull())
+    return named.groupBy("file_id", "node_id").agg(F.min("loaded_at").alias("first_load"), F.min("parent_id").alias("parent_id"), F.min("region_id").alias("region_id"))
 
 
-def parent_orphans(neurons: DataFrame, block_ids: int = BLOCK_IDS) -> DataFrame:
-    """Nodes whose ``parent_id`` (not null, not -1) has no node in the file, or one loaded later.
+def _reported(refs: DataFrame, bad: DataFrame, scoped: bool, ref: str, wrong: Column, cause: Column) -> DataFrame:
+    """The references whose key is among the bad ones, and for which it is wrong indeed."""
+    same = F.col(ref).cast("long") == F.col("k")
+    joined = refs.join(bad, (F.col("file_id") == F.col("scope")) & same if scoped else same)
+    return joined.where(wrong).select("file_id", "node_id", F.lit(ref).alias("ref_field"), F.col("k").alias("missing_key"), "first_load", cause.alias("cause"))
 
-    Nulls in ``file_id`` or ``node_id`` name no node: such rows neither refer
-    nor are referred to. A null load time counts as never later and never
-    earlier. Repeats of a node count once, with its earliest load; other
-    columns are ignored. Output: file_id, node_id, ref_field, missing_key,
-    first_load, cause.
+
+def parent_orphans(nodes: DataFrame, block_ids: int = BLOCK_IDS) -> DataFrame:
+    """Of ``first_loads``: nodes whose ``parent_id`` (not null, not -1) has no node in the file, or one loaded later.
+
+    References are reduced to distinct (file, parent) with their earliest
+    load, so a parent that a third of all rows refer to is looked up once; only
+    keys that are wrong for some reference come back to the nodes. A null load
+    time counts as never later and never earlier.
     """
-    nodes = first_loads(neurons).where(F.col("file_id").isNotNull() & F.col("node_id").isNotNull())
     runs = key_runs(nodes, "file_id", "node_id", "first_load", block_ids)
     refs = nodes.where("parent_id is not null and parent_id <> -1")
-    met = match_runs(refs, runs, "file_id", "parent_id", block_ids)
-    bad_keys = met.where(~F.col("found") | F.col("found_since").isNotNull())
-    joined = refs.join(bad_keys, (refs["file_id"] == bad_keys["scope"]) & (refs["parent_id"] == bad_keys["ref"]))
-    late = F.col("found_since") > F.col("first_load")
-    return joined.where(~F.col("found") | late).select(
-        "file_id", "node_id", F.lit("parent_id").alias("ref_field"), F.col("ref").alias("missing_key"), "first_load", F.when(F.col("found"), "later").otherwise("missing").alias("cause")
-    )
+    asked = refs.groupBy(F.col("file_id").alias("scope"), F.col("parent_id").cast("long").alias("k")).agg(F.min("first_load").alias("earliest"))
+    bad = match_runs(asked, runs, block_ids).where(~F.col("found") | (F.col("since") > F.col("earliest")))
+    return _reported(refs, bad, True, "parent_id", ~F.col("found") | (F.col("since") > F.col("first_load")), F.when(F.col("found"), "later").otherwise("missing"))
 
 
-def region_orphans(neurons: DataFrame, regions: DataFrame) -> DataFrame:
-    """Nodes whose ``region_id`` (not null, not 0) named no valid region at the first load.
+def region_orphans(nodes: DataFrame, regions: DataFrame, block_ids: int = BLOCK_IDS) -> DataFrame:
+    """Of ``first_loads``: nodes whose ``region_id`` (not null, not 0) named no valid region at the first load.
 
     A region is valid from ``added_at`` until just before ``retired_at``
-    (null: still). The region table is small and fixed; Spark broadcasts it if
-    its size allows and shuffles otherwise. A null first load matches no
-    validity, so it is a case. Output as ``parent_orphans``.
+    (null: still). Contiguous region ids with the same spans of validity are
+    one run; references, reduced to distinct ids with their earliest and latest
+    load, are matched as-of to the run before them. A null first load matches
+    no validity, so it is a case.
     """
-    nodes = first_loads(neurons).where(F.col("file_id").isNotNull() & F.col("node_id").isNotNull())
+    spans = regions.where("region_id is not null").groupBy("region_id").agg(F.array_sort(F.collect_set(F.struct("added_at", "retired_at"))).alias("spans"))
+    runs = key_runs(spans.withColumn("scope", F.lit("regions")), "scope", "region_id", "spans", block_ids)
     refs = nodes.where("region_id is not null and region_id <> 0")
-    spans = regions.where("region_id is not null").select(F.col("region_id").alias("rid"), "added_at", "retired_at")
-    known = spans.groupBy("rid").agg(F.collect_list(F.struct("added_at", "retired_at")).alias("spans"))
-    joined = refs.join(known, refs["region_id"] == known["rid"], "left")
-    valid = F.exists("spans", lambda s: (s["added_at"] <= F.col("first_load")) & F.coalesce(F.col("first_load") < s["retired_at"], s["retired_at"].isNull()))
-    return joined.where(~F.coalesce(valid, F.lit(False))).select(
-        "file_id", "node_id", F.lit("region_id").alias("ref_field"), F.col("region_id").cast("long").alias("missing_key"), "first_load", F.when(F.col("rid").isNull(), "missing").otherwise("not_valid").alias("cause")
-    )
+    asked = refs.groupBy(F.lit("regions").alias("scope"), F.col("region_id").cast("long").alias("k")).agg(F.min("first_load").alias("earliest"), F.max("first_load").alias("latest"), F.count_if(F.col("first_load").isNull()).alias("undated"))
+    at = lambda s, when: F.coalesce(s["added_at"] <= F.col(when), F.lit(False)) & F.coalesce(F.col(when) < s["retired_at"], s["retired_at"].isNull())
+    always = F.exists("since", lambda s: at(s, "earliest") & at(s, "latest"))  # one span holds all references
+    bad = match_runs(asked, runs, block_ids).where(~F.col("found") | (F.col("undated") > 0) | ~F.coalesce(always, F.lit(False)))
+    valid = F.col("first_load").isNotNull() & F.exists("since", lambda s: at(s, "first_load"))
+    return _reported(refs, bad.drop("scope"), False, "region_id", ~F.coalesce(valid, F.lit(False)), F.when(F.col("found"), "not_valid").otherwise("missing"))
 
 
 def orphans(neurons: DataFrame, regions: DataFrame, block_ids: int = BLOCK_IDS) -> DataFrame:
-    """All orphan references of both kinds."""
-    return parent_orphans(neurons, block_ids).unionByName(region_orphans(neurons, regions))
+    """All orphan references of both kinds, from one scan of the nodes.
+
+    Nulls in ``file_id`` or ``node_id`` name no node: such rows neither refer
+    nor are referred to. Repeats of a node count once, with its earliest load;
+    other columns are ignored. Output: file_id, node_id, ref_field,
+    missing_key, first_load, cause.
+    """
+    nodes = written(first_loads(neurons))
+    return parent_orphans(nodes, block_ids).unionByName(region_orphans(nodes, regions, block_ids))
 
 
 def orphan_report(neurons: DataFrame, regions: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from arborlake.runtime import written
 
 #: Ids of one file that share a bucket, as a power of two. Neighbouring rows mostly share
 #: their bucket, so the matrix is combined before the shuffle.
@@ -66,16 +67,19 @@ def differences(neurons: DataFrame, copy: DataFrame, tolerance: float = 0.001, b
     (values as text), one row per differing field.
     """
     matrix = checksum_matrix(neurons, copy, bits, tolerance)
-    unequal = matrix.where(" or ".join(f"{c} <> 0" for c in SUMS)).select(F.col("bucket").alias("b"))
+    off = lambda c: (F.col(f"{c}_high") != 0) | (F.col(f"{c}_low") != 0)
+    # Small beside the tables as long as differences are few; a stored table, so Spark broadcasts it or filters by it before the shuffle, as its size allows.
+    unequal = written(matrix.select(F.col("bucket").alias("b"), off("region").alias("read_region"), off("x").alias("read_x"), ((F.col("n") != 0) | off("key")).alias("read_key")).where("read_region or read_x or read_key"))
 
     def side(df: DataFrame, name: str) -> DataFrame:
-        return df.where(F.col("file_id").isNotNull() & F.col("node_id").isNotNull()).select(
-            "file_id", "node_id", F.when(~F.isnan("x"), F.col("x")).alias("x"), F.coalesce("region_id", F.lit(0)).alias("region_id"), F.lit(name).alias("side"), _bucket(bits).alias("bucket")
+        rows = df.where(F.col("file_id").isNotNull() & F.col("node_id").isNotNull()).select(
+            "file_id", "node_id", F.when(~F.isnan("x"), F.col("x")).alias("x"), F.coalesce("region_id", F.lit(0)).alias("region_id"), _bucket(bits).alias("bucket")
         )
+        # Only rows of unequal buckets go on, and of them only the columns that are unequal there.
+        rows = rows.join(unequal, F.col("bucket") == F.col("b"))
+        return rows.select("file_id", "node_id", F.when(F.col("read_x"), F.col("x")).alias("x"), F.when(F.col("read_region"), F.col("region_id")).otherwise(0).alias("region_id"), F.lit(name).alias("side"))
 
     rows = side(neurons, "n").unionAll(side(copy, "c"))
-    # Only the rows of unequal buckets are compared.
-    rows = rows.join(unequal, rows["bucket"] == unequal["b"], "left_semi")
     pick = lambda c, s: F.max(F.when(F.col("side") == s, F.col(c)))
     nodes = rows.groupBy("file_id", "node_id").agg(
         pick("region_id", "n").alias("rn"), pick("region_id", "c").alias("rc"), pick("x", "n").alias("xn"), pick("x", "c").alias("xc")

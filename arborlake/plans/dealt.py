@@ -1,10 +1,10 @@
-"""Queries of the general training-data operators (problems 1 to 7) and their SQL."""
+"""Queries of the general training-data operators (problems 1 to 3 and 5 to 7) and their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from arborlake.operators import drift, hierarchy, references, skew, spatial, twins
+from arborlake.operators import drift, hierarchy, references, skew, twins
 from arborlake.runtime import read_table as t
 from arborlake.sources import csv_points
 
@@ -30,10 +30,6 @@ def queries() -> dict:
         "p3_found": lambda s, d: skew.key_loads(t(s, d, "neurons"), "file_id", "x").where("heavy").select("file_id"),
         "p3_loads": lambda s, d: skew.key_loads(t(s, d, "neurons"), "file_id", "x").select("file_id", "n_rows", "heavy"),
         "p3_quantiles": lambda s, d: skew.key_quantiles(t(s, d, "neurons"), "file_id", "x", QUANTILES),
-        "p4_found": lambda s, d: spatial.probe_pairs(t(s, d, "neurons"), t(s, d, "probes")),
-        "p4_groups": lambda s, d: spatial.node_groups(t(s, d, "neurons")),
-        "p4_clusters": lambda s, d: spatial.clusters(t(s, d, "neurons")),
-        "p4_members": lambda s, d: spatial.node_clusters(t(s, d, "neurons")),
         "p5_found": lambda s, d: references.orphans(t(s, d, "neurons"), t(s, d, "atlas_regions")).select("file_id", "node_id", "ref_field"),
         "p5_report": lambda s, d: references.orphan_report(t(s, d, "neurons"), t(s, d, "atlas_regions")),
         "p6_found": lambda s, d: twins.differences(t(s, d, "neurons"), t(s, d, "neurons_copy")).select("file_id", "node_id", "diff"),

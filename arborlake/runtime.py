@@ -38,23 +38,31 @@ def written(df: DataFrame) -> DataFrame:
     """Cut the lineage: write a compressed table to the shared folder, read it back.
 
     A columnar table needs a fraction of the space of ``checkpoint()`` and
-    survives the loss of executors just as well.
+    survives the loss of executors just as well. It goes when it is dropped, or
+    with the session.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/arborlake-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    fs, target = file_system(spark, path)
+    fs.deleteOnExit(target)
     out = spark.read.schema(df.schema).parquet(path)
     out._arborlake_path = path
     return out
 
 
+def file_system(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and the path; so that any store that Spark reads can be used."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
 def dropped(df: DataFrame) -> None:
     """Delete a table made by ``written`` that nothing reads any more."""
     path = getattr(df, "_arborlake_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(df.sparkSession._jsc.sc().hadoopConfiguration() if hasattr(df.sparkSession._jsc, "sc") else df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        fs, target = file_system(df.sparkSession, path)
+        fs.delete(target, True)
 
 
 def is_number(c: Column | str) -> Column:

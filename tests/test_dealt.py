@@ -9,7 +9,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from arborlake.operators import drift, hierarchy, references, skew, spatial, twins
+from arborlake.operators import drift, hierarchy, references, skew, twins
 from arborlake.runtime import read_table
 from arborlake.sources import csv_points
 
@@ -230,64 +230,6 @@ def test_quantiles_equal_brute_force(spark, bins):
     assert got == want
 
 
-# 4 -----------------------------------------------------------------------------------------------
-
-
-def brute_groups(points, eps):
-    left, out = set(points), {}
-    while left:
-        todo = [left.pop()]
-        group = set(todo)
-        while todo:
-            a = todo.pop()
-            near = {b for b in left if math.dist(points[a], points[b]) <= eps}
-            left -= near
-            group |= near
-            todo += near
-        for a in group:
-            out[a] = frozenset(group)
-    return out
-
-
-@pytest.mark.parametrize("limits", [{"leaf_rows": 20, "radius": 30.0}, {"most_cells": 30, "leaf_rows": 30, "radius": 50.0}])
-def test_probe_pairs_equal_brute_force(spark, limits):
-    rng = random.Random(5)
-    centres = [(rng.uniform(-400, 400), rng.uniform(-400, 400), rng.uniform(0, 300)) for _ in range(9)]
-    points = {("f%d" % (k % 3), k): tuple(round(v + rng.gauss(0, 35), 2) for v in rng.choice(centres)) for k in range(500)}
-    rows = [neuron(f, n, x=p[0], y=p[1], z=p[2]) for (f, n), p in points.items()]
-    rows += rows[:50] + [neuron("f0", 1000, x=None), neuron("f0", 1001, y=math.nan), neuron("f0", 1002, z=math.inf), neuron(None, 3), neuron("f0", 1003, x=1e14, y=0.0, z=0.0)]
-    probes = [(k, "f%d" % (k % 3), k) for k in range(0, 500, 4)] + [(900, "f0", 0), (901, "f0", 1000), (902, None, 1), (None, "f0", 3), (903, "f0", 1003)]
-    groups = brute_groups(points, 60.0)
-    of = {p: groups[f, n] for p, f, n in probes if p is not None and (f, n) in groups and len(groups[f, n]) >= 12}
-    want = {(a, b) for a in of for b in of if a < b and of[a] == of[b]}
-    df, pr = neurons(spark, rows), spark.createDataFrame(probes, "probe_id long, file_id string, node_id int")
-    assert {tuple(r) for r in spatial.probe_pairs(df, pr, 60.0, 12, **limits).collect()} == want
-    got = {(r["file_id"], r["node_id"]): r["group_size"] for r in spatial.node_groups(df, 60.0, 12, **limits).collect()}
-    assert got == {k: len(g) for k, g in groups.items() if len(g) >= 12}
-
-
-def test_near_is_exact():
-    import numpy as np
-
-    rng = np.random.default_rng(0)
-    for _ in range(60):
-        a, b = rng.normal(0, 30, (rng.integers(1, 150), 3)), rng.normal(0, 30, (rng.integers(1, 150), 3)) + rng.uniform(50, 200, 3)
-        least = np.sqrt(((a[:, None] - b[None]) ** 2).sum(2)).min()
-        for eps in (least * 0.999, least * 1.001, 60.0):
-            assert spatial.near(a, b, eps) == (least <= eps)
-
-
-def test_clusters_hold_all_nodes_and_name_typical_ones(spark, sf):
-    df = read_table(spark, sf, "neurons")
-    got = spatial.clusters(df, typical=2, leaf_rows=300, radius=200.0).collect()
-    placed = df.where(spatial.is_number("x") & spatial.is_number("y") & spatial.is_number("z")).select("file_id", "node_id").distinct().count()
-    sizes = {r["cluster"]: r["n_nodes"] for r in got}
-    assert sum(sizes.values()) == placed and len(sizes) > 3
-    assert all(r["rank"] in (1, 2) for r in got)
-    assert spatial.node_clusters(df, leaf_rows=300, radius=200.0).count() == placed
-    assert spatial.clusters(df.limit(0)).count() == 0 and spatial.node_groups(df.limit(0)).count() == 0
-
-
 # 5 -----------------------------------------------------------------------------------------------
 
 REGIONS = "region_id int, acronym string, added_at timestamp, retired_at timestamp, file_id string"
