@@ -320,12 +320,59 @@ def test_point_lines(spark, sf):
     schema = "csv_file string, line_no int, raw string, received_at timestamp, header string, reason string"
     rows = [
         ("a", 1, 'marker,"atlas_x",atlas_y,atlas_z,strength', T0, "h", "r"), ("a", 2, "m,1,2,3,0.5", T0, "h", "r"), ("a", 2, "m,1,2,3,0.5", T0, "h", "r"), ("a", 3, None, T0, "h", "r"), ("a", 4, "m,1,2,3," + "é" * 100_000, T0, "h", "r"),
+        ("a", 1, "label,other", None, "h", "r"), ("c", 1, "label,x,y,z,id", None, "h", "r"), ("c", 2, "p,1,2,3," + "9" * 5000, T0, "h", "r"), ("c", 3, "p,1,2,3,-9223372036854775808", T0, "h", "r"), ("c", 4, "ö,1,2,3,9223372036854775808", T0, "h", "r"),
         ("b", 2, "no header,1", T0, "h", "r"), (None, 2, "x", T0, "h", "r"), ("a", None, "m,1,2", T0, "h", "r"),
     ]
     df = spark.createDataFrame(rows, schema)
     good = csv_points.good_points(df).collect()
-    assert [(r["label"], r["x"], r["line_no"]) for r in good] == [("m", 1.0, 2), ("m", 1.0, 2), ("m", 1.0, 4)]
+    assert sorted((r["label"], r["x"], r["line_no"]) for r in good if r["origin_csv"] == "a") == [("m", 1.0, 2), ("m", 1.0, 2), ("m", 1.0, 4)]
+    assert {r["line_no"]: (r["id"], r["extras"]) for r in good if r["origin_csv"] == "c"} == {2: (None, '{"id":"' + "9" * 5000 + '"}'), 3: (-(2**63), None), 4: (None, '{"id":"9223372036854775808"}')}
     assert len(csv_points.bad_records(df).collect()) == 4
     assert csv_points.parse_point_lines(df.limit(0)).count() == 0
     real = read_table(spark, sf, "point_csv_lines")
     assert csv_points.good_points(real).count() + csv_points.bad_records(real).count() == real.where("line_no <> 1").count()
+
+
+def test_plain_lines_are_judged_as_by_the_descent_parser(spark):
+    columns = ["label", "x", "strength", "y", "z", "region_name", "id", "acronym"]
+    rng = random.Random(4)
+    pool = ["", " ", "a", "é b", "1", "-2.5", "+.5e3", "1.", "1e999", "0x1", "7", " 8 ", "+9", "nan", "Ω", "5d", "99999999999999999999", "b;c", "1_0", "µ"]
+    raws = [",".join(rng.choice(pool if rng.random() < 0.5 else ["1", "2.5", "a"]) for _ in range(rng.choice([8] * 9 + [7, 9]))) for _ in range(3000)]
+    raws += ['"a",1,2,3,4,,,', 'a"b,1,,2,3,,,', "a,1,,2,3,x\ty,,", "a,1,,2,3,�,,", "a,1,,2\u00a0,3,,,", "a,1,,٣,3,,,", "", "a" * 50_000 + ",1,,2,3,,,"]
+    lines = spark.createDataFrame([("f", 1, ",".join(columns), T0)] + [("f", n + 2, raw, T0) for n, raw in enumerate(raws)], "csv_file string, line_no int, raw string, received_at timestamp")
+    got = {r["line_no"]: r for r in csv_points.parse_point_lines(lines).collect()}
+    for n, raw in enumerate(raws):
+        row, reason, at, wrong = csv_points.parse_record(raw, columns)
+        r = got[n + 2]
+        assert (r["reason"], r["error_at"], r["error_field"]) == (reason, at if at >= 0 else None, wrong), raw
+        assert {c: r[c] for c in (*csv_points.COLUMNS, "extras")} == csv_points._typed({k: v for k, v in row.items()}, reason) | ({"extras": r["extras"]} if reason else {}), raw
+
+
+@pytest.mark.parametrize("size", [7, 40, 150, 1 << 20])
+def test_files_are_read_in_ranges_from_anchor_to_anchor(spark, tmp_path, size):
+    rng = random.Random(6)
+    lines, want = ["label,x,y,z,region_name"], []
+    for n in range(120):
+        k = rng.random()
+        if k < 0.1:
+            lines.append(f'm{n},1,2,3,"two\nlines, ""quoted"""')
+            want.append((f"m{n}", None))
+        elif k < 0.15:
+            lines.append(f'm{n},1,2,3,"broken')
+            want.append((None, "bad_quoting"))
+        elif k < 0.2:
+            lines.append(f"m{n},1,2")
+            want.append((None, "column_count"))
+        elif k < 0.25:
+            lines.append(f"m{n},one,2,3,Größe")
+            want.append((None, "invalid_value"))
+        else:
+            lines += [f"m{n},{n},2,3,Größe", f"k{n},{n},2,3,", f"l{n},{n},2,3,"]
+            want += [(f"{c}{n}", None) for c in "mkl"]
+    (tmp_path / "p.csv").write_text("\r\n".join(lines), encoding="utf-8", newline="")
+    got = csv_points.read_point_files(spark, [str(tmp_path)], size).orderBy("record_at").collect()
+    whole = csv_points.read_point_files(spark, [str(tmp_path)]).orderBy("record_at").collect()
+    assert [tuple(r) for r in got] == [tuple(r) for r in whole]
+    # A damaged record ends at the next anchor: no good record goes with it.
+    assert {r["label"] for r in got if r["label"]} == {x for x, _ in want if x}
+    assert {r["reason"] for r in got} == {None, "bad_quoting", "column_count", "invalid_value"}
