@@ -351,7 +351,7 @@ def test_plain_lines_are_judged_as_by_the_descent_parser(spark):
 @pytest.mark.parametrize("size", [7, 40, 150, 1 << 20])
 def test_files_are_read_in_ranges_from_anchor_to_anchor(spark, tmp_path, size):
     rng = random.Random(6)
-    lines, want = ["label,x,y,z,region_name"], []
+    lines, want = ["label,x,y,z,note"], []
     for n in range(120):
         k = rng.random()
         if k < 0.1:
