@@ -27,25 +27,26 @@ KEYS = ("file_id", "node_id", "type", "x")
 
 
 def export_fields(lines: DataFrame) -> DataFrame:
-    """One row per line and field: its JSON kind and its text as stored.
+    """One row per line and field: its JSON kind and its value as text.
 
-    Lines that are no JSON object have no fields. Output: stream, export_id,
-    exported_at, file_id, node_id, field, kind (boolean, integer, decimal,
-    text; null for a JSON null), value.
+    Each line is parsed once, to variants by name. Lines that are no JSON
+    object have no fields. Numbers of one kind and value have one text,
+    however they are written (1.50 and 1.5, but not 1). Output: stream,
+    export_id, exported_at, file_id, node_id, field, kind (boolean, integer,
+    decimal, text; null for a JSON null), value.
     """
-    parsed = lines.select("stream", "export_id", "exported_at", "payload", F.expr("try_parse_json(payload)").alias("v")).where("v is not null")
-    parsed = parsed.withColumn("texts", F.from_json("payload", "map<string,string>"))
-    view = parsed.select(
-        "stream", "export_id", "exported_at", "texts", "v",
-        F.expr("try_variant_get(v, '$.file_id', 'string')").alias("file_id"), F.expr("try_variant_get(v, '$.node_id', 'bigint')").alias("node_id"),
-    )
-    spark = lines.sparkSession
-    pairs = view.lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).select("stream", "export_id", "exported_at", "file_id", "node_id", "texts", F.col("key").alias("field"), "value").where("field is not null")
-    shape = F.schema_of_variant("value")
-    text = F.coalesce(F.element_at("texts", F.col("field")), F.expr("try_variant_get(value, '$', 'string')"))
-    number = F.when(text.rlike("[.eE]"), "decimal").otherwise("integer")
-    kind = F.when(shape == "VOID", None).when(shape == "BOOLEAN", "boolean").when(shape == "BIGINT", "integer").when(shape.rlike("^(DECIMAL|DOUBLE|FLOAT)"), number).otherwise("text")
-    return pairs.select("stream", "export_id", "exported_at", "file_id", "node_id", "field", kind.alias("kind"), F.when(shape != "VOID", text).alias("value"))
+    parsed = lines.where(r"payload rlike '\\}\\s*$'").select("stream", "export_id", "exported_at", F.from_json("payload", "map<string,variant>").alias("fields"), F.when(F.col("payload").rlike("[0-9]{19}"), F.col("payload")).alias("long_numbers"))
+    own = lambda name, kind: F.expr(f"try_variant_get(fields['{name}'], '$', '{kind}')").alias(name)
+    pairs = parsed.select("stream", "export_id", "exported_at", own("file_id", "string"), own("node_id", "bigint"), "long_numbers", F.explode("fields").alias("field", "variant"))
+    shape, text = F.schema_of_variant("variant"), F.expr("try_variant_get(variant, '$', 'string')")
+    pairs = pairs.select("stream", "export_id", "exported_at", "file_id", "node_id", "field", shape.alias("shape"), text.alias("text"), "long_numbers")
+    # A variant keeps 18.0 as a decimal without places. Integers are decimals only beyond 18 digits; there the text of the line tells.
+    point_less = F.col("shape").rlike("^DECIMAL\\([0-9]+,0\\)")
+    written_whole = F.coalesce(F.rlike("long_numbers", F.concat(F.lit('"\\Q'), F.col("field"), F.lit('\\E"\\s*:\\s*'), F.col("text"), F.lit("\\s*[,}]"))), F.lit(False))
+    decimal = F.col("shape").rlike("^(DECIMAL|DOUBLE|FLOAT)") & ~(point_less & written_whole)
+    kind = F.when(F.col("shape") == "VOID", None).when(F.col("shape") == "BOOLEAN", "boolean").when((F.col("shape") == "BIGINT") | (point_less & ~decimal), "integer").when(decimal, "decimal").otherwise("text")
+    value = F.when(decimal & point_less, F.concat("text", F.lit(".0"))).otherwise(F.col("text"))
+    return pairs.select("stream", "export_id", "exported_at", "file_id", "node_id", "field", kind.alias("kind"), F.when(F.col("shape") != "VOID", value).alias("value"))
 
 
 def _numbered_exports(lines: DataFrame) -> DataFrame:
@@ -75,33 +76,52 @@ def column_catalogue(lines: DataFrame) -> DataFrame:
     return _catalogue(export_fields(lines), _numbered_exports(lines))
 
 
+def _islands(catalogue: DataFrame) -> DataFrame:
+    """Islands of consecutive exports per stream, field and type. One row an export and field, so windows are small."""
+    by = Window.partitionBy("stream", "field").orderBy("seq")
+    goes_on = (F.lag("seq").over(by) == F.col("seq") - 1) & F.lag("type").over(by).eqNullSafe(F.col("type"))
+    numbered = catalogue.withColumn("island", F.sum(F.when(goes_on, 0).otherwise(1)).over(by))
+    return numbered.groupBy("stream", "field", "island", "type").agg(
+        F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.min_by("export_id", "seq").alias("first_export"), F.max_by("export_id", "seq").alias("last_export"), F.count(F.lit(1)).alias("n_exports")
+    ).drop("island")
+
+
 def column_lifespans(lines: DataFrame) -> DataFrame:
     """Islands of consecutive exports with a field of one type, per stream.
 
     A field whose values are all null in an export keeps the type it had.
     Output: stream, field, type, first_seq, last_seq, first_export, last_export, n_exports.
     """
-    by = Window.partitionBy("stream", "field").orderBy("seq")
-    held = column_catalogue(lines).withColumn("type", F.coalesce(F.col("type"), F.last("type", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0))))
-    goes_on = (F.lag("seq").over(by) == F.col("seq") - 1) & F.lag("type").over(by).eqNullSafe(F.col("type"))
-    islands = held.withColumn("island", F.sum(F.when(goes_on, 0).otherwise(1)).over(by))
-    return islands.groupBy("stream", "field", "island", "type").agg(
-        F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.min_by("export_id", "seq").alias("first_export"), F.max_by("export_id", "seq").alias("last_export"), F.count(F.lit(1)).alias("n_exports")
-    ).drop("island")
+    upto = Window.partitionBy("stream", "field").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    return _islands(column_catalogue(lines).withColumn("type", F.coalesce(F.col("type"), F.last("type", ignorenulls=True).over(upto))))
+
+
+def column_casts(lines: DataFrame, aliases: dict[str, str] | None = None, targets: dict[str, str] | None = None) -> DataFrame:
+    """The cast of every observed field and type into the consistent table, generated from the alias table.
+
+    Fields without an alias have none. Output: field, type (null: nulls only),
+    n_exports, column_name, column_type, cast_sql.
+    """
+    targets = targets or TARGETS
+    seen = column_catalogue(lines).groupBy("field", "type").agg(F.count(F.lit(1)).alias("n_exports")).withColumn("column_name", target_column(aliases))
+    kind = F.element_at(F.create_map(*[F.lit(x) for pair in targets.items() for x in pair]), F.col("column_name"))
+    name = F.concat(F.lit("`"), F.regexp_replace("field", "`", "``"), F.lit("`"))
+    return seen.withColumn("column_type", kind).withColumn("cast_sql", F.concat(F.lit("try_cast("), name, F.lit(" AS "), F.col("column_type"), F.lit(") AS "), F.col("column_name")))
 
 
 def _edges(catalogue: DataFrame, exports: DataFrame) -> DataFrame:
-    """Starts, endings and type changes, at the export where each shows."""
-    by = Window.partitionBy("stream", "field").orderBy("seq")
-    c = catalogue.select(
-        "stream", "seq", "field", "type",
-        F.lag("seq").over(by).alias("seq_before"), F.lag("type").over(by).alias("type_before"), F.lead("seq").over(by).alias("seq_after"),
+    """Starts and endings of the islands, and type changes between them, at the export where each shows."""
+    by = Window.partitionBy("stream", "field").orderBy("first_seq")
+    c = _islands(catalogue).select(
+        "stream", "field", "type", "first_seq", "last_seq",
+        F.lag("last_seq").over(by).alias("before"), F.lag("type").over(by).alias("type_before"), F.lead("first_seq").over(by).alias("after"),
     )
-    starts = (F.col("seq") > 1) & F.coalesce(F.col("seq_before") < F.col("seq") - 1, F.lit(True))
-    ends = F.coalesce(F.col("seq_after") > F.col("seq") + 1, F.lit(True))
-    retyped = (F.col("seq_before") == F.col("seq") - 1) & (F.col("type") != F.col("type_before"))
+    follows = F.coalesce(F.col("before") == F.col("first_seq") - 1, F.lit(False))
+    starts = (F.col("first_seq") > 1) & ~follows
+    ends = F.coalesce(F.col("after") > F.col("last_seq") + 1, F.lit(True))
+    retyped = follows & (F.col("type") != F.col("type_before"))
     event = lambda when, name, at: F.when(when, F.struct(F.lit(name).alias("change"), at.alias("seq")))
-    events = F.array(event(starts, "added", F.col("seq")), event(ends, "removed", F.col("seq") + 1), event(retyped, "retyped", F.col("seq")))
+    events = F.array(event(starts, "added", F.col("first_seq")), event(ends, "removed", F.col("last_seq") + 1), event(retyped, "retyped", F.col("first_seq")))
     flat = c.select("stream", "field", F.explode(F.filter(events, lambda e: e.isNotNull())).alias("e")).select("stream", "field", "e.change", "e.seq")
     return flat.join(exports, ["stream", "seq"])  # an ending after the last export meets none
 
@@ -160,10 +180,10 @@ def _same(left: DataFrame, names: tuple[str, ...]) -> Column:
     return out
 
 
-def target_column() -> Column:
+def target_column(aliases: dict[str, str] | None = None) -> Column:
     """Column of the consistent table that a field goes to, by the alias table; null if none."""
     reduced = F.lower(F.regexp_replace("field", "[^A-Za-z0-9]", ""))
-    table = F.create_map(*[F.lit(x) for pair in ALIASES.items() for x in pair])
+    table = F.create_map(*[F.lit(x) for pair in (aliases or ALIASES).items() for x in pair])
     return F.element_at(table, reduced)
 
 
@@ -176,7 +196,7 @@ def _typed(kind: str) -> Column:
     return F.coalesce(cast, F.when(whole, F.expr("try_cast(try_cast(value as double) as int)")))
 
 
-def consistent_nodes(lines: DataFrame) -> DataFrame:
+def consistent_nodes(lines: DataFrame, aliases: dict[str, str] | None = None, targets: dict[str, str] | None = None) -> DataFrame:
     """One table of all exports: each node once, each field under one name and type.
 
     Names go through the alias table, values through its casts; of several
@@ -185,6 +205,6 @@ def consistent_nodes(lines: DataFrame) -> DataFrame:
     last_export (time of the latest export with the node).
     """
     fields = export_fields(lines).where("file_id is not null and node_id is not null")
-    fields = fields.withColumn("target", F.when(F.col("field").isin("type", "x"), F.col("field")).otherwise(target_column()))
+    fields = fields.withColumn("target", F.when(F.col("field").isin("type", "x"), F.col("field")).otherwise(target_column(aliases)))
     latest = lambda c, t: F.max_by(_typed(t), F.when((F.col("target") == c) & _typed(t).isNotNull(), F.struct("exported_at", "export_id", "value"))).alias(c)
-    return fields.groupBy("file_id", "node_id").agg(latest("type", "int"), latest("x", "double"), *[latest(c, t) for c, t in TARGETS.items()], F.max("exported_at").alias("last_export"))
+    return fields.groupBy("file_id", "node_id").agg(latest("type", "int"), latest("x", "double"), *[latest(c, t) for c, t in (targets or TARGETS).items()], F.max("exported_at").alias("last_export"))

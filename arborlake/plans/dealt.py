@@ -20,6 +20,7 @@ def queries() -> dict:
     return {
         "p1_found": lambda s, d: drift.schema_changes(t(s, d, "node_exports")).select("export_id", "change", "field", "new_field"),
         "p1_lifespans": lambda s, d: drift.column_lifespans(t(s, d, "node_exports")),
+        "p1_casts": lambda s, d: drift.column_casts(t(s, d, "node_exports")),
         "p1_nodes": lambda s, d: drift.consistent_nodes(t(s, d, "node_exports")),
         "p2_found": lambda s, d: hierarchy.cyclic_nodes(t(s, d, "neurons")),
         "p2_trees": lambda s, d: _texts(hierarchy.hierarchies(t(s, d, "neurons"))),

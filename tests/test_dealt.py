@@ -102,6 +102,16 @@ def test_schema_changes_awkward(spark):
     assert spans[("a2", "integer")] == (2, 2) and spans[("a2", "text")] == (3, 3)
 
 
+def test_kinds_of_numbers(spark):
+    forms = {"18": "integer", "18.0": "decimal", "1.8e1": "decimal", "12345678901234567890": "integer", "12345678901234567890.0": "decimal", '"18"': "text", "true": "boolean", "null": None, "-0.50": "decimal", '{"a":1}': "text"}
+    rows = [("s", 1, T0, T0, n, f'{{"file_id":"f","node_id":{n},"v{n}":{v}}}', 1, "") for n, v in enumerate(forms)]
+    got = {r["field"]: (r["kind"], r["value"]) for r in drift.export_fields(spark.createDataFrame(rows, LINES)).collect()}
+    assert [got[f"v{n}"][0] for n in range(len(forms))] == list(forms.values())
+    assert got["v0"][1] == "18" and got["v1"][1] == got["v2"][1] == "18.0" and got["v8"][1] == "-0.5"
+    casts = {r["field"]: r["cast_sql"] for r in drift.column_casts(spark.createDataFrame([("s", 1, T0, T0, 1, '{"clusterId":1,"odd":2}', 1, "")], LINES)).collect()}
+    assert casts == {"clusterId": "try_cast(`clusterId` AS int) AS cluster_id", "odd": None}
+
+
 def test_consistent_nodes_takes_latest_value_and_casts(spark):
     rows = [
         ("s", 1, T0, T0, 1, '{"file_id":"f","node_id":1,"x":1.5,"x_flat":0.5,"clusterId":3}', 1, ""),
