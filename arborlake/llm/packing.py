@@ -21,8 +21,8 @@ from pyspark.sql.window import Window
 from arborlake.llm.tokens import VOCABULARY, with_tokens
 from arborlake.runtime import written
 
-#: Parts into which the items of one length are divided to be numbered.
-SALT = 64
+#: Items of one length that are numbered in one window, about; a common length is divided into as many parts as that takes.
+PART_ITEMS = 200_000
 
 
 class Complements:
@@ -201,12 +201,12 @@ def _place(slots: dict[str, np.ndarray], capacity: dict[str, int]):
 PACKED = "pack_name string, container_id long, doc_id long, piece int, first_token int, n_tokens int"
 
 
-def _items(tokens: DataFrame, packs: DataFrame) -> DataFrame:
-    """Items of each pack: whole documents, or the pieces of one that exceeds the capacity."""
+def _items(tokens: DataFrame, packs: DataFrame, parts: int) -> DataFrame:
+    """Items of each pack: whole documents, or the pieces of one that exceeds the capacity; each in one of the parts of its length."""
     full = F.greatest(F.lit(1), F.ceil(F.col("n") / F.col("capacity_tokens"))).cast("int")
     each = tokens.withColumnRenamed("n_tokens", "n").crossJoin(F.broadcast(packs)).withColumn("piece", F.explode(F.sequence(F.lit(0), full - 1)))
     first = F.col("piece") * F.col("capacity_tokens")
-    return each.select("pack_name", "doc_id", "piece", first.cast("int").alias("first_token"), F.least("capacity_tokens", F.col("n") - first).cast("int").alias("n_tokens"), F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALT)).alias("salt"))
+    return each.select("pack_name", "doc_id", "piece", first.cast("int").alias("first_token"), F.least("capacity_tokens", F.col("n") - first).cast("int").alias("n_tokens"), F.pmod(F.xxhash64("doc_id", "piece"), F.lit(parts)).alias("salt"))
 
 
 def pack_documents(documents: DataFrame, packs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -223,7 +223,9 @@ def pack_documents(documents: DataFrame, packs: DataFrame, vocabulary: str = VOC
     tokens = written(with_tokens(documents, ["doc_id"], vocabulary))
     packs = packs.where("capacity_tokens > 0 and pack_name is not null").groupBy("pack_name").agg(F.max("capacity_tokens").alias("capacity_tokens"))
     capacity = {r["pack_name"]: r["capacity_tokens"] for r in packs.collect()}
-    items = _items(tokens, packs)
+    # All items might have one length, so the parts go by the number of items of all packs (a count of the stored table).
+    n_items = tokens.agg(*[F.sum(F.greatest(F.lit(1), F.ceil(F.col("n_tokens") / c))) for c in capacity.values()]).first() if capacity else []
+    items = _items(tokens, packs, max(1, -(-sum(n or 0 for n in n_items) // PART_ITEMS)))
     loads = written(items.groupBy("pack_name", "n_tokens", "salt").agg(F.count(F.lit(1)).alias("n")))
     # At most capacity rows a pack, whatever the number of documents.
     lengths = loads.groupBy("pack_name", "n_tokens").agg(F.sum("n").alias("n")).collect()

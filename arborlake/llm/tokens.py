@@ -8,7 +8,7 @@ from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql.types import IntegerType
+from pyspark.sql.types import ArrayType, IntegerType
 
 #: Where the vocabulary lies on every node; a parameter of all operators that count tokens.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -41,3 +41,16 @@ def with_tokens(documents: DataFrame, keep: list[str], vocabulary: str = VOCABUL
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), n], names=[*keep, "n_tokens"])
 
     return documents.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
+
+
+def with_token_ids(documents: DataFrame, keep: list[str], vocabulary: str = VOCABULARY, text: str = "text") -> DataFrame:
+    """The columns ``keep`` and ``token_ids``, all tokens of the whole text. Null and empty texts have none."""
+    schema = documents.select(*keep).schema.add("token_ids", ArrayType(IntegerType()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoding(vocabulary).encode_ordinary
+        for batch in batches:
+            ids = pa.array([encode(t) if t else [] for t in batch.column(text).to_pylist()], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), ids], names=[*keep, "token_ids"])
+
+    return documents.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)

@@ -101,7 +101,16 @@ def test_packing_of_documents(spark):
 # 9 -----------------------------------------------------------------------------------------------
 
 
-def test_mixing_equals_brute_force(spark):
+def test_quality_weights_are_highest_for_usual_texts(spark):
+    rows = [(k, f"The axon of cell {k} leaves layer {k % 7}.", "s") for k in range(200)] + [(900, "qZx##\x07!~vv§§ŧŧ", "s"), (901, None, "s"), (902, "", "t")]
+    w = {r["doc_id"]: (r["n_tokens"], r["weight"]) for r in mixing.measured(docs(spark, rows)).collect()}
+    assert w[900][1] <= 0.06 < 0.5 < w[5][1] <= 1 and w[901] == w[902] == (0, 0.05)
+    assert all(w[i][0] == count_tokens(t) for i, t, _ in rows)
+
+
+@pytest.mark.parametrize("edge", [1, 5_000])
+def test_mixing_equals_brute_force(spark, monkeypatch, edge):
+    monkeypatch.setattr(mixing, "EDGE_ROWS", edge)
     rng = random.Random(2)
     rows = [(k, " ".join(rng.choice(["axon", "soma", "12.5", "Ω"]) for _ in range(rng.randint(0, 60))), rng.choice(["big"] * 8 + ["mid", "mid", "small"])) for k in range(900)]
     rows += [(2000, None, "big"), (2001, "", "small"), (None, "axon", "big"), (2002, "axon", None), (2003, "axon", "unwanted")]
@@ -114,7 +123,7 @@ def test_mixing_equals_brute_force(spark):
             tokens[i] = count_tokens(text)
             totals[s] += tokens[i]
             by[s].append(i)
-    keyed = df.where("doc_id is not null").withColumn("weight", mixing.quality_weight(df["text"]))
+    keyed = mixing.measured(df)
     used = {(r["mix_name"], r["doc_id"]): r["n_uses"] for r in mixing.mix_documents(df, t, seed=5).collect()}
     for mix, s, _, repeats, have, budget, epochs, rest in mixing.plan(dict(totals), [x for x in targets if x[0]]):
         assert budget <= have * repeats
@@ -137,7 +146,8 @@ def test_mixing_equals_brute_force(spark):
             assert n <= max(repeats, 0)
     report = {(r["mix_name"], r["source"]): r for r in mixing.mix_report(df, t, seed=5).collect()}
     assert abs(report["m", "big"]["actual_share"] - 0.5) < 0.05 and report["n", "absent"]["actual_share"] == 0
-    assert report["o", "absent"]["tokens"] == 0
+    assert report["o", "absent"]["tokens"] == 0 and report["o", "absent"]["reason"] == report["n", "absent"]["reason"] == "no documents"
+    assert abs(report["n", "small"]["attainable_share"] - 1.0) < 1e-9 and report["n", "small"]["reason"].startswith("others lack documents") and report["n", "small"]["limits"]
     assert mixing.mix_documents(docs(spark, []), t).count() == 0
 
 
@@ -165,7 +175,7 @@ def test_what_looks_alike(a, b, same):
     assert (lookalikes.canonical(a) == lookalikes.canonical(b)) is same
 
 
-@pytest.mark.parametrize("a,b", ["ГΓ", "ПΠ", "ФΦ", "ѰΨ", "ѱψ", "CϹ", "СϹ", "JͿ", "ЈͿ", "VѴ", "ÆӔ", "æӕ", "ƏӘ", "əә"])
+@pytest.mark.parametrize("a,b", ["ГΓ", "ПΠ", "ФΦ", "ѰΨ", "ѱψ", "CϹ", "СϹ", "JͿ", "ЈͿ", "VѴ", "ÆӔ", "æӕ", "ƏӘ", "əә", "κк", "ΘѲ", "ΘƟ", "тᴛ", "мᴍ", "нʜ", "вʙ", "ΣƩ", "ΛɅ", "εɛ", "γɣ", "φɸ", "ӏl", "кĸ"])
 def test_letters_drawn_alike_without_a_latin_twin_and_rare_ones(a, b):
     assert lookalikes.canonical(f"x {a}1") == lookalikes.canonical(f"x {b}1") == lookalikes.canonical(lookalikes.canonical(f"x {b}1"))
 
