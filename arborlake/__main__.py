@@ -19,6 +19,9 @@ def main() -> None:
     a = sub.add_parser("append", help="append points to a point table")
     a.add_argument("table")
     a.add_argument("more")
+    b = sub.add_parser("points", help="folder of point CSV files to a point table")
+    b.add_argument("folder")
+    b.add_argument("out")
     s = sub.add_parser("summary", help="somas by hemisphere")
     s.add_argument("table")
     s.add_argument("--midline", type=float, default=5695.0)
@@ -31,11 +34,15 @@ def main() -> None:
     if args.command == "convert":
         from arborlake.sources import swc
 
-        print(json.dumps(swc.convert(spark, swc.discover(args.folder, args.recursive), args.out, args.hemisphere)))
+        print(json.dumps(swc.convert(spark, swc.discover(spark, args.folder, args.recursive), args.out, args.hemisphere)))
     elif args.command == "append":
         from arborlake.sources import tables
 
         print(tables.append_points(spark, args.table, args.more))
+    elif args.command == "points":
+        from arborlake.sources import tables
+
+        print(json.dumps(tables.convert_point_folder(spark, args.folder, args.out)))
     elif args.command == "summary":
         from arborlake.operators.nodes import hemisphere_summary
 

@@ -91,3 +91,21 @@ def leaf_sample(n: int, most: int) -> list[int]:
     if n <= most:
         return list(range(n))
     return sorted({int(i * (n - 1) / (most - 1)) for i in range(most)}) if most > 1 else [0]
+
+
+def mutual_information(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Normalised mutual information of two partitions, by the mean of their entropies; 1 where both are trivial."""
+    c = contingency(a, b)
+    total = c.agg(F.sum("n").cast("double").alias("t"))
+    share = lambda rows, n: rows.crossJoin(F.broadcast(total)).withColumn("p", F.col(n) / F.col("t"))
+    entropy = lambda by, name: share(c.groupBy(by).agg(F.sum("n").alias("s")), "s").agg((-F.sum(F.col("p") * F.log("p"))).alias(name))
+    one, two = entropy("label_a", "ha"), entropy("label_b", "hb")
+    joint = share(c, "n").agg((-F.sum(F.col("p") * F.log("p"))).alias("hab"))
+    mean = (F.col("ha") + F.col("hb")) / 2
+    return one.crossJoin(two).crossJoin(joint).select(F.when(F.col("ha").isNull(), None).when(mean == 0, 1.0).otherwise(F.greatest(F.lit(0.0), (F.col("ha") + F.col("hb") - F.col("hab")) / mean)).alias("nmi"))
+
+
+def string_members(table: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Adds whether a row's file is among the chosen, ids compared as text."""
+    ids = chosen.select(F.col("file_id").cast("string").alias("_s")).where("_s is not null").distinct().withColumn("_in", F.lit(True))
+    return table.join(ids, F.col("file_id").cast("string") == F.col("_s"), "left").withColumn("added", F.coalesce("_in", F.lit(False))).drop("_s", "_in")

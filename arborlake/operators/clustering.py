@@ -210,3 +210,29 @@ def soma_dbscan(somas: DataFrame, eps: float, least: int) -> DataFrame:
     ids = [r[0] for r in own.select("k").distinct().orderBy("k").collect()]  # one row a cluster of a cohort
     number = somas.sparkSession.createDataFrame([(k, v + 2) for v, k in enumerate(ids)], "k string, label int")
     return somas.select("file_id").join(of, F.col("file_id") == F.col("c"), "left").join(number, "k", "left").select("file_id", F.coalesce("label", F.lit(1)).alias("label"))
+
+
+def compared_partitions(a: np.ndarray, b: np.ndarray, ks: range = range(2, 21)) -> list[tuple[int, float, float]]:
+    """Adjusted Rand index and normalised mutual information of two trees over one cohort, cut at each k."""
+    out = []
+    for k in ks:
+        one, two = cut(a, k), cut(b, k)
+        table = np.zeros((one.max() + 1, two.max() + 1))
+        np.add.at(table, (one, two), 1)
+        rows, cols, n = table.sum(1), table.sum(0), table.sum()
+        pairs = lambda v: (v * (v - 1) / 2).sum()
+        every = n * (n - 1) / 2
+        expected, top = pairs(rows) * pairs(cols) / every, (pairs(rows) + pairs(cols)) / 2
+        entropy = lambda v: -sum(x / n * np.log(x / n) for x in v.ravel() if x)
+        mean = (entropy(rows) + entropy(cols)) / 2
+        out.append((k, float((pairs(table) - expected) / (top - expected)) if top != expected else 1.0, float((entropy(rows) + entropy(cols) - entropy(table)) / mean) if mean else 1.0))
+    return out
+
+
+def compare_linkages(long_form: DataFrame, first: str = "average", second: str = "ward", ks: range = range(2, 21)) -> DataFrame:
+    """Two linkages of one correlated cohort, compared at each k: k, ari, nmi."""
+    ids, r = matrix(long_form)
+    if len(ids) < 2:
+        return long_form.sparkSession.createDataFrame([], "k int, ari double, nmi double")
+    d = distances(r)
+    return long_form.sparkSession.createDataFrame(compared_partitions(linkage(d, first), linkage(d, second), ks), "k int, ari double, nmi double")

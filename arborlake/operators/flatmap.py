@@ -184,3 +184,24 @@ def axis_scales(bounds: dict[str, tuple[float, float]], depth_scale: float = 1.0
         span["x"] /= 2
     span["depth"] = span["depth"] / depth_scale if depth_scale > 0 else float("inf")
     return span
+
+
+def plane_labels(grid: Grid, sentinel: bool = False) -> list[str]:
+    """What each depth plane holds, for people: the range of depths in µm, or the mark."""
+    low = [grid.depth[0] + k * grid.depth_step for k in range(grid.depth_bins)]
+    return ["no depth"] * sentinel + [f"{v:g}-{v + grid.depth_step:g} µm" for v in low]
+
+
+def plane_counts(heatmap: DataFrame, plane: str = "layer") -> DataFrame:
+    """Nodes of each plane or layer of a heatmap."""
+    return heatmap.groupBy(plane).agg(F.sum("n").alias("n_nodes"))
+
+
+def inferred_validity(nodes: DataFrame, x: str = "x_flat", y: str = "y_flat", depth: str = "depth_um") -> DataFrame:
+    """Validity columns where a table lacks them: XY by finiteness and marks, depth by being 0 or more."""
+    out = nodes
+    if "flatmap_valid" not in nodes.columns:
+        out = out.withColumn("flatmap_valid", xy_valid(x, y))
+    if "depth_valid" not in nodes.columns:
+        out = out.withColumn("depth_valid", F.coalesce(is_number(depth) & (F.col(depth) >= 0), F.lit(False)))
+    return out

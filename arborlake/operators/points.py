@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborlake.functions.columns import finite, hemisphere, origin_or, region_key, stripped
+from arborlake.functions.columns import finite, hemisphere, origin_or, region_key, stripped, voxel
 from arborlake.operators.voxels import binned
 
 REQUIRED = ("label", "x", "y", "z")
@@ -105,3 +105,30 @@ def appended(points: DataFrame, more: DataFrame) -> DataFrame:
 def side_counts(points: DataFrame, midline: float) -> DataFrame:
     """Points per label and side of the midline."""
     return points.groupBy(stripped("label").alias("label"), hemisphere("z", midline).alias("side")).agg(F.count(F.lit(1)).alias("n_points"))
+
+
+def checked_at_place(points: DataFrame, annotation: DataFrame, regions: DataFrame, midline: float, size: float, column: str = "z") -> DataFrame:
+    """What each point says of its region against the region of its voxel (round half even, axes z, y, x).
+
+    A point outside the annotation or of an unknown region has id 0 and empty
+    names. Rules of comparison as in ``atlas_check``. Output: the point's
+    columns, place_id, place_acronym, place_name, place_side and ``mismatches``
+    (null if nothing differs).
+    """
+    ok = finite("x", "y", "z")
+    at = points.withColumns({f"_{n}": F.when(ok, voxel(c, size, "round")) for n, c in zip("ijk", "zyx")})
+    a = annotation.select(*[F.col(n).alias(f"a{n}") for n in "ijk"], F.col("region_id").alias("place_id"))
+    at = at.join(a, (F.col("_i") == F.col("ai")) & (F.col("_j") == F.col("aj")) & (F.col("_k") == F.col("ak")), "left").withColumn("place_id", F.coalesce("place_id", F.lit(0)))
+    dim = regions.select(F.col("region_id").alias("_id"), F.col("acronym").alias("place_acronym"), F.col("region_name").alias("place_name"))
+    c = F.col(column)
+    side = F.when(c < midline - 1, "left").when(c > midline + 1, "right").when(c.isNotNull(), "midline")
+    at = at.join(dim, F.col("place_id") == F.col("_id"), "left").withColumns({"place_acronym": F.coalesce("place_acronym", F.lit("")), "place_name": F.coalesce("place_name", F.lit("")), "place_side": side})
+    given = lambda x: F.coalesce(stripped(x) != "", F.lit(False))
+    checks = {
+        "id": F.col("id").isNotNull() & (F.col("id") != F.col("place_id")),
+        "acronym": given("acronym") & (stripped("acronym") != stripped("place_acronym")),
+        "region_name": given("region_name") & (region_key("region_name") != region_key("place_name")),
+        "hemisphere": given("hemisphere") & ~F.coalesce(F.lower(stripped("hemisphere")) == side, F.lit(False)),
+    }
+    marks = F.nullif(F.concat_ws(",", *[F.when(wrong, F.lit(name)) for name, wrong in checks.items()]), F.lit(""))
+    return at.select(*points.columns, "place_id", "place_acronym", "place_name", "place_side", marks.alias("mismatches"))

@@ -7,6 +7,7 @@ import json
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from arborlake.functions.columns import layer_of, path_ids
 
@@ -82,3 +83,22 @@ def digest(regions: DataFrame) -> str:
     """SHA-256 of the catalogue (a small, fixed table)."""
     rows = sorted((r["region_id"], r["acronym"], r["structure_id_path"]) for r in regions.select("region_id", "acronym", "structure_id_path").collect())
     return hashlib.sha256(json.dumps(rows, separators=(",", ":")).encode()).hexdigest()
+
+
+def layer_hierarchy(regions: DataFrame, layers: DataFrame) -> DataFrame:
+    """The catalogue by layers: one row a terminal region, in order of layer, lower-cased name, acronym and id.
+
+    ``layers`` is region_id, layer. A region of several layers, or one that
+    the catalogue does not name, raises. Output: layer, position (from 1
+    within its layer), region_id, acronym, region_name.
+    """
+    per = layers.groupBy("region_id").agg(F.countDistinct("layer").alias("n")).where("n > 1").select("region_id").limit(5).collect()
+    if per:
+        raise ValueError(f"regions of more than one layer: {[r[0] for r in per]}")
+    dim = regions.select(F.col("region_id").alias("_r"), F.trim("acronym").alias("acronym"), F.trim("region_name").alias("region_name"))
+    rows = layers.distinct().join(dim, F.col("region_id") == F.col("_r"), "left")
+    bad = rows.where("coalesce(acronym, '') = '' or coalesce(region_name, '') = ''").select("region_id").limit(5).collect()
+    if bad:
+        raise ValueError(f"regions without a name or acronym: {[r[0] for r in bad]}")
+    by = Window.partitionBy("layer").orderBy(F.lower("region_name"), F.lower("acronym"), "region_id")  # rows of the catalogue
+    return rows.select("layer", F.row_number().over(by).alias("position"), "region_id", "acronym", "region_name")

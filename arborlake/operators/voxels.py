@@ -258,3 +258,50 @@ def voxel_components(voxels: DataFrame) -> DataFrame:
     labels = connected_components(pairs)
     joined = v.join(labels, F.col("v") == F.col("vertex"), "left")
     return joined.select(*IJK, F.coalesce("component", "v").alias("component"))
+
+
+def common_histograms(volumes: DataFrame, bins: int = 256, name: str = "name", value: str = "n", zeros: bool = False) -> DataFrame:
+    """Histograms of many volumes (name, value) with the same edges, those of all their values.
+
+    Non-finite values are left out, and zeros unless asked for. A degenerate
+    range is padded as by ``histogram``. Output: name, bin, low, high, n, all
+    bins of every volume that has a row; no rows without values.
+    """
+    c = F.col(value).cast("double")
+    ok = finite(c) & (F.lit(zeros) | (c != 0))
+    rows = volumes.select(F.col(name).alias("name"), F.when(ok, c).alias("v"))
+    edges = rows.agg(F.min("v").alias("low"), F.max("v").alias("high")).where("low is not null")
+    pad = F.when(F.col("high") <= F.col("low"), F.greatest(F.abs("low") * 0.01, F.lit(0.5))).otherwise(0.0)
+    edges = F.broadcast(edges.select((F.col("low") - pad).alias("low"), ((F.col("high") + pad - F.col("low") + pad) / bins).alias("width")))
+    count = rows.where("v is not null").crossJoin(edges).groupBy("name", F.least(F.floor((F.col("v") - F.col("low")) / F.col("width")), F.lit(bins - 1)).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    every = rows.select("name").distinct().crossJoin(edges).select("name", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"), "low", "width")
+    every = every.select("name", "bin", (F.col("low") + F.col("bin") * F.col("width")).alias("low"), (F.col("low") + (F.col("bin") + 1) * F.col("width")).alias("high"))
+    return every.join(count, ["name", "bin"], "left").select("name", "bin", "low", "high", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def neurons_in_masks(nodes: DataFrame, masks: DataFrame, size: float, sources: DataFrame | None = None, table: DataFrame | None = None) -> DataFrame:
+    """Neurons with a node in any of several masks (i, j, k).
+
+    ``sources`` (file_id) are the neurons that the masks were made of; they are
+    excluded, ids compared as text. ``table`` (file_id) narrows the answer to
+    a table's neurons; without it all neurons are asked.
+    """
+    out = neurons_in_mask(nodes, masks, size)
+    if sources is not None:
+        out = out.join(sources.select(F.col("file_id").cast("string").alias("_s")).distinct(), F.col("file_id").cast("string") == F.col("_s"), "left_anti")
+    if table is not None:
+        out = out.join(table.select(F.col("file_id").cast("string").alias("_s")).distinct(), F.col("file_id").cast("string") == F.col("_s"), "left_semi")
+    return out
+
+
+def world_bounds(mask: DataFrame, size: float) -> DataFrame:
+    """Bounds of a mask in µm with the axes the other way round: those of i belong to z, of k to x."""
+    b = mask_bounds(mask, size)
+    return b.select(*[F.col(f"{a}_{w}").alias(f"{c}_{w}") for a, c in zip("xyz", "zyx") for w in ("low", "high")])
+
+
+def region_at(points: DataFrame, annotation: DataFrame, regions: DataFrame, size: float) -> DataFrame:
+    """Region record of each point; points outside, unannotated or of an unknown region have none and are left out."""
+    found = annotate(points, annotation, size).where("region_id > 0")
+    dim = regions.select(F.col("region_id").alias("_r"), "acronym", "region_name", "structure_id_path")
+    return found.join(dim, F.col("region_id") == F.col("_r")).drop("_r")

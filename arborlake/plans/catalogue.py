@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from arborlake.plans import dealt, morphology
+from arborlake.plans import dealt, flatmaps, morphology
 
-PARTS = [dealt, morphology]
+PARTS = [dealt, morphology, flatmaps]
 
 
 def queries() -> dict:

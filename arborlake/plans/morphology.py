@@ -111,7 +111,7 @@ def _segment_bins(s, d):
 def queries() -> dict:
     q = {
         # sources, filters
-        "src01_scan": lambda s, d: t(s, d, "neurons").select("file_id", "node_id", "type", "parent_id", "region_id"),
+        "src01_scan": lambda s, d: _values(t(s, d, "neurons")),
         "src09_file_names": lambda s, d: t(s, d, "neurons").select("file_id").distinct().select("file_id", *[c.alias(n) for c, n in zip(swc.parse_file_names(F.col("file_id")), ("subject", "neuron_id"))]),
         "flt01_neurons_by_acronym": lambda s, d: N.neurons_touching(t(s, d, "neurons"), list(ACRONYMS)),
         "flt02_neurons_by_region_id": lambda s, d: N.neurons_touching(t(s, d, "neurons"), IDS, "region_id", types=[2, 3]),
@@ -121,7 +121,7 @@ def queries() -> dict:
         "flt08_somas": lambda s, d: N.soma_rows(nodes(s, d)).select("file_id", "node_id", "neuron_id", "region_acronym"),
         "flt10_neurons_in_mask": lambda s, d: V.neurons_in_mask(nodes(s, d), dense(s, d), SIZE),
         "flt11_mask_bounds": lambda s, d: V.mask_bounds(dense(s, d), SIZE),
-        "flt15_soma_radius": lambda s, d: N.soma_distance_filter(nodes(s, d), 300.0).groupBy("file_id").agg(F.count(F.lit(1)).alias("n")),
+        "flt15_soma_radius": lambda s, d: N.soma_distance_filter(nodes(s, d), 300.0).select("file_id", "node_id"),
         "flt16_slab_segments": lambda s, d: M.slab_segments(M.edges(nodes(s, d)).where(finite("z", "parent_z")), "z", 5000.0, 500.0).select("file_id", "node_id"),
         "flt17_slab_somas": lambda s, d: M.slab_points(N.soma_rows(nodes(s, d)).where(finite("z")), "z", 5000.0, 2000.0).select("file_id", "node_id"),
         "flt18_render_valid": lambda s, d: flat_nodes(s, d).where(FM.render_valid("fx", "fy", "fd", sentinel=True)).select("file_id", "node_id"),
@@ -132,9 +132,9 @@ def queries() -> dict:
         "jn03_termini": lambda s, d: M.termini(nodes(s, d), [2, 3]).select("file_id", "node_id", "type"),
         "jn03_termini_in_region": lambda s, d: M.termini(nodes(s, d), [2], list(ACRONYMS)).select("file_id", "node_id"),
         "jn09_soma_distance": lambda s, d: _r(nodes(s, d).join(N.soma_locations(nodes(s, d)).groupBy("file_id").agg(F.avg("x").alias("sx")), "file_id").where(finite("x")).groupBy("file_id").agg(F.max(F.abs(F.col("x") - F.col("sx"))).alias("reach_x")), "reach_x", digits=4),
-        "jn13_new_files": lambda s, d: swc.new_files(t(s, d, "neurons_copy").select("file_id", "node_id"), t(s, d, "neurons")).groupBy("file_id").agg(F.count(F.lit(1)).alias("n_rows")),
+        "jn13_new_files": lambda s, d: swc.new_files(t(s, d, "neurons_copy").select("file_id", "node_id"), t(s, d, "neurons")),
         "jn14_region_names": lambda s, d: R.with_names(nodes(s, d), t(s, d, "atlas_regions")).select("file_id", "node_id", "region_name", "region_acronym"),
-        "jn16_annotated": lambda s, d: V.annotate(nodes(s, d), annotation(s, d), SIZE).groupBy("region_id").agg(F.count(F.lit(1)).alias("n_nodes")),
+        "jn16_annotated": lambda s, d: V.annotate(nodes(s, d), annotation(s, d), SIZE).select("file_id", "node_id", "region_id"),
         # aggregates
         "agg01_regions": lambda s, d: N.region_counts(nodes(s, d)),
         "agg02_neurons_per_region": lambda s, d: N.neurons_per_region(t(s, d, "neurons")),
@@ -172,7 +172,7 @@ def queries() -> dict:
         "set05_with_termini": lambda s, d: M.coverage(nodes(s, d), [2]).select("file_id", (F.col("n_termini") > 0).alias("has_termini")),
         # hemispheres
         "xf03_soma_sides": lambda s, d: _r(N.soma_sides(nodes(s, d), MIDLINE), "soma", digits=4),
-        "xf05_flipped": lambda s, d: _r(N.flipped(nodes(s, d), "left", MIDLINE).where(finite("z")).groupBy("file_id").agg(F.sum("z").alias("sum_z")), "sum_z", digits=2),
+        "xf05_flipped": lambda s, d: _r(N.flipped(nodes(s, d), "left", MIDLINE).where(finite("z")).select("file_id", "node_id", "z"), "z", digits=6),
         # regions
         "reg04_descendants": lambda s, d: R.descendants(t(s, d, "atlas_regions"), TOP),
         "reg05_ancestors": lambda s, d: R.ancestors(t(s, d, "atlas_regions")),
@@ -210,19 +210,20 @@ def queries() -> dict:
         "ras09_voxel_numbers": lambda s, d: V.voxel_numbers(dense(s, d)),
         # flat maps, surfaces
         "fm01_projection": lambda s, d: _r(FM.project(nodes(s, d), lookup(s, d), SIZE, SHAPE).select("file_id", "node_id", "x_flat", "y_flat", "depth_um", F.col("invalid_code").cast("int").alias("invalid_code"), "depth_mode"), "x_flat", "y_flat"),
-        "fm02_mirrored_projection": lambda s, d: FM.project_with_mirror(nodes(s, d), lookup(s, d), SIZE, SHAPE, MIDLINE).groupBy("lookup_mode").agg(F.count(F.lit(1)).alias("n_nodes"), F.count("depth_um").alias("n_depths")),
-        "fm08_exposed_faces": lambda s, d: V.exposed_faces(dense(s, d)).groupBy("axis", "side").agg(F.count(F.lit(1)).alias("n_faces")),
-        "fm08_vertices": lambda s, d: V.face_vertices(V.exposed_faces(dense(s, d))).agg(F.count(F.lit(1)).alias("n_vertices")),
-        "fm09_outlines": lambda s, d: V.outlines(dense(s, d)).groupBy("i").agg(F.count(F.lit(1)).alias("n_edges")),
-        "fm10_components": lambda s, d: V.voxel_components(dense(s, d)).groupBy("component").agg(F.count(F.lit(1)).alias("n_voxels")).select("n_voxels"),
-        "jn10_flat_segments": _segment_bins,
+        "fm02_mirrored_projection": lambda s, d: _r(FM.project_with_mirror(nodes(s, d), lookup(s, d), SIZE, SHAPE, MIDLINE).select("file_id", "node_id", "x_flat", "y_flat", "depth_um", "lookup_mode"), "x_flat", "y_flat"),
+        "fm08_exposed_faces": lambda s, d: V.exposed_faces(dense(s, d)),
+        "fm08_vertices": lambda s, d: V.face_vertices(V.exposed_faces(dense(s, d))),
+        "fm09_outlines": lambda s, d: V.outlines(dense(s, d)),
+        "fm10_components": lambda s, d: V.voxel_components(dense(s, d)).select("i", "j", "k", *[F.col(f"component.{n}").alias(f"c{n}") for n in "ijk"]),
+        "jn10_flat_segments": lambda s, d: _r(FM.flat_segments(flat_nodes(s, d), "fx", "fy", "fd"), "x0", "y0", "x1", "y1", "d0", "d1", digits=9),
+        "jn10_segment_bins": _segment_bins,
         "xf09_pixels": lambda s, d: _r(flat_nodes(s, d).where(FM.xy_valid("fx", "fy")).select("file_id", "node_id", FM.pixel("fx", 0.0, 1.0, 50).alias("px")), "px", digits=4),
         # comparison, assignments, functions
         "jn12_difference_counts": lambda s, d: _r(CMP.difference_counts(_twins(s, d), ["parent_id", "type"], "z", 2 * MIDLINE, 0.01), "least_sum", "greatest_sum", "largest_error", digits=3),
         "asg08_restricted": lambda s, d: A.restricted(labels(s, d), N.largest_neurons(nodes(s, d), 50)),
         "snk13_labelled_nodes": lambda s, d: A.onto_nodes(nodes(s, d), labels(s, d), ["label"]).select("file_id", "node_id", "label"),
         "snk14_selected_rows": lambda s, d: A.selected_rows(nodes(s, d), N.largest_neurons(nodes(s, d), 3).select("file_id", F.length("file_id").alias("row_order"))).select("row_order", "file_id", "node_id"),
-        "snk04_swc_lines": lambda s, d: swc.swc_lines(nodes(s, d).where(finite("x", "y", "z", "radius"))),
+        "snk04_swc_lines": lambda s, d: swc.swc_lines(nodes(s, d)),
         "fn09_region_keys": lambda s, d: t(s, d, "atlas_regions").select("region_id", region_key("region_name").alias("key"), slug("region_name").alias("slug"), layer_of("region_name").alias("layer")),
         "vox_rules": lambda s, d: nodes(s, d).where(finite("x", "y", "z")).groupBy(*[voxel("x", 25.0, r).alias(n) for r, n in (("truncate", "a"), ("floor", "b"), ("round", "c"), ("half_up", "e"))]).agg(F.count(F.lit(1)).alias("n")),
         "sql26_adhoc": _adhoc,
@@ -230,6 +231,11 @@ def queries() -> dict:
     return q
 
 
+def _values(df):
+    """All columns; NaN as null, as checkers tell them apart in their own ways."""
+    return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("x", "y", "z", "radius")})
+
+
 def _adhoc(s, d):
     t(s, d, "neurons").createOrReplaceTempView("arborlake_neurons")
     return s.sql("SELECT type, count(*) AS n FROM arborlake_neurons WHERE region_acronym <> ? AND type >= ? GROUP BY type", args=["", 2])
@@ -267,9 +273,32 @@ _FACES = f"""{HEAT}, faces AS (SELECT * FROM dense CROSS JOIN (VALUES ('i', -1,
   WHERE NOT EXISTS (SELECT 1 FROM dense o WHERE o.i = dense.i + di AND o.j = dense.j + dj AND o.k = dense.k + dk))"""
 
 
+def _NUM(c):
+    return f"CASE WHEN isfinite({c}) THEN printf('%.3f', {c}) ELSE 'nan' END"
+
+
+def _VOX(c):
+    return f"CASE WHEN ok THEN CAST(FLOOR({c} / {SIZE} + 0.5) AS BIGINT) END"
+
+
+def _IN(k):
+    return f"ok AND vi BETWEEN 0 AND {SHAPE[0] - 1} AND vj BETWEEN 0 AND {SHAPE[1] - 1} AND {k} BETWEEN 0 AND {SHAPE[2] - 1}"
+
+
+def _axis(n, axis, size):
+    """One axis of the smoothing: every target within reach sums up what it reads, places outside being the border's."""
+    before = "box" if n == 1 else f"s{n - 1}"
+    rest = [c for c in "ijk" if c != axis]
+    return f"""c{n} AS (SELECT DISTINCT {', '.join(rest)}, {axis} + o AS {axis} FROM {before} CROSS JOIN w WHERE {axis} + o BETWEEN 0 AND {size - 1}),
+  s{n} AS (SELECT c.i, c.j, c.k, SUM(b.n * w) AS n FROM c{n} c CROSS JOIN w JOIN {before} b ON {' AND '.join(f'b.{r} = c.{r}' for r in rest)} AND b.{axis} = LEAST(GREATEST(c.{axis} + o, 0), {size - 1}) GROUP BY 1, 2, 3)"""
+
+
+_SMOOTH = ", ".join(_axis(n, axis, size) for n, (axis, size) in enumerate(zip("ijk", SHAPE), 1))
+
+
 def oracle_sql() -> dict[str, str]:
     return {
-        "src01_scan": "SELECT file_id, node_id, type, parent_id, region_id FROM neurons",
+        "src01_scan": "SELECT * REPLACE (CASE WHEN NOT isnan(x) THEN x END AS x, CASE WHEN NOT isnan(y) THEN y END AS y, CASE WHEN NOT isnan(z) THEN z END AS z, CASE WHEN NOT isnan(radius) THEN radius END AS radius) FROM neurons",
         "src09_file_names": f"""WITH f AS (SELECT DISTINCT file_id, {_STEM} AS stem FROM neurons) SELECT file_id,
             CASE WHEN regexp_matches(stem, '^\\d+_\\d+_') THEN regexp_extract(stem, '^(\\d+)_(\\d+)_', 2) WHEN regexp_matches(stem, '^H\\d+(\\.\\d+){{6}}_\\d+') THEN regexp_extract(stem, '^(H\\d+(\\.\\d+){{6}})_(\\d+)', 1) ELSE stem END AS subject,
             CASE WHEN regexp_matches(stem, '^\\d+_\\d+_') THEN regexp_extract(stem, '^(\\d+)_(\\d+)_', 1) WHEN regexp_matches(stem, '^H\\d+(\\.\\d+){{6}}_\\d+') THEN regexp_extract(stem, '^(H\\d+(\\.\\d+){{6}})_(\\d+)', 3) ELSE stem END AS neuron_id FROM f""",
@@ -281,7 +310,7 @@ def oracle_sql() -> dict[str, str]:
         "flt08_somas": f"WITH {NODES} SELECT file_id, node_id, neuron_id, region_acronym FROM nodes WHERE type = 1",
         "flt10_neurons_in_mask": f"WITH {HEAT} SELECT DISTINCT file_id, neuron_id, subject FROM (SELECT *, {VOX} FROM nodes WHERE {OK}) n SEMI JOIN dense USING (i, j, k)",
         "flt11_mask_bounds": f"WITH {HEAT} SELECT " + ", ".join(f"GREATEST(0.0, (MIN({n}) - 0.5) * {SIZE}) AS {c}_low, (MAX({n}) + 1.5) * {SIZE} AS {c}_high" for n, c in zip("ijk", "xyz")) + " FROM dense",
-        "flt15_soma_radius": f"WITH {SOMAS} SELECT n.file_id, COUNT(*) AS n FROM nodes n JOIN somas s ON n.file_id = s.file_id WHERE isfinite(n.x) AND isfinite(n.y) AND isfinite(n.z) AND SQRT((n.x - s.x) * (n.x - s.x) + (n.y - s.y) * (n.y - s.y) + (n.z - s.z) * (n.z - s.z)) <= 300 GROUP BY 1",
+        "flt15_soma_radius": f"WITH {SOMAS} SELECT n.file_id, n.node_id FROM nodes n JOIN somas s ON n.file_id = s.file_id WHERE isfinite(n.x) AND isfinite(n.y) AND isfinite(n.z) AND SQRT((n.x - s.x) * (n.x - s.x) + (n.y - s.y) * (n.y - s.y) + (n.z - s.z) * (n.z - s.z)) <= 300",
         "flt16_slab_segments": f"WITH {EDGES} SELECT file_id, node_id FROM edges WHERE isfinite(z) AND isfinite(parent_z) AND GREATEST(z, parent_z) >= 4500 AND LEAST(z, parent_z) <= 5500",
         "flt17_slab_somas": f"WITH {NODES} SELECT file_id, node_id FROM nodes WHERE type = 1 AND isfinite(z) AND z BETWEEN 3000 AND 7000",
         "flt18_render_valid": f"WITH {FLAT} SELECT file_id, node_id FROM valid WHERE xy AND isfinite(fd) AND (fd >= 0 OR fd = -1)",
@@ -291,9 +320,9 @@ def oracle_sql() -> dict[str, str]:
         "jn03_termini": f"WITH {CHILDLESS} SELECT file_id, node_id, type FROM childless WHERE type IN (2, 3)",
         "jn03_termini_in_region": f"WITH {CHILDLESS} SELECT file_id, node_id FROM childless WHERE type = 2 AND region_acronym IN ({_NAMES})",
         "jn09_soma_distance": f"WITH {SOMAS} SELECT n.file_id, ROUND(MAX(ABS(n.x - s.x)), 4) AS reach_x FROM nodes n JOIN somas s ON n.file_id = s.file_id WHERE isfinite(n.x) GROUP BY 1",
-        "jn13_new_files": "SELECT file_id, COUNT(*) AS n_rows FROM neurons_copy c WHERE NOT EXISTS (SELECT 1 FROM neurons n WHERE n.file_id = c.file_id) GROUP BY 1",
+        "jn13_new_files": "SELECT file_id, node_id FROM neurons_copy c WHERE NOT EXISTS (SELECT 1 FROM neurons n WHERE n.file_id = c.file_id)",
         "jn14_region_names": f"WITH {NODES} SELECT file_id, node_id, COALESCE(a.region_name, '') AS region_name, COALESCE(a.acronym, '') AS region_acronym FROM nodes n LEFT JOIN atlas_regions a ON n.region_id = a.region_id",
-        "jn16_annotated": f"WITH {ANNOTATION}, n AS (SELECT *, CASE WHEN {OK} THEN CAST(TRUNC(x / {SIZE}) AS BIGINT) END AS vi, CASE WHEN {OK} THEN CAST(TRUNC(y / {SIZE}) AS BIGINT) END AS vj, CASE WHEN {OK} THEN CAST(TRUNC(z / {SIZE}) AS BIGINT) END AS vk FROM nodes) SELECT COALESCE(a.region_id, 0) AS region_id, COUNT(*) AS n_nodes FROM n LEFT JOIN annotation a ON vi = a.i AND vj = a.j AND vk = a.k GROUP BY 1",
+        "jn16_annotated": f"WITH {ANNOTATION}, n AS (SELECT *, CASE WHEN {OK} THEN CAST(TRUNC(x / {SIZE}) AS BIGINT) END AS vi, CASE WHEN {OK} THEN CAST(TRUNC(y / {SIZE}) AS BIGINT) END AS vj, CASE WHEN {OK} THEN CAST(TRUNC(z / {SIZE}) AS BIGINT) END AS vk FROM nodes) SELECT file_id, node_id, COALESCE(a.region_id, 0) AS region_id FROM n LEFT JOIN annotation a ON vi = a.i AND vj = a.j AND vk = a.k",
         "agg01_regions": f"WITH {NODES} SELECT region_id, MAX(region_name) AS region_name, MAX(region_acronym) AS region_acronym, COUNT(*) AS n_nodes FROM nodes WHERE region_id > 0 GROUP BY 1",
         "agg02_neurons_per_region": "SELECT region_acronym, COUNT(DISTINCT file_id) AS n_neurons FROM neurons WHERE region_acronym <> '' GROUP BY 1",
         "agg03_soma_locations": f"WITH {NODES} SELECT file_id, neuron_id, ROUND(AVG(x), 4) AS x, ROUND(AVG(y), 4) AS y, ROUND(AVG(z), 4) AS z, MAX(region_acronym) AS region_acronym FROM nodes WHERE type = 1 AND {OK} GROUP BY 1, 2",
@@ -329,7 +358,7 @@ def oracle_sql() -> dict[str, str]:
         "set04_mask_union": f"WITH {ANNOTATION} SELECT i, j, k FROM annotation WHERE region_id IN ({_IDS})",
         "set05_with_termini": f"WITH {CHILDLESS} SELECT n.file_id, COUNT(c.node_id) > 0 AS has_termini FROM (SELECT DISTINCT file_id FROM nodes) n LEFT JOIN childless c ON n.file_id = c.file_id AND c.type = 2 GROUP BY 1",
         "xf03_soma_sides": f"WITH {NODES}, m AS (SELECT file_id, AVG(CASE WHEN type = 1 AND isfinite(z) THEN z END) AS v FROM nodes GROUP BY 1) SELECT file_id, ROUND(v, 4) AS soma, {SIDE} AS side FROM m",
-        "xf05_flipped": f"WITH {NODES}, m AS (SELECT file_id, AVG(CASE WHEN type = 1 AND isfinite(z) THEN z END) AS v FROM nodes GROUP BY 1), k AS (SELECT file_id, {SIDE} AS side FROM m) SELECT n.file_id, ROUND(SUM(CASE WHEN side = 'right' THEN {2 * MIDLINE} - z ELSE z END), 2) AS sum_z FROM nodes n JOIN k ON n.file_id = k.file_id WHERE isfinite(z) GROUP BY 1",
+        "xf05_flipped": f"WITH {NODES}, m AS (SELECT file_id, AVG(CASE WHEN type = 1 AND isfinite(z) THEN z END) AS v FROM nodes GROUP BY 1), k AS (SELECT file_id, {SIDE} AS side FROM m) SELECT n.file_id, node_id, ROUND(CASE WHEN side = 'right' THEN {2 * MIDLINE} - z ELSE z END, 6) AS z FROM nodes n JOIN k ON n.file_id = k.file_id WHERE isfinite(z)",
         "reg04_descendants": f"SELECT region_id FROM atlas_regions WHERE structure_id_path LIKE '%/{TOP}/%'",
         "reg05_ancestors": f"WITH {DEEP}, a AS (SELECT region_id, unnest(ids) AS ancestor_id, generate_subscripts(ids, 1) - 1 AS depth FROM path) SELECT a.region_id, CAST(depth AS INT) AS depth, ancestor_id, r.acronym AS ancestor_acronym FROM a LEFT JOIN atlas_regions r ON a.ancestor_id = r.region_id WHERE ancestor_id <> a.region_id",
         "reg06_children": "SELECT parent_region_id, string_agg(CAST(region_id AS VARCHAR), ',' ORDER BY region_id) AS child_ids FROM atlas_regions WHERE parent_region_id <> -1 GROUP BY 1",
@@ -351,9 +380,28 @@ def oracle_sql() -> dict[str, str]:
         "ras07_region_mask": f"WITH {ANNOTATION} SELECT i, j, k FROM annotation WHERE region_id IN (876, 399369387, 1072)",
         "ras09_voxel_numbers": f"WITH {HEAT} SELECT i, j, k, ROW_NUMBER() OVER (ORDER BY i, j, k) - 1 AS voxel_id FROM dense",
         "fm01_projection": f"WITH {_FM} SELECT file_id, node_id, ROUND(x_flat, 6) AS x_flat, ROUND(y_flat, 6) AS y_flat, depth_um, invalid_code, depth_mode FROM projected",
-        "fm08_exposed_faces": f"WITH {_FACES} SELECT axis, side, COUNT(*) AS n_faces FROM faces GROUP BY 1, 2",
-        "fm09_outlines": f"WITH {_FACES} SELECT i, COUNT(*) AS n_edges FROM faces WHERE axis <> 'i' GROUP BY 1",
-        "jn10_flat_segments": f"WITH {FLAT}, seg AS (SELECT b.fx AS x0, b.fy AS y0, b.fd AS d0, a.fd AS d1 FROM valid a JOIN valid b ON a.file_id = b.file_id AND a.parent_id = b.node_id WHERE a.drawn AND b.drawn AND a.parent_id >= 0) SELECT CAST(LEAST(GREATEST(FLOOR(x0 * 50), 0), 49) AS BIGINT) AS bx, CAST(LEAST(GREATEST(FLOOR(y0 * 50), 0), 49) AS BIGINT) AS \"by\", COUNT(*) AS n_segments, COUNT(*) FILTER (d1 > d0) AS n_deeper FROM seg GROUP BY 1, 2",
+        "fm08_exposed_faces": f"WITH {_FACES} SELECT i, j, k, axis, side FROM faces",
+        "fm08_vertices": f"""WITH {_FACES} SELECT DISTINCT i + CASE WHEN axis = 'i' THEN (side + 1) // 2 ELSE u END AS i, j + CASE WHEN axis = 'j' THEN (side + 1) // 2 WHEN axis = 'i' THEN u ELSE w END AS j, k + CASE WHEN axis = 'k' THEN (side + 1) // 2 ELSE w END AS k
+            FROM faces CROSS JOIN (VALUES (0), (1)) a(u) CROSS JOIN (VALUES (0), (1)) b(w)""",
+        "fm09_outlines": f"WITH {_FACES} SELECT i, j, k, axis, side FROM faces WHERE axis <> 'i'",
+        "fm10_components": f"""WITH RECURSIVE {HEAT}, step AS (SELECT a.i AS i, a.j AS j, a.k AS k, b.i AS bi, b.j AS bj, b.k AS bk FROM dense a JOIN dense b ON ABS(a.i - b.i) + ABS(a.j - b.j) + ABS(a.k - b.k) = 1),
+            reach AS (SELECT i, j, k, i AS ci, j AS cj, k AS ck FROM dense UNION SELECT s.bi, s.bj, s.bk, r.ci, r.cj, r.ck FROM reach r JOIN step s ON r.i = s.i AND r.j = s.j AND r.k = s.k)
+            SELECT i, j, k, least // 1000000 AS ci, least // 1000 % 1000 AS cj, least % 1000 AS ck FROM (SELECT i, j, k, MIN(ci * 1000000 + cj * 1000 + ck) AS least FROM reach GROUP BY 1, 2, 3)""",
+        "agg29_step_curve": f"WITH {HEAT}, e AS (SELECT CAST(MIN(n) AS DOUBLE) AS low, CAST(MAX(n) AS DOUBLE) AS high FROM heat), b AS (SELECT CAST(LEAST(FLOOR((n - low) / ((high - low) / 64)), 63) AS INT) AS bin, COUNT(*) AS c FROM heat CROSS JOIN e GROUP BY 1) SELECT CAST(r.range AS INT) AS bin, side, ROUND(low + (r.range + side) * (high - low) / 64, 4) AS x, COALESCE(c, 0) AS height FROM range(64) r CROSS JOIN (VALUES (0), (1)) v(side) CROSS JOIN e LEFT JOIN b ON r.range = b.bin",
+        "snk04_swc_lines": f"WITH {NODES} SELECT file_id, node_id, concat_ws(' ', CAST(node_id AS VARCHAR), CAST(COALESCE(type, 0) AS VARCHAR), {_NUM('x')}, {_NUM('y')}, {_NUM('z')}, {_NUM('radius')}, CAST(COALESCE(parent_id, -1) AS VARCHAR)) AS value FROM nodes",
+        "fm02_mirrored_projection": f"""WITH {LOOKUP}, both_ AS (SELECT *, COALESCE({OK}, FALSE) AS ok FROM nodes), v AS (SELECT *, {_VOX('x')} AS vi, {_VOX('y')} AS vj, {_VOX('z')} AS vk, {_VOX(f'({2 * MIDLINE} - z)')} AS wk FROM both_),
+            p AS (SELECT v.*, COALESCE({_IN('vk')}, FALSE) AS din, COALESCE({_IN('wk')}, FALSE) AS min_, o.x_flat AS ox, o.y_flat AS oy, o.depth AS od, m.x_flat AS mx, m.y_flat AS my, m.depth AS md FROM v LEFT JOIN lookup o ON vi = o.i AND vj = o.j AND vk = o.k LEFT JOIN lookup m ON vi = m.i AND vj = m.j AND wk = m.k),
+            f AS (SELECT *, COALESCE(din AND NOT (ox = -1 AND oy = -1), FALSE) AS dxy, COALESCE(min_ AND NOT (mx = -1 AND my = -1), FALSE) AS mxy, COALESCE(din AND od >= 0, FALSE) AS dd, COALESCE(min_ AND md >= 0, FALSE) AS mdd FROM p)
+            SELECT file_id, node_id, ROUND(CASE WHEN dxy THEN ox WHEN mxy THEN mx END, 6) AS x_flat, ROUND(CASE WHEN dxy THEN oy WHEN mxy THEN my END, 6) AS y_flat, CASE WHEN NOT dxy AND mxy THEN CASE WHEN mdd THEN md END WHEN dd THEN od WHEN mdd THEN md END AS depth_um,
+              CASE WHEN dxy AND dd THEN 'direct' WHEN dxy AND mdd THEN 'mirrored_depth' WHEN dxy THEN 'direct' WHEN mxy THEN 'mirrored' ELSE 'unmapped' END AS lookup_mode FROM f""",
+        "cl07_soma_dbscan": f"""WITH RECURSIVE {SOMAS}, near AS (SELECT a.file_id AS a, b.file_id AS b FROM somas a JOIN somas b ON a.file_id <> b.file_id AND SQRT((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) <= 300),
+            core AS (SELECT a AS c FROM near GROUP BY a HAVING COUNT(*) + 1 >= 3), reach AS (SELECT c, c AS r FROM core UNION SELECT n.b, r.r FROM reach r JOIN near n ON n.a = r.c SEMI JOIN core k ON n.b = k.c),
+            own AS (SELECT c, MIN(r) AS k FROM reach GROUP BY 1), border AS (SELECT n.a AS c, MIN(o.k) AS k FROM near n JOIN own o ON n.b = o.c WHERE n.a NOT IN (SELECT c FROM core) GROUP BY 1), every AS (SELECT * FROM own UNION ALL SELECT * FROM border), numbers AS (SELECT k, CAST(ROW_NUMBER() OVER (ORDER BY k) + 1 AS INT) AS label FROM (SELECT DISTINCT k FROM own))
+            SELECT s.file_id, COALESCE(label, 1) AS label FROM somas s LEFT JOIN every e ON s.file_id = e.c LEFT JOIN numbers USING (k)""",
+        "ras01_smoothed": f"WITH {HEAT}, box AS (SELECT i, j, k, CAST(n AS DOUBLE) AS n FROM heat WHERE i BETWEEN 0 AND {SHAPE[0] - 1} AND j BETWEEN 0 AND {SHAPE[1] - 1} AND k BETWEEN 0 AND {SHAPE[2] - 1}), w AS (SELECT range - 4 AS o, EXP(-0.5 * (range - 4) * (range - 4)) / (SELECT SUM(EXP(-0.5 * (r2.range - 4) * (r2.range - 4))) FROM range(9) r2) AS w FROM range(9)), " + _SMOOTH + " SELECT i, j, k, ROUND(n, 6) AS n FROM s3",
+
+        "jn10_flat_segments": f"WITH {FLAT} SELECT a.file_id, a.node_id, a.parent_id, ROUND(b.fx, 9) AS x0, ROUND(b.fy, 9) AS y0, ROUND(b.fd, 9) AS d0, ROUND(a.fx, 9) AS x1, ROUND(a.fy, 9) AS y1, ROUND(a.fd, 9) AS d1 FROM valid a JOIN valid b ON a.file_id = b.file_id AND a.parent_id = b.node_id WHERE a.drawn AND b.drawn AND a.parent_id >= 0",
+        "jn10_segment_bins": f"WITH {FLAT}, seg AS (SELECT b.fx AS x0, b.fy AS y0, b.fd AS d0, a.fd AS d1 FROM valid a JOIN valid b ON a.file_id = b.file_id AND a.parent_id = b.node_id WHERE a.drawn AND b.drawn AND a.parent_id >= 0) SELECT CAST(LEAST(GREATEST(FLOOR(x0 * 50), 0), 49) AS BIGINT) AS bx, CAST(LEAST(GREATEST(FLOOR(y0 * 50), 0), 49) AS BIGINT) AS \"by\", COUNT(*) AS n_segments, COUNT(*) FILTER (d1 > d0) AS n_deeper FROM seg GROUP BY 1, 2",
         "xf09_pixels": f"WITH {FLAT} SELECT file_id, node_id, ROUND(GREATEST(-0.5, LEAST(49.5, fx * 50 - 0.5)), 4) AS px FROM valid WHERE xy",
         "jn12_difference_counts": _TWINS + f" SELECT COUNT(*) AS n_rows, COUNT(*) FILTER (lf IS NULL) AS only_right, COUNT(*) FILTER (rf IS NULL) AS only_left, COUNT(*) FILTER (lp IS DISTINCT FROM rp) AS differs_parent_id, COUNT(*) FILTER (lt IS DISTINCT FROM rt) AS differs_type, ROUND(MIN(total), 3) AS least_sum, ROUND(MAX(total), 3) AS greatest_sum, COUNT(*) FILTER (ABS(total - {2 * MIDLINE}) > 0.01) AS bad_sums, ROUND(MAX(ABS(total - {2 * MIDLINE})), 3) AS largest_error FROM pairs",
         "asg08_restricted": f"WITH {NODES} SELECT file_id, MAX(type) AS label FROM nodes WHERE file_id IN (SELECT file_id FROM nodes GROUP BY 1 ORDER BY COUNT(*) DESC, 1 LIMIT 50) GROUP BY 1",

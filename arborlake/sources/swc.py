@@ -2,29 +2,27 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arborlake.operators.nodes import flipped, parse_file_names, soma_sides
 from arborlake.operators.regions import with_names
 from arborlake.operators.voxels import annotate
+from arborlake.runtime import is_number
+from arborlake.sources import store
 
+#: Columns of the node table.
 NODE_COLUMNS = ("file_id", "node_id", "type", "x", "y", "z", "radius", "parent_id", "region_id", "region_name", "region_acronym", "subject", "neuron_id")
 
 
-def discover(folder: str, recursive: bool = False) -> list[str]:
+def discover(spark: SparkSession, folder: str, recursive: bool = False) -> list[str]:
     """SWC files of a folder, any case of the suffix, sorted."""
-    if not os.path.isdir(folder):
-        raise FileNotFoundError(folder)
-    walk = os.walk(folder) if recursive else [next(os.walk(folder))]
-    return sorted(os.path.join(d, f) for d, _, files in walk for f in files if f.lower().endswith(".swc"))
+    return store.files_below(spark, folder, ".swc", recursive)
 
 
-def chosen(paths: list[str]) -> list[str]:
+def chosen(spark: SparkSession, paths: list[str]) -> list[str]:
     """SWC files of a list, each real path once, sorted."""
-    return sorted({os.path.realpath(p): p for p in paths if p.lower().endswith(".swc")}.values())
+    return sorted({store.real_path(spark, p): p for p in paths if p.lower().endswith(".swc")}.values())
 
 
 def read_swc(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -47,7 +45,7 @@ def read_swc(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFram
     for i in range(7):
         bad_row = bad_row | F.col(f"v{i}").isNull()
     bad = rows.groupBy("file_id").agg(F.count_if(bad_row).alias("n_bad"))
-    names = spark.createDataFrame([(os.path.basename(p),) for p in paths], "file_id string").distinct()
+    names = spark.createDataFrame([(p.rsplit("/", 1)[-1],) for p in paths], "file_id string").distinct()
     failed = names.join(bad, "file_id", "left").where("n_bad is null or n_bad > 0").select("file_id", F.when(F.col("n_bad").isNull(), "no nodes").otherwise("a field that is no number").alias("reason"))
     good = rows.join(bad.where("n_bad = 0").select("file_id"), "file_id", "left_semi")
     whole = lambda i, n: F.col(f"v{i}").cast("int").alias(n)
@@ -92,8 +90,8 @@ def new_files(nodes: DataFrame, existing: DataFrame) -> DataFrame:
 def append(spark: SparkSession, paths: list[str], table: str, **kw) -> int:
     """Append files that are not in the table yet; returns how many files were new."""
     there = spark.read.parquet(table)
-    known = {r[0] for r in there.join(spark.createDataFrame([(os.path.basename(p),) for p in paths], "file_id string"), "file_id", "left_semi").select("file_id").distinct().collect()}
-    new = [p for p in paths if os.path.basename(p) not in known]
+    known = {r[0] for r in there.join(spark.createDataFrame([(p.rsplit("/", 1)[-1],) for p in paths], "file_id string"), "file_id", "left_semi").select("file_id").distinct().collect()}
+    new = [p for p in paths if p.rsplit("/", 1)[-1] not in known]
     if new:
         nodes, _ = read_swc(spark, new)
         node_table(nodes, kw.get("annotation"), kw.get("regions"), kw.get("size", 25.0)).write.mode("append").parquet(table)
@@ -101,12 +99,19 @@ def append(spark: SparkSession, paths: list[str], table: str, **kw) -> int:
 
 
 def swc_lines(nodes: DataFrame) -> DataFrame:
-    """SWC text lines of nodes, three decimals, in order of file and node."""
-    f = F.format_string("%d %d %.3f %.3f %.3f %.3f %d", "node_id", "type", "x", "y", "z", "radius", F.coalesce("parent_id", F.lit(-1)))
+    """SWC text lines of nodes, three decimals. A missing value is written as nan, so that no child loses its parent; a null type is 0, a null parent -1."""
+    number = lambda c: F.when(is_number(c), F.format_string("%.3f", c)).otherwise("nan")
+    whole = lambda c, none: F.coalesce(F.col(c), F.lit(none)).cast("string")
+    f = F.concat_ws(" ", F.col("node_id").cast("string"), whole("type", 0), *[number(c) for c in ("x", "y", "z", "radius")], whole("parent_id", -1))
     return nodes.select("file_id", "node_id", f.alias("value"))
 
 
-def write_swc(nodes: DataFrame, folder: str) -> None:
-    """One folder of text per file, nodes in order."""
+def write_swc(nodes: DataFrame, folder: str, rows_per_part: int = 1_000_000) -> None:
+    """A folder of text per file, nodes in order.
+
+    Nodes are divided by ranges of file and node, so that a file of many rows
+    is written by several tasks; its parts follow each other by name.
+    """
     lines = swc_lines(nodes)
-    lines.repartitionByRange("file_id").sortWithinPartitions("file_id", "node_id").select("file_id", "value").write.partitionBy("file_id").mode("overwrite").text(folder)
+    parts = max(1, -(-lines.count() // rows_per_part))
+    lines.repartitionByRange(parts, "file_id", "node_id").sortWithinPartitions("file_id", "node_id").select("file_id", "value").write.partitionBy("file_id").mode("overwrite").text(folder)

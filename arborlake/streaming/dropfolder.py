@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from arborlake.sources import store
 from arborlake.sources.swc import new_files, node_table
 
 
@@ -28,11 +29,8 @@ def follow(spark: SparkSession, folder: str, table: str, checkpoint: str, once:
 
     def add(batch: DataFrame, _: int) -> None:
         nodes = node_table(parse_contents(batch), None, None, 25.0)
-        try:
+        if store.exists(spark, table):
             nodes = new_files(nodes, spark.read.parquet(table))
-        except Exception as e:  # the table is not there yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
         nodes.write.mode("append").parquet(table)
 
     stream = spark.readStream.format("binaryFile").option("pathGlobFilter", "*.swc").schema("path string, modificationTime timestamp, length long, content binary").load(folder)

@@ -249,7 +249,7 @@ def test_points(spark, tmp_path):
     csv.write_text('label,x,y,z\n"a ""b""",1,2,3\n')
     table = str(tmp_path / "points")
     tables.write_table(tables.read_points(spark, str(csv)), table, {"made": "here"})
-    assert tables.read_metadata(table) == {"made": "here"}
+    assert tables.read_metadata(spark, table) == {"made": "here"}
     assert tables.append_points(spark, table, str(csv)) == 1 and spark.read.parquet(table).count() == 2
     assert tables.two_row_header(["Marker", "Atlas", "", ""], ["", "x", "y", "z pos"]) == ["marker", "atlas_x", "atlas_y", "atlas_z_pos"]
 
@@ -258,7 +258,7 @@ def test_swc_round_trip_and_failures(spark, tmp_path):
     (tmp_path / "123_45_x.swc").write_text("# c\n1 1 10 20 30 5 -1\n2.0 3 11 21 31 1 1 extra # inline\n\n3 2\n")
     (tmp_path / "bad.SWC").write_text("1 1 a 20 30 5 -1\n")
     (tmp_path / "empty.swc").write_text("# nothing\n")
-    paths = swc.discover(str(tmp_path))
+    paths = swc.discover(spark, str(tmp_path))
     assert [os.path.basename(p) for p in paths] == ["123_45_x.swc", "bad.SWC", "empty.swc"]
     out = str(tmp_path / "nodes")
     got = swc.convert(spark, paths, out, hemisphere="left", midline=20.0)
