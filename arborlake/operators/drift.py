@@ -35,17 +35,19 @@ def export_fields(lines: DataFrame) -> DataFrame:
     export_id, exported_at, file_id, node_id, field, kind (boolean, integer,
     decimal, text; null for a JSON null), value.
     """
-    parsed = lines.where(r"payload rlike '\\}\\s*$'").select("stream", "export_id", "exported_at", F.from_json("payload", "map<string,variant>").alias("fields"), F.when(F.col("payload").rlike("[0-9]{19}"), F.col("payload")).alias("long_numbers"))
+    parsed = lines.where(F.endswith(F.rtrim("payload"), F.lit("}"))).select("stream", "export_id", "exported_at", F.from_json("payload", "map<string,variant>").alias("fields"), F.when(F.col("payload").rlike("[0-9]{19}"), F.col("payload")).alias("long_numbers"))
     own = lambda name, kind: F.expr(f"try_variant_get(fields['{name}'], '$', '{kind}')").alias(name)
     pairs = parsed.select("stream", "export_id", "exported_at", own("file_id", "string"), own("node_id", "bigint"), "long_numbers", F.explode("fields").alias("field", "variant"))
     shape, text = F.schema_of_variant("variant"), F.expr("try_variant_get(variant, '$', 'string')")
     pairs = pairs.select("stream", "export_id", "exported_at", "file_id", "node_id", "field", shape.alias("shape"), text.alias("text"), "long_numbers")
     # A variant keeps 18.0 as a decimal without places. Integers are decimals only beyond 18 digits; there the text of the line tells.
-    point_less = F.col("shape").rlike("^DECIMAL\\([0-9]+,0\\)")
-    written_whole = F.coalesce(F.rlike("long_numbers", F.concat(F.lit('"\\Q'), F.col("field"), F.lit('\\E"\\s*:\\s*'), F.col("text"), F.lit("\\s*[,}]"))), F.lit(False))
-    decimal = F.col("shape").rlike("^(DECIMAL|DOUBLE|FLOAT)") & ~(point_less & written_whole)
-    kind = F.when(F.col("shape") == "VOID", None).when(F.col("shape") == "BOOLEAN", "boolean").when((F.col("shape") == "BIGINT") | (point_less & ~decimal), "integer").when(decimal, "decimal").otherwise("text")
-    value = F.when(decimal & point_less, F.concat("text", F.lit(".0"))).otherwise(F.col("text"))
+    shape = F.col("shape")
+    point_less = F.startswith(shape, F.lit("DECIMAL")) & F.endswith(shape, F.lit(",0)"))
+    written_whole = F.rlike("long_numbers", F.concat(F.lit('"\\Q'), F.col("field"), F.lit('\\E"\\s*:\\s*'), F.col("text"), F.lit("\\s*[,}]")))
+    is_whole = F.when(point_less & F.col("long_numbers").isNotNull(), written_whole).otherwise(False)
+    decimal = F.startswith(shape, F.lit("DECIMAL")) | shape.isin("DOUBLE", "FLOAT")
+    kind = F.when(shape == "BIGINT", "integer").when(shape == "VOID", None).when(shape == "BOOLEAN", "boolean").when(decimal, F.when(is_whole, "integer").otherwise("decimal")).otherwise("text")
+    value = F.when(point_less, F.when(is_whole, F.col("text")).otherwise(F.concat("text", F.lit(".0")))).otherwise(F.col("text"))
     return pairs.select("stream", "export_id", "exported_at", "file_id", "node_id", "field", kind.alias("kind"), F.when(F.col("shape") != "VOID", value).alias("value"))
 
 
