@@ -37,7 +37,7 @@ def queries() -> dict:
         "p6_report": lambda s, d: twins.difference_report(t(s, d, "neurons"), t(s, d, "neurons_copy")),
         "p6_matrix": lambda s, d: twins.column_checksums(t(s, d, "neurons"), t(s, d, "neurons_copy")),
         "p7_found": lambda s, d: csv_points.bad_records(t(s, d, "point_csv_lines")).select("csv_file", "line_no", "reason"),
-        "p7_points": lambda s, d: csv_points.good_points(t(s, d, "point_csv_lines")),
+        "p7_points": lambda s, d: csv_points.good_points(t(s, d, "point_csv_lines")).drop("extras"),
     }
 
 
@@ -83,8 +83,56 @@ FROM numbered f JOIN n USING (file_id, node_id) LEFT JOIN sizes s ON f.file_id =
 UNION ALL SELECT file_id, node_id, COALESCE(n.p, -1), NULL, NULL, NULL, NULL, NULL, NULL, cycle_node_id, NULL FROM loops JOIN n USING (file_id, node_id)"""
 
 
+_FIELD = '(?:"(?:[^"]|"")*"|[^",]*)'
+_NAMES = "CASE n WHEN 'marker' THEN 'label' WHEN 'atlas_x' THEN 'x' WHEN 'atlas_y' THEN 'y' WHEN 'atlas_z' THEN 'z' WHEN 'region_acronym' THEN 'acronym' WHEN 'region_id' THEN 'id' WHEN 'region_hemisphere' THEN 'hemisphere' ELSE n END"
+_WHITE = "[\\s\\x{85}\\x{a0}\\x{1c}-\\x{1f}\\x{0b}\\p{Z}]"
+_STRIPPED = lambda c: f"regexp_replace({c}, '^{_WHITE}+|{_WHITE}+$', '', 'g')"
+_CSV = f"""WITH heads AS (SELECT csv_file, arg_max(raw, (COALESCE(received_at, TIMESTAMP '0001-01-01'), raw)) AS head FROM point_csv_lines WHERE line_no = 1 AND raw IS NOT NULL GROUP BY 1),
+cut AS (SELECT l.csv_file, l.line_no, COALESCE(l.raw, '') AS raw, list_transform(regexp_extract_all(',' || replace(head, chr(65279), ''), ',({_FIELD})', 1), lambda h: trim(CASE WHEN h[1] = '"' THEN replace(h[2:-2], '""', '"') ELSE h END)) AS names,
+  regexp_extract_all(',' || COALESCE(l.raw, ''), ',({_FIELD})', 1) AS cells, regexp_full_match(COALESCE(l.raw, ''), '(?s){_FIELD}(?:,{_FIELD})*') AS quoted_well FROM point_csv_lines l LEFT JOIN heads USING (csv_file) WHERE line_no IS DISTINCT FROM 1),
+named AS (SELECT csv_file, line_no, quoted_well, len(cells) = len(names) AS counted, list_transform(names, lambda n: {_NAMES}) AS names, list_transform(cells, lambda c: CASE WHEN c[1] = '"' THEN replace(c[2:-2], '""', '"') ELSE c END) AS cells FROM cut),
+fields AS (SELECT *, {', '.join(f"cells[list_position(names, '{c}')] AS {c}" for c in csv_points.COLUMNS)} FROM named),
+bad AS (SELECT *, COALESCE({_STRIPPED('label')}, '') = '' AS no_label, {' OR '.join(f"NOT COALESCE(regexp_full_match(trim({c}, chr(32) || chr(9)), '[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?') AND isfinite(TRY_CAST(trim({c}, chr(32) || chr(9)) AS DOUBLE)), FALSE)" for c in 'xyz')} AS no_number,
+  COALESCE({_STRIPPED('id')}, '') <> '' AND NOT regexp_full_match({_STRIPPED('id')}, '[+-]?[0-9]+') AS no_id, COALESCE(regexp_matches(region_name, '[\\x{{00}}-\\x{{1f}}\\x{{7f}}-\\x{{9f}}\\x{{fffd}}]'), FALSE) AS no_name FROM fields),
+judged AS (SELECT *, CASE WHEN NOT quoted_well THEN 'bad_quoting' WHEN NOT counted THEN 'column_count' WHEN no_label OR no_number OR no_id OR no_name THEN 'invalid_value' END AS reason FROM bad)"""
+_TYPED = {"int": "n", "double": "d", "boolean": "b", "string": "v"}
+_PLAIN = lambda c: f"NULLIF({_STRIPPED(c)}, '') AS {c}"
+CSV_POINTS = f"""{_CSV}, points AS (SELECT {_STRIPPED('label')} AS label, {', '.join(f'CAST(trim({c}, chr(32) || chr(9)) AS DOUBLE) AS {c}' for c in 'xyz')}, {_PLAIN('region_name')}, {_PLAIN('acronym')}, TRY_CAST({_STRIPPED('id')} AS BIGINT) AS id, {_PLAIN('hemisphere')}, csv_file AS origin_csv, line_no FROM judged WHERE reason IS NULL)"""
+_FIELDS = """WITH lines AS (SELECT stream, export_id, exported_at, payload FROM node_exports WHERE stream IS NOT NULL AND export_id IS NOT NULL AND json_valid(payload) AND json_type(payload) = 'OBJECT'),
+exports AS (SELECT stream, export_id, ROW_NUMBER() OVER (PARTITION BY stream ORDER BY MIN(exported_at), export_id) AS seq FROM node_exports WHERE stream IS NOT NULL AND export_id IS NOT NULL GROUP BY 1, 2),
+f AS (SELECT stream, export_id, payload ->> 'file_id' AS file_id, payload ->> 'node_id' AS node_id, k AS field, json_type(payload, '$."' || k || '"') AS t, payload ->> ('$."' || k || '"') AS v FROM (SELECT *, unnest(json_keys(payload)) AS k FROM lines)),
+kinds AS (SELECT f.*, seq, CASE WHEN t = 'NULL' THEN NULL WHEN t = 'BOOLEAN' THEN 'boolean' WHEN t IN ('BIGINT', 'UBIGINT', 'HUGEINT') THEN 'integer' WHEN t = 'DOUBLE' THEN 'decimal' ELSE 'text' END AS kind FROM f JOIN exports USING (stream, export_id)),
+cat AS (SELECT stream, export_id, seq, field, CASE WHEN bool_or(kind = 'text') OR (bool_or(kind = 'boolean') AND bool_or(kind IN ('integer', 'decimal'))) THEN 'text' WHEN bool_or(kind = 'boolean') THEN 'boolean' WHEN bool_or(kind = 'decimal') THEN 'decimal' WHEN bool_or(kind = 'integer') THEN 'integer' END AS type FROM kinds GROUP BY ALL)"""
+_CHANGES = _FIELDS + """, added AS (SELECT a.stream, a.seq, a.field FROM cat a ANTI JOIN cat b ON a.stream = b.stream AND a.seq = b.seq + 1 AND a.field = b.field WHERE a.seq > 1),
+gone AS (SELECT a.stream, a.seq + 1 AS seq, a.field FROM cat a ANTI JOIN cat b ON a.stream = b.stream AND a.seq = b.seq - 1 AND a.field = b.field SEMI JOIN exports e ON e.stream = a.stream AND e.seq = a.seq + 1),
+vals AS (SELECT DISTINCT stream, seq, file_id, node_id, field, v FROM kinds WHERE v IS NOT NULL), nodes AS (SELECT DISTINCT stream, seq, file_id, node_id FROM kinds),
+held AS (SELECT v.stream, v.seq + s.step AS seq, v.field, s.step, list((v.file_id, v.node_id, v.v) ORDER BY v.file_id, v.node_id, v.v) AS all_ FROM vals v CROSS JOIN (VALUES (0), (1)) s(step)
+  SEMI JOIN nodes o ON o.stream = v.stream AND o.seq = v.seq + (2 * s.step - 1) AND o.file_id IS NOT DISTINCT FROM v.file_id AND o.node_id IS NOT DISTINCT FROM v.node_id GROUP BY 1, 2, 3, 4),
+old AS (SELECT h.*, ROW_NUMBER() OVER (PARTITION BY h.stream, h.seq, all_ ORDER BY h.field) AS n FROM held h SEMI JOIN gone g ON g.stream = h.stream AND g.seq = h.seq AND g.field = h.field WHERE step = 1),
+new AS (SELECT h.*, ROW_NUMBER() OVER (PARTITION BY h.stream, h.seq, all_ ORDER BY h.field) AS n FROM held h SEMI JOIN added g ON g.stream = h.stream AND g.seq = h.seq AND g.field = h.field WHERE step = 0),
+moved AS (SELECT o.stream, o.seq, o.field, w.field AS new_field FROM old o JOIN new w ON o.stream = w.stream AND o.seq = w.seq AND o.all_ = w.all_ AND o.n = w.n),
+found AS (SELECT stream, seq, 'renamed' AS change, field, new_field FROM moved
+UNION ALL SELECT stream, seq, 'added', field, '' FROM added a ANTI JOIN moved m ON a.stream = m.stream AND a.seq = m.seq AND a.field = m.new_field
+UNION ALL SELECT stream, seq, 'removed', field, '' FROM gone a ANTI JOIN moved m ON a.stream = m.stream AND a.seq = m.seq AND a.field = m.field
+UNION ALL SELECT a.stream, a.seq, 'retyped', a.field, '' FROM cat a JOIN cat b ON a.stream = b.stream AND a.seq = b.seq + 1 AND a.field = b.field WHERE a.type <> b.type)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p1_found": _CHANGES + "SELECT export_id, change, field, new_field FROM found JOIN exports USING (stream, seq)",
+        "p1_lifespans": _FIELDS + """, carried AS (SELECT * REPLACE (COALESCE(type, last_value(type IGNORE NULLS) OVER (PARTITION BY stream, field ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS type) FROM cat),
+            marked AS (SELECT *, CASE WHEN LAG(seq) OVER w = seq - 1 AND LAG(type) OVER w IS NOT DISTINCT FROM type THEN 0 ELSE 1 END AS new FROM carried WINDOW w AS (PARTITION BY stream, field ORDER BY seq)),
+            numbered AS (SELECT *, SUM(new) OVER (PARTITION BY stream, field ORDER BY seq) AS island FROM marked)
+            SELECT stream, field, type, MIN(seq) AS first_seq, MAX(seq) AS last_seq, arg_min(export_id, seq) AS first_export, arg_max(export_id, seq) AS last_export, COUNT(*) AS n_exports FROM numbered GROUP BY stream, field, island, type""",
+        "p1_nodes": _FIELDS + """, alias(plain, target) AS (VALUES """ + ", ".join(f"('{a}', '{c}')" for a, c in drift.ALIASES.items()) + """),
+            typed AS (SELECT k.file_id, TRY_CAST(k.node_id AS BIGINT) AS node_id, CASE WHEN field IN ('type', 'x') THEN field ELSE target END AS target, v, l.exported_at, k.export_id FROM kinds k JOIN (SELECT DISTINCT stream, export_id, exported_at FROM lines) l USING (stream, export_id) LEFT JOIN alias ON plain = regexp_replace(lower(field), '[^a-z0-9]', '', 'g') WHERE k.file_id IS NOT NULL AND TRY_CAST(k.node_id AS BIGINT) IS NOT NULL),
+            cast_ AS (SELECT *, TRY_CAST(v AS DOUBLE) AS d, CASE WHEN TRY_CAST(v AS DOUBLE) = ROUND_EVEN(TRY_CAST(v AS DOUBLE), 0) THEN TRY_CAST(TRY_CAST(v AS DOUBLE) AS INT) END AS n, TRY_CAST(v AS BOOLEAN) AS b FROM typed)
+            SELECT file_id, node_id, """ + ", ".join(f"arg_max({_TYPED[k]}, (exported_at, export_id, v)) FILTER (target = '{c}' AND {_TYPED[k]} IS NOT NULL) AS {c}" for c, k in ({"type": "int", "x": "double"} | drift.TARGETS).items()) + """, MAX(exported_at) AS last_export FROM cast_ GROUP BY 1, 2""",
+        "p1_casts": _FIELDS + """, named AS (SELECT field, type, COUNT(*) AS n_exports, regexp_replace(lower(field), '[^a-z0-9]', '', 'g') AS plain FROM cat GROUP BY 1, 2),
+            alias(plain, column_name) AS (VALUES """ + ", ".join(f"('{a}', '{c}')" for a, c in drift.ALIASES.items()) + """), target(column_name, column_type) AS (VALUES """ + ", ".join(f"('{a}', '{c}')" for a, c in drift.TARGETS.items()) + """)
+            SELECT field, type, n_exports, column_name, column_type, 'try_cast(`' || field || '` AS ' || column_type || ') AS ' || column_name AS cast_sql FROM named LEFT JOIN alias USING (plain) LEFT JOIN target USING (column_name)""",
+        "p7_points": CSV_POINTS + " SELECT * FROM points",
+        "p7_found": _CSV + " SELECT csv_file, line_no, reason FROM judged WHERE reason IS NOT NULL",
         "p2_found": _TREES + _LOOPS,
         "p2_found_in_blocks": _TREES + _LOOPS,
         "p2_trees": _WHOLE_TREES,

@@ -17,6 +17,7 @@ from arborlake.operators import regioncache as RC
 from arborlake.operators import regions as R
 from arborlake.operators import voxels as V
 from arborlake.plans import morphology as M
+from arborlake.plans.dealt import CSV_POINTS
 from arborlake.plans.morphology import ANNOTATION, MIDLINE, NODES, OK, SHAPE, SIZE, VOX, annotation, labels, nodes
 from arborlake.runtime import read_table as t
 from arborlake.sources import tables
@@ -185,6 +186,10 @@ def oracle_sql() -> dict[str, str]:
         "reg02_region_at": f"WITH {ANNOTATION} SELECT n.file_id, n.node_id, a.region_id, r.acronym FROM nodes n JOIN annotation a ON CAST(TRUNC(n.x / {SIZE}) AS BIGINT) = a.i AND CAST(TRUNC(n.y / {SIZE}) AS BIGINT) = a.j AND CAST(TRUNC(n.z / {SIZE}) AS BIGINT) = a.k JOIN atlas_regions r ON a.region_id = r.region_id WHERE n.type = 1 AND isfinite(n.x) AND isfinite(n.y) AND isfinite(n.z)",
         "reg09_layer_hierarchy": "WITH l AS (SELECT region_id, trim(acronym) AS acronym, trim(region_name) AS region_name, lower(regexp_extract(region_name, '(?i)(?:,|/)\\s*(?:layer\\s+)?(2/3|6a|6b|1|4|5)\\s*$', 1)) AS layer FROM atlas_regions a WHERE NOT EXISTS (SELECT 1 FROM atlas_regions b WHERE b.parent_region_id = a.region_id)) SELECT layer, ROW_NUMBER() OVER (PARTITION BY layer ORDER BY lower(region_name), lower(acronym), region_id) AS position, region_id, acronym, region_name FROM l WHERE layer <> ''",
         "agg36_layer_counts": f"WITH {M.FLAT}, layers AS (SELECT region_id, lower(regexp_extract(region_name, '(?i)(?:,|/)\\s*(?:layer\\s+)?(2/3|6a|6b|1|4|5)\\s*$', 1)) AS layer FROM atlas_regions a WHERE NOT EXISTS (SELECT 1 FROM atlas_regions b WHERE b.parent_region_id = a.region_id)) SELECT layer, COUNT(*) AS n_nodes FROM valid v JOIN layers l ON v.region_id = l.region_id WHERE xy AND layer <> '' GROUP BY 1",
+        "pt05_at_place": CSV_POINTS + f""", {ANNOTATION}, c AS (SELECT p.*, COALESCE(an.region_id, 0) AS place_id, CASE WHEN z < {MIDLINE - 1} THEN 'left' WHEN z > {MIDLINE + 1} THEN 'right' ELSE 'midline' END AS place_side FROM points p
+            LEFT JOIN annotation an ON CAST(ROUND_EVEN(z / {SIZE}, 0) AS BIGINT) = an.i AND CAST(ROUND_EVEN(y / {SIZE}, 0) AS BIGINT) = an.j AND CAST(ROUND_EVEN(x / {SIZE}, 0) AS BIGINT) = an.k),
+            r AS (SELECT c.*, COALESCE(a.acronym, '') AS place_acronym, COALESCE(a.region_name, '') AS place_name FROM c LEFT JOIN atlas_regions a ON c.place_id = a.region_id)
+            SELECT origin_csv, line_no, label, place_id, place_acronym, place_side, NULLIF(concat_ws(',', CASE WHEN id <> place_id THEN 'id' END, CASE WHEN acronym <> trim(place_acronym) THEN 'acronym' END, CASE WHEN {M._KEY('region_name')} <> {M._KEY('place_name')} THEN 'region_name' END, CASE WHEN hemisphere IS NOT NULL AND lower(hemisphere) <> place_side THEN 'hemisphere' END), '') AS mismatches FROM r""",
         "hlp49_added": f"WITH {NODES} SELECT DISTINCT file_id, file_id IN (SELECT file_id FROM nodes GROUP BY 1 ORDER BY COUNT(*) DESC, 1 LIMIT 25) AS added FROM nodes",
         "hlp05_inferred_validity": f"WITH {M.FLAT} SELECT file_id, node_id, COALESCE(xy, FALSE) AS flatmap_valid, COALESCE(isfinite(fd) AND fd >= 0, FALSE) AS depth_valid FROM valid",
     }

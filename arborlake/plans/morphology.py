@@ -15,6 +15,7 @@ from arborlake.operators import nodes as N
 from arborlake.operators import points as P
 from arborlake.operators import regions as R
 from arborlake.operators import voxels as V
+from arborlake.plans.dealt import CSV_POINTS
 from arborlake.runtime import read_table as t
 from arborlake.sources import csv_points, swc
 
@@ -183,7 +184,7 @@ def queries() -> dict:
         "reg12_layer_report": lambda s, d: R.layer_report(t(s, d, "atlas_regions")),
         "agg30_region_occupancy": lambda s, d: V.binned(nodes(s, d).where("region_id > 0"), SIZE).groupBy("region_id", "i", "j", "k").agg(F.count(F.lit(1)).alias("n")),
         # points
-        "src18_points": points,
+        "src18_points": lambda s, d: points(s, d).drop("extras"),
         "pt05_atlas_check": lambda s, d: P.mismatch_counts(P.atlas_check(points(s, d), t(s, d, "atlas_regions"), MIDLINE)),
         "agg21_point_groups": lambda s, d: P.groups(points(s, d)),
         "agg22_point_volumes": lambda s, d: P.group_volumes(points(s, d), 25.0),
@@ -273,6 +274,13 @@ _FACES = f"""{HEAT}, faces AS (SELECT * FROM dense CROSS JOIN (VALUES ('i', -1,
   WHERE NOT EXISTS (SELECT 1 FROM dense o WHERE o.i = dense.i + di AND o.j = dense.j + dj AND o.k = dense.k + dk))"""
 
 
+_ROUNDED = ", ".join(f"CAST(ROUND_EVEN({c} / 25.0, 0) AS BIGINT) AS {n}" for c, n in zip("zyx", "ijk"))
+
+
+def _KEY(c):
+    return f"trim(regexp_replace(regexp_replace(lower({c}), '\\s*/\\s*', ', ', 'g'), '\\s+', ' ', 'g'), ' ,')"
+
+
 def _NUM(c):
     return f"CASE WHEN isfinite({c}) THEN printf('%.3f', {c}) ELSE 'nan' END"
 
@@ -394,6 +402,13 @@ def oracle_sql() -> dict[str, str]:
             f AS (SELECT *, COALESCE(din AND NOT (ox = -1 AND oy = -1), FALSE) AS dxy, COALESCE(min_ AND NOT (mx = -1 AND my = -1), FALSE) AS mxy, COALESCE(din AND od >= 0, FALSE) AS dd, COALESCE(min_ AND md >= 0, FALSE) AS mdd FROM p)
             SELECT file_id, node_id, ROUND(CASE WHEN dxy THEN ox WHEN mxy THEN mx END, 6) AS x_flat, ROUND(CASE WHEN dxy THEN oy WHEN mxy THEN my END, 6) AS y_flat, CASE WHEN NOT dxy AND mxy THEN CASE WHEN mdd THEN md END WHEN dd THEN od WHEN mdd THEN md END AS depth_um,
               CASE WHEN dxy AND dd THEN 'direct' WHEN dxy AND mdd THEN 'mirrored_depth' WHEN dxy THEN 'direct' WHEN mxy THEN 'mirrored' ELSE 'unmapped' END AS lookup_mode FROM f""",
+        "src18_points": CSV_POINTS + " SELECT * FROM points",
+        "agg21_point_groups": CSV_POINTS + " SELECT label, origin_csv AS origin, COUNT(*) AS n_points FROM points GROUP BY 1, 2",
+        "agg22_point_volumes": CSV_POINTS + f" SELECT label, origin_csv AS origin, {_ROUNDED}, COUNT(*) AS n FROM points GROUP BY ALL",
+        "agg23_label_volumes": CSV_POINTS + f" SELECT label, {_ROUNDED}, COUNT(*) AS n FROM points GROUP BY ALL",
+        "pt05_atlas_check": CSV_POINTS + f""", c AS (SELECT p.*, a.region_id AS rid, a.acronym AS ra, a.region_name AS rn, CASE WHEN z < {MIDLINE - 1} THEN 'left' WHEN z > {MIDLINE + 1} THEN 'right' ELSE 'midline' END AS side FROM points p LEFT JOIN atlas_regions a ON p.id = a.region_id),
+            m AS (SELECT unnest([CASE WHEN id IS NOT NULL AND rid IS NULL THEN 'id' END, CASE WHEN acronym IS NOT NULL AND NOT COALESCE(acronym = trim(ra), FALSE) THEN 'acronym' END, CASE WHEN region_name IS NOT NULL AND NOT COALESCE({_KEY('region_name')} = {_KEY('rn')}, FALSE) THEN 'region_name' END,
+              CASE WHEN hemisphere IS NOT NULL AND NOT COALESCE(lower(hemisphere) = side, FALSE) THEN 'hemisphere' END]) AS field FROM c) SELECT field, COUNT(*) AS n_points FROM m WHERE field IS NOT NULL GROUP BY 1""",
         "cl07_soma_dbscan": f"""WITH RECURSIVE {SOMAS}, near AS (SELECT a.file_id AS a, b.file_id AS b FROM somas a JOIN somas b ON a.file_id <> b.file_id AND SQRT((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) <= 300),
             core AS (SELECT a AS c FROM near GROUP BY a HAVING COUNT(*) + 1 >= 3), reach AS (SELECT c, c AS r FROM core UNION SELECT n.b, r.r FROM reach r JOIN near n ON n.a = r.c SEMI JOIN core k ON n.b = k.c),
             own AS (SELECT c, MIN(r) AS k FROM reach GROUP BY 1), border AS (SELECT n.a AS c, MIN(o.k) AS k FROM near n JOIN own o ON n.b = o.c WHERE n.a NOT IN (SELECT c FROM core) GROUP BY 1), every AS (SELECT * FROM own UNION ALL SELECT * FROM border), numbers AS (SELECT k, CAST(ROW_NUMBER() OVER (ORDER BY k) + 1 AS INT) AS label FROM (SELECT DISTINCT k FROM own))
