@@ -158,6 +158,12 @@ def oracle_sql() -> dict[str, str]:
         "snk11_augmented": f"WITH {_V3} SELECT file_id, node_id, {_STYLE('shaped', 'one', 1)}, {_STYLE('square', 'two', 2)}, {_DEPTH} FROM flags",
         "snk11_counts": f"""WITH {_V3} SELECT COUNT(*) AS n_rows, COUNT(*) FILTER (one) AS n_shaped_valid, COUNT(*) FILTER (one AND (own OR far)) AS n_shaped_projection_valid, COUNT(*) FILTER (two) AS n_square_valid, COUNT(*) FILTER (two AND (own OR far)) AS n_square_projection_valid,
             COUNT(*) FILTER (own) AS n_depth_direct, COUNT(*) FILTER (far AND NOT own) AS n_depth_mirrored_depth, COUNT(*) FILTER (NOT own AND NOT far) AS n_depth_unmapped FROM flags""",
+        "snk12_augmented_single": f"""WITH {M._MIRRORED}, u AS (SELECT *, dxy OR mxy AS xy, CASE WHEN NOT dxy AND mxy THEN CASE WHEN mdd THEN md END WHEN dd THEN od WHEN mdd THEN md END AS deep FROM f)
+            SELECT file_id, node_id, {_FLOAT('xy', 'CASE WHEN dxy THEN ox ELSE mx END')} AS x_flat, {_FLOAT('xy', 'CASE WHEN dxy THEN oy ELSE my END')} AS y_flat, {_FLOAT('TRUE', 'deep')} AS depth_um, xy AS flatmap_valid, deep IS NOT NULL AS depth_valid, xy AND deep IS NOT NULL AS flatmap_projection_valid,
+              CAST(CASE WHEN xy AND deep IS NOT NULL THEN 0 WHEN NOT ok THEN 1 WHEN NOT din AND NOT xy THEN 2 WHEN NOT xy THEN 3 ELSE 4 END AS TINYINT) AS flatmap_invalid_code, CASE WHEN dxy AND dd THEN 'direct' WHEN dxy AND mdd THEN 'mirrored_depth' WHEN dxy THEN 'direct' WHEN mxy THEN 'mirrored' ELSE 'unmapped' END AS flatmap_lookup_mode FROM u""",
+        "cor07_soma_dbscan": M.dbscan_sql(f"{_STORED}, somas AS (SELECT file_id, AVG(CAST(fx AS DOUBLE)) / 1.005 AS x, AVG(fy) / 8000 AS y, AVG(ABS(fd)) / 1900 * 0.5 AS z FROM drawn WHERE type = 1 GROUP BY 1)", 0.05, 3),
+        "fm12_components": f"""WITH RECURSIVE {_PRINTS}, b AS (SELECT u.* FROM unions u JOIN prints p ON u.region_id = p.region_id AND p.footprint = p.region_id), reach AS (SELECT region_id, d, "by", bx, d * 10000 + "by" * 100 + bx AS r FROM b UNION
+            SELECT o.region_id, o.d, o."by", o.bx, q.r FROM reach q JOIN b o ON q.region_id = o.region_id AND ABS(q.d - o.d) + ABS(q."by" - o."by") + ABS(q.bx - o.bx) = 1), least AS (SELECT region_id, d, "by", bx, MIN(r) AS m FROM reach GROUP BY ALL) SELECT region_id AS footprint, COUNT(DISTINCT m) AS n_components FROM least GROUP BY 1""",
         "agg34_lookup_stats": f"WITH {_BOTH} SELECT ROUND(MIN(x2) FILTER (v), 6) AS x_low, ROUND(MAX(x2) FILTER (v), 6) AS x_high, ROUND(MIN(y2) FILTER (v), 6) AS y_low, ROUND(MAX(y2) FILTER (v), 6) AS y_high, MIN(depth) FILTER (depth >= 0) AS depth_low, MAX(depth) FILTER (depth >= 0) AS depth_high, COUNT(*) FILTER (v) AS n_xy, COUNT(*) FILTER (depth >= 0) AS n_depth FROM (SELECT *, NOT (x2 = -1 AND y2 = -1) AS v FROM lookup2)",
         "cor03_flat_counts": f"WITH {_STORED} SELECT file_id, (d * 40 + \"by\") * 40 + bx AS voxel, COUNT(*) AS n FROM drawn GROUP BY 1, 2",
         "cor03_unassigned": f"WITH {_STORED} SELECT DISTINCT file_id FROM stored WHERE file_id NOT IN (SELECT file_id FROM drawn)",

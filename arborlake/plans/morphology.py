@@ -293,6 +293,19 @@ def _IN(k):
     return f"ok AND vi BETWEEN 0 AND {SHAPE[0] - 1} AND vj BETWEEN 0 AND {SHAPE[1] - 1} AND {k} BETWEEN 0 AND {SHAPE[2] - 1}"
 
 
+_MIRRORED = f"""{LOOKUP}, both_ AS (SELECT *, COALESCE({OK}, FALSE) AS ok FROM nodes), v AS (SELECT *, {_VOX('x')} AS vi, {_VOX('y')} AS vj, {_VOX('z')} AS vk, {_VOX(f'({2 * MIDLINE} - z)')} AS wk FROM both_),
+            p AS (SELECT v.*, COALESCE({_IN('vk')}, FALSE) AS din, COALESCE({_IN('wk')}, FALSE) AS min_, o.x_flat AS ox, o.y_flat AS oy, o.depth AS od, m.x_flat AS mx, m.y_flat AS my, m.depth AS md FROM v LEFT JOIN lookup o ON vi = o.i AND vj = o.j AND vk = o.k LEFT JOIN lookup m ON vi = m.i AND vj = m.j AND wk = m.k),
+            f AS (SELECT *, COALESCE(din AND NOT (ox = -1 AND oy = -1), FALSE) AS dxy, COALESCE(min_ AND NOT (mx = -1 AND my = -1), FALSE) AS mxy, COALESCE(din AND od >= 0, FALSE) AS dd, COALESCE(min_ AND md >= 0, FALSE) AS mdd FROM p)"""
+
+
+def dbscan_sql(points: str, eps: float, least: int) -> str:
+    """Density clusters of ``points`` (file_id, x, y, z), a chain of WITH parts."""
+    return f"""WITH RECURSIVE {points}, near AS (SELECT a.file_id AS a, b.file_id AS b FROM somas a JOIN somas b ON a.file_id <> b.file_id AND SQRT((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) <= {eps}),
+            core AS (SELECT a AS c FROM near GROUP BY a HAVING COUNT(*) + 1 >= {least}), reach AS (SELECT c, c AS r FROM core UNION SELECT n.b, r.r FROM reach r JOIN near n ON n.a = r.c SEMI JOIN core k ON n.b = k.c),
+            own AS (SELECT c, MIN(r) AS k FROM reach GROUP BY 1), border AS (SELECT n.a AS c, MIN(o.k) AS k FROM near n JOIN own o ON n.b = o.c WHERE n.a NOT IN (SELECT c FROM core) GROUP BY 1), every AS (SELECT * FROM own UNION ALL SELECT * FROM border), numbers AS (SELECT k, CAST(ROW_NUMBER() OVER (ORDER BY k) + 1 AS INT) AS label FROM (SELECT DISTINCT k FROM own))
+            SELECT s.file_id, COALESCE(label, 1) AS label FROM somas s LEFT JOIN every e ON s.file_id = e.c LEFT JOIN numbers USING (k)"""
+
+
 def _axis(n, axis, size):
     """One axis of the smoothing: every target within reach sums up what it reads, places outside being the border's."""
     before = "box" if n == 1 else f"s{n - 1}"
@@ -301,6 +314,7 @@ def _axis(n, axis, size):
   s{n} AS (SELECT c.i, c.j, c.k, SUM(b.n * w) AS n FROM c{n} c CROSS JOIN w JOIN {before} b ON {' AND '.join(f'b.{r} = c.{r}' for r in rest)} AND b.{axis} = LEAST(GREATEST(c.{axis} + o, 0), {size - 1}) GROUP BY 1, 2, 3)"""
 
 
+_HEAT_IN = f"{HEAT}, box AS (SELECT i, j, k, CAST(n AS DOUBLE) AS n FROM heat WHERE i BETWEEN 0 AND {SHAPE[0] - 1} AND j BETWEEN 0 AND {SHAPE[1] - 1} AND k BETWEEN 0 AND {SHAPE[2] - 1})"
 _SMOOTH = ", ".join(_axis(n, axis, size) for n, (axis, size) in enumerate(zip("ijk", SHAPE), 1))
 
 
@@ -397,9 +411,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT i, j, k, least // 1000000 AS ci, least // 1000 % 1000 AS cj, least % 1000 AS ck FROM (SELECT i, j, k, MIN(ci * 1000000 + cj * 1000 + ck) AS least FROM reach GROUP BY 1, 2, 3)""",
         "agg29_step_curve": f"WITH {HEAT}, e AS (SELECT CAST(MIN(n) AS DOUBLE) AS low, CAST(MAX(n) AS DOUBLE) AS high FROM heat), b AS (SELECT CAST(LEAST(FLOOR((n - low) / ((high - low) / 64)), 63) AS INT) AS bin, COUNT(*) AS c FROM heat CROSS JOIN e GROUP BY 1) SELECT CAST(r.range AS INT) AS bin, side, ROUND(low + (r.range + side) * (high - low) / 64, 4) AS x, COALESCE(c, 0) AS height FROM range(64) r CROSS JOIN (VALUES (0), (1)) v(side) CROSS JOIN e LEFT JOIN b ON r.range = b.bin",
         "snk04_swc_lines": f"WITH {NODES} SELECT file_id, node_id, concat_ws(' ', CAST(node_id AS VARCHAR), CAST(COALESCE(type, 0) AS VARCHAR), {_NUM('x')}, {_NUM('y')}, {_NUM('z')}, {_NUM('radius')}, CAST(COALESCE(parent_id, -1) AS VARCHAR)) AS value FROM nodes",
-        "fm02_mirrored_projection": f"""WITH {LOOKUP}, both_ AS (SELECT *, COALESCE({OK}, FALSE) AS ok FROM nodes), v AS (SELECT *, {_VOX('x')} AS vi, {_VOX('y')} AS vj, {_VOX('z')} AS vk, {_VOX(f'({2 * MIDLINE} - z)')} AS wk FROM both_),
-            p AS (SELECT v.*, COALESCE({_IN('vk')}, FALSE) AS din, COALESCE({_IN('wk')}, FALSE) AS min_, o.x_flat AS ox, o.y_flat AS oy, o.depth AS od, m.x_flat AS mx, m.y_flat AS my, m.depth AS md FROM v LEFT JOIN lookup o ON vi = o.i AND vj = o.j AND vk = o.k LEFT JOIN lookup m ON vi = m.i AND vj = m.j AND wk = m.k),
-            f AS (SELECT *, COALESCE(din AND NOT (ox = -1 AND oy = -1), FALSE) AS dxy, COALESCE(min_ AND NOT (mx = -1 AND my = -1), FALSE) AS mxy, COALESCE(din AND od >= 0, FALSE) AS dd, COALESCE(min_ AND md >= 0, FALSE) AS mdd FROM p)
+        "fm02_mirrored_projection": f"""WITH {_MIRRORED}
             SELECT file_id, node_id, ROUND(CASE WHEN dxy THEN ox WHEN mxy THEN mx END, 6) AS x_flat, ROUND(CASE WHEN dxy THEN oy WHEN mxy THEN my END, 6) AS y_flat, CASE WHEN NOT dxy AND mxy THEN CASE WHEN mdd THEN md END WHEN dd THEN od WHEN mdd THEN md END AS depth_um,
               CASE WHEN dxy AND dd THEN 'direct' WHEN dxy AND mdd THEN 'mirrored_depth' WHEN dxy THEN 'direct' WHEN mxy THEN 'mirrored' ELSE 'unmapped' END AS lookup_mode FROM f""",
         "src18_points": CSV_POINTS + " SELECT * FROM points",
@@ -409,11 +421,15 @@ def oracle_sql() -> dict[str, str]:
         "pt05_atlas_check": CSV_POINTS + f""", c AS (SELECT p.*, a.region_id AS rid, a.acronym AS ra, a.region_name AS rn, CASE WHEN z < {MIDLINE - 1} THEN 'left' WHEN z > {MIDLINE + 1} THEN 'right' ELSE 'midline' END AS side FROM points p LEFT JOIN atlas_regions a ON p.id = a.region_id),
             m AS (SELECT unnest([CASE WHEN id IS NOT NULL AND rid IS NULL THEN 'id' END, CASE WHEN acronym IS NOT NULL AND NOT COALESCE(acronym = trim(ra), FALSE) THEN 'acronym' END, CASE WHEN region_name IS NOT NULL AND NOT COALESCE({_KEY('region_name')} = {_KEY('rn')}, FALSE) THEN 'region_name' END,
               CASE WHEN hemisphere IS NOT NULL AND NOT COALESCE(lower(hemisphere) = side, FALSE) THEN 'hemisphere' END]) AS field FROM c) SELECT field, COUNT(*) AS n_points FROM m WHERE field IS NOT NULL GROUP BY 1""",
-        "cl07_soma_dbscan": f"""WITH RECURSIVE {SOMAS}, near AS (SELECT a.file_id AS a, b.file_id AS b FROM somas a JOIN somas b ON a.file_id <> b.file_id AND SQRT((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) <= 300),
-            core AS (SELECT a AS c FROM near GROUP BY a HAVING COUNT(*) + 1 >= 3), reach AS (SELECT c, c AS r FROM core UNION SELECT n.b, r.r FROM reach r JOIN near n ON n.a = r.c SEMI JOIN core k ON n.b = k.c),
-            own AS (SELECT c, MIN(r) AS k FROM reach GROUP BY 1), border AS (SELECT n.a AS c, MIN(o.k) AS k FROM near n JOIN own o ON n.b = o.c WHERE n.a NOT IN (SELECT c FROM core) GROUP BY 1), every AS (SELECT * FROM own UNION ALL SELECT * FROM border), numbers AS (SELECT k, CAST(ROW_NUMBER() OVER (ORDER BY k) + 1 AS INT) AS label FROM (SELECT DISTINCT k FROM own))
-            SELECT s.file_id, COALESCE(label, 1) AS label FROM somas s LEFT JOIN every e ON s.file_id = e.c LEFT JOIN numbers USING (k)""",
-        "ras01_smoothed": f"WITH {HEAT}, box AS (SELECT i, j, k, CAST(n AS DOUBLE) AS n FROM heat WHERE i BETWEEN 0 AND {SHAPE[0] - 1} AND j BETWEEN 0 AND {SHAPE[1] - 1} AND k BETWEEN 0 AND {SHAPE[2] - 1}), w AS (SELECT range - 4 AS o, EXP(-0.5 * (range - 4) * (range - 4)) / (SELECT SUM(EXP(-0.5 * (r2.range - 4) * (r2.range - 4))) FROM range(9) r2) AS w FROM range(9)), " + _SMOOTH + " SELECT i, j, k, ROUND(n, 6) AS n FROM s3",
+        "cl07_soma_dbscan": dbscan_sql(SOMAS, 300, 3),
+        "ras04_otsu_mask": f"""WITH {_HEAT_IN}, e AS (SELECT MIN(n) AS low, MAX(n) AS high, LEAST(256, COUNT(*)) AS bins FROM box), h AS (SELECT LEAST(FLOOR((n - low) / ((high - low) / bins)), bins - 1) AS b, COUNT(*) AS c FROM box CROSS JOIN e GROUP BY 1),
+            f AS (SELECT r.range AS b, COALESCE(c, 0) AS c, low + (r.range + 0.5) * ((high - low) / bins) AS mid FROM e CROSS JOIN range(256) r LEFT JOIN h ON h.b = r.range WHERE r.range < bins),
+            w AS (SELECT b, mid, SUM(c) OVER u AS nb, SUM(c * mid) OVER u AS sb, SUM(c) OVER () - SUM(c) OVER u AS na, SUM(c * mid) OVER () - SUM(c * mid) OVER u AS sa, b = MAX(b) OVER () AS last FROM f WINDOW u AS (ORDER BY b)),
+            t AS (SELECT mid FROM w WHERE NOT last ORDER BY ROUND(nb * na * POW(sb / GREATEST(nb, 1) - sa / GREATEST(na, 1), 2), 3) DESC, b LIMIT 1) SELECT i, j, k FROM box WHERE n >= (SELECT mid FROM t)""",
+        "ras08_dilated": f"""WITH {HEAT}, o AS (SELECT range - 12 AS v FROM range(25)), far AS (SELECT i + a.v AS i, j + b.v AS j, k + c.v AS k, MIN(a.v * a.v + b.v * b.v + c.v * c.v) AS d2 FROM dense CROSS JOIN o a CROSS JOIN o b CROSS JOIN o c WHERE a.v * a.v + b.v * b.v + c.v * c.v <= 144
+              AND i + a.v BETWEEN 0 AND {SHAPE[0] - 1} AND j + b.v BETWEEN 0 AND {SHAPE[1] - 1} AND k + c.v BETWEEN 0 AND {SHAPE[2] - 1} GROUP BY 1, 2, 3),
+            upto AS (SELECT d2, SUM(COUNT(*)) OVER (ORDER BY d2) AS n FROM far GROUP BY d2), edge AS (SELECT MIN(d2) AS d2 FROM upto WHERE n >= 1.5 * (SELECT COUNT(*) FROM dense)) SELECT i, j, k FROM far WHERE d2 <= (SELECT d2 FROM edge)""",
+        "ras01_smoothed": f"WITH {_HEAT_IN}, w AS (SELECT range - 4 AS o, EXP(-0.5 * (range - 4) * (range - 4)) / (SELECT SUM(EXP(-0.5 * (r2.range - 4) * (r2.range - 4))) FROM range(9) r2) AS w FROM range(9)), " + _SMOOTH + " SELECT i, j, k, ROUND(n, 6) AS n FROM s3",
 
         "jn10_flat_segments": f"WITH {FLAT} SELECT a.file_id, a.node_id, a.parent_id, ROUND(b.fx, 9) AS x0, ROUND(b.fy, 9) AS y0, ROUND(b.fd, 9) AS d0, ROUND(a.fx, 9) AS x1, ROUND(a.fy, 9) AS y1, ROUND(a.fd, 9) AS d1 FROM valid a JOIN valid b ON a.file_id = b.file_id AND a.parent_id = b.node_id WHERE a.drawn AND b.drawn AND a.parent_id >= 0",
         "jn10_segment_bins": f"WITH {FLAT}, seg AS (SELECT b.fx AS x0, b.fy AS y0, b.fd AS d0, a.fd AS d1 FROM valid a JOIN valid b ON a.file_id = b.file_id AND a.parent_id = b.node_id WHERE a.drawn AND b.drawn AND a.parent_id >= 0) SELECT CAST(LEAST(GREATEST(FLOOR(x0 * 50), 0), 49) AS BIGINT) AS bx, CAST(LEAST(GREATEST(FLOOR(y0 * 50), 0), 49) AS BIGINT) AS \"by\", COUNT(*) AS n_segments, COUNT(*) FILTER (d1 > d0) AS n_deeper FROM seg GROUP BY 1, 2",
