@@ -177,15 +177,6 @@ def grouped_heatmap(per_file: DataFrame, assignment: DataFrame) -> DataFrame:
     return per_file.join(a, F.col("file_id") == F.col("_f"), "left").groupBy("cluster", "d", "by", "bx").agg(F.sum("n").alias("n"))
 
 
-def axis_scales(bounds: dict[str, tuple[float, float]], depth_scale: float = 1.0, canonical: bool = True) -> dict[str, float]:
-    """Divisors that bring axes to unit span; the canonical x spans two hemispheres, so half of it counts."""
-    span = {k: max(h - low, 1e-12) for k, (low, h) in bounds.items()}
-    if canonical:
-        span["x"] /= 2
-    span["depth"] = span["depth"] / depth_scale if depth_scale > 0 else float("inf")
-    return span
-
-
 def plane_labels(grid: Grid, sentinel: bool = False) -> list[str]:
     """What each depth plane holds, for people: the range of depths in µm, or the mark."""
     low = [grid.depth[0] + k * grid.depth_step for k in range(grid.depth_bins)]

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from arborlake.functions.columns import finite, hemisphere
 
 SOMA = 1
-#: Longest id list that is put into the plan as literals; longer ones become a semi-join.
+#: Longest id list that is put into the plan as literals; longer ones become a semi-join, with the same rows.
 INLINE = 1000
 
 
@@ -38,13 +38,6 @@ def node_types(values: list[int] | None, soma_only: bool = False) -> list[int] |
     return [SOMA] if soma_only else None
 
 
-def distinct_nodes(neurons: DataFrame) -> DataFrame:
-    """Each (file_id, node_id) once: the earliest load of each node, whole rows kept."""
-    rest = [c for c in neurons.columns if c not in ("file_id", "node_id")]
-    picked = neurons.groupBy("file_id", "node_id").agg(F.min_by(F.struct(*rest), F.struct("loaded_at", *[c for c in ("x", "y", "z", "type", "parent_id", "region_id") if c in rest])).alias("row"))
-    return picked.select("file_id", "node_id", *[F.col(f"row.{c}").alias(c) for c in rest]).select(*neurons.columns)
-
-
 def neurons_touching(nodes: DataFrame, regions: list, by: str = "region_acronym", types: list[int] | None = None, soma_only: bool = False, files: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
     """Distinct (file_id, neuron_id, subject) with a node in the regions. Descendants are not added."""
     kept = without(member(member(member(nodes, by, regions), "type", node_types(types, soma_only)), "file_id", files), "file_id", exclude)
@@ -116,9 +109,19 @@ def soma_distance_filter(nodes: DataFrame, radius: float | None) -> DataFrame:
     return nodes.join(somas, nodes["file_id"] == F.col("_f")).where(finite("x", "y", "z") & (away <= radius)).select(*nodes.columns)
 
 
-def in_order(nodes: DataFrame) -> DataFrame:
-    """Index of each node in its neuron by node_id, from 0."""
-    return nodes.select("file_id", "node_id", (F.row_number().over(Window.partitionBy("file_id").orderBy("node_id")) - 1).alias("vertex"))
+def in_order(nodes: DataFrame, block_ids: int = 1 << 16) -> DataFrame:
+    """Index of each node in its neuron by node_id, from 0.
+
+    Nodes are numbered within blocks of ids, from where the block begins; so
+    one window holds a block of ids, and only one row a block is summed up per
+    file, however long the file is.
+    """
+    rows = nodes.select("file_id", "node_id", F.floor(F.col("node_id") / block_ids).alias("block"))
+    counts = rows.groupBy("file_id", "block").agg(F.count(F.lit(1)).alias("n"))
+    starts = counts.select(F.col("file_id").alias("_f"), F.col("block").alias("_b"), (F.sum("n").over(Window.partitionBy("file_id").orderBy("block")) - F.col("n")).alias("before"))
+    number = F.col("before") + F.row_number().over(Window.partitionBy("file_id", "block").orderBy("node_id")) - 1
+    joined = rows.join(starts, F.col("file_id").eqNullSafe(F.col("_f")) & F.col("block").eqNullSafe(F.col("_b")))
+    return joined.select("file_id", "node_id", number.alias("vertex"))
 
 
 def neuron_summary(nodes: DataFrame) -> DataFrame:
@@ -136,6 +139,7 @@ def centre(nodes: DataFrame) -> DataFrame:
 
 def parse_file_names(names: Column) -> tuple[Column, Column]:
     """(subject, neuron_id) from a file name; the stem for both where no pattern fits."""
+    # The two patterns are naming conventions of the data.
     stem = F.regexp_replace(F.regexp_replace(names, r"^.*/", ""), r"(?i)\.swc$", "")
     number, person = F.regexp_extract(stem, r"^(\d+)_(\d+)_", 1), F.regexp_extract(stem, r"^(\d+)_(\d+)_", 2)
     dotted, cell = F.regexp_extract(stem, r"^(H\d+(\.\d+){6})_(\d+)", 1), F.regexp_extract(stem, r"^(H\d+(\.\d+){6})_(\d+)", 3)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborlake.functions.columns import finite, hemisphere, origin_or, region_key, stripped, voxel
+from arborlake.functions.columns import finite, origin_or, region_key, stripped, voxel
 from arborlake.operators.voxels import binned
 
 REQUIRED = ("label", "x", "y", "z")
@@ -102,11 +102,6 @@ def appended(points: DataFrame, more: DataFrame) -> DataFrame:
     return points.unionByName(more)
 
 
-def side_counts(points: DataFrame, midline: float) -> DataFrame:
-    """Points per label and side of the midline."""
-    return points.groupBy(stripped("label").alias("label"), hemisphere("z", midline).alias("side")).agg(F.count(F.lit(1)).alias("n_points"))
-
-
 def checked_at_place(points: DataFrame, annotation: DataFrame, regions: DataFrame, midline: float, size: float, column: str = "z") -> DataFrame:
     """What each point says of its region against the region of its voxel (round half even, axes z, y, x).
 

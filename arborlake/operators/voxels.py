@@ -51,8 +51,14 @@ def mask_bounds(mask: DataFrame, size: float) -> DataFrame:
 
 
 def in_mask(nodes: DataFrame, mask: DataFrame, size: float) -> DataFrame:
-    """Nodes whose voxel is in the mask."""
+    """Nodes whose voxel is in the mask. The mask's bounds (one row) come first, as a filter that reaches the scan."""
     m = mask.select(*[F.col(n).alias(f"_{n}") for n in IJK]).distinct()
+    low_high = m.agg(*[f(f"_{n}").alias(f"{n}_{w}") for n in IJK for w, f in (("low", F.min), ("high", F.max))]).first()
+    if low_high["i_low"] is None:
+        return binned(nodes, size).where(F.lit(False))
+    for n, c in zip(IJK, "xyz"):
+        # Half a voxel of room: the exact test follows.
+        nodes = nodes.where((F.col(c) >= (low_high[f"{n}_low"] - 0.5) * size) & (F.col(c) <= (low_high[f"{n}_high"] + 1.5) * size))
     rows = binned(nodes, size)
     return rows.join(m, (F.col("i") == F.col("_i")) & (F.col("j") == F.col("_j")) & (F.col("k") == F.col("_k")), "left_semi")
 

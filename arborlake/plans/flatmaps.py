@@ -20,6 +20,7 @@ from arborlake.plans import morphology as M
 from arborlake.plans.dealt import CSV_POINTS
 from arborlake.plans.morphology import ANNOTATION, MIDLINE, NODES, OK, SHAPE, SIZE, VOX, annotation, labels, nodes
 from arborlake.runtime import read_table as t
+from arborlake.runtime import written
 from arborlake.sources import tables
 
 #: Grid of the stored flat-map columns: x spans both hemispheres.
@@ -35,9 +36,9 @@ def stored(s, d):
     return n.withColumns({"y_made": F.col("y"), "depth_made": F.when(F.col("type") == 1, -1.0).otherwise(F.col("z") / 6.0)})
 
 
-def both_styles(s, d):
+def both_styles(s, d, of=None):
     """Lookup of both styles over the label volume: holes of the first where j is low, of the second every seventh plane, depths on one side only."""
-    a = annotation(s, d)
+    a = annotation(s, d) if of is None else of
     hole, other = F.col("j") < 20, F.col("k") % 7 == 0
     pick = lambda h, v: F.when(h, -1.0).otherwise(v)
     return a.select("i", "j", "k", pick(hole, F.col("i") / 133.0).alias("x_shaped"), pick(hole, F.col("k") / 116.0).alias("y_shaped"), pick(other, F.col("i") / 66.5).alias("x_square"), pick(other, F.col("j") / 81.0).alias("y_square"), F.when(F.col("k") < 58, F.col("k") * 10.0).otherwise(-1.0).alias("depth"))
@@ -53,11 +54,17 @@ def _rendered(s, d, collapse=False):
 
 
 def _bins(s, d, style):
-    return RC.binned_voxels(annotation(s, d), both_styles(s, d), style, CACHE[style], SHAPE)
+    a = written(annotation(s, d))
+    return RC.binned_voxels(a, both_styles(s, d, a), style, CACHE[style], SHAPE)
 
 
 def _unions(s, d):
-    return RC.region_unions(RC.occupancy(_bins(s, d, "square")), t(s, d, "atlas_regions"))
+    return written(RC.region_unions(written(RC.occupancy(_bins(s, d, "square"))), t(s, d, "atlas_regions")))
+
+
+def _of_unions(s, d, f):
+    u = _unions(s, d)
+    return f(u, RC.footprints(u))
 
 
 def _clustered(s, d):
@@ -71,11 +78,11 @@ def _flat_somas(s, d):
 
 def queries() -> dict:
     r = M._r
-    augmented = lambda s, d: AU.augmented(nodes(s, d), both_styles(s, d), SIZE, SHAPE)
+    augmented = lambda s, d: M.with_annotation(s, d, [], lambda n, a: AU.augmented(n, written(both_styles(s, d, a)), SIZE, SHAPE))
     return {
         "snk11_augmented": lambda s, d: _plain(augmented(s, d).select("file_id", "node_id", *[c for style in AU.STYLES for c in AU.style_columns(style)], *AU.DEPTH_COLUMNS)),
         "snk11_counts": lambda s, d: AU.augmentation_counts(augmented(s, d)),
-        "snk12_augmented_single": lambda s, d: _plain(AU.augmented_single(nodes(s, d), M.lookup(s, d), SIZE, SHAPE, MIDLINE).select("file_id", "node_id", *AU.SINGLE_COLUMNS)),
+        "snk12_augmented_single": lambda s, d: _plain(M.with_annotation(s, d, [], lambda n, a: AU.augmented_single(n, written(M.lookup(s, d, a)), SIZE, SHAPE, MIDLINE)).select("file_id", "node_id", *AU.SINGLE_COLUMNS)),
         "agg34_lookup_stats": lambda s, d: r(AU.lookup_stats(both_styles(s, d), "x_square", "y_square", "depth"), "x_low", "x_high", "y_low", "y_high"),
         "cor03_flat_counts": lambda s, d: FC.bin_counts(_rendered(s, d)),
         "cor03_unassigned": lambda s, d: FC.unassigned(stored(s, d), FC.bin_counts(_rendered(s, d))),
@@ -92,8 +99,8 @@ def queries() -> dict:
         "snk22_collisions": lambda s, d: RC.collisions(RC.bin_labels(RC.occupancy(_bins(s, d, "square")))),
         "hlp21_unions": _unions,
         "hlp21_footprints": lambda s, d: RC.footprints(_unions(s, d)),
-        "fm12_surfaces": lambda s, d: RC.surfaces(_unions(s, d), RC.footprints(_unions(s, d))),
-        "fm12_components": lambda s, d: RC.footprint_components(_unions(s, d), RC.footprints(_unions(s, d))),
+        "fm12_surfaces": lambda s, d: _of_unions(s, d, RC.surfaces),
+        "fm12_components": lambda s, d: _of_unions(s, d, RC.footprint_components),
         "exp01_ordered_clusters": lambda s, d: r(EX.ordered_clusters(nodes(s, d), _clustered(s, d)), "soma_x", "soma_y", "soma_z", digits=4),
         "snk17_extended": lambda s, d: EX.extended(t(s, d, "neurons"), labels(s, d)).select("file_id", "node_id", "cluster_assignment"),
         "snk19_distances": lambda s, d: r(EX.ordered_distances(COR.dense_pearson(COR.voxel_counts(nodes(s, d), SIZE)), _clustered(s, d)), "distance"),

@@ -17,6 +17,7 @@ from arborlake.operators import regions as R
 from arborlake.operators import voxels as V
 from arborlake.plans.dealt import CSV_POINTS
 from arborlake.runtime import read_table as t
+from arborlake.runtime import written
 from arborlake.sources import csv_points, swc
 
 MIDLINE = 5695.0
@@ -43,15 +44,21 @@ def flat_nodes(s, d):
     })
 
 
-def annotation(s, d):
+def annotation(s, d, of=None):
     """Label volume: the region of most nodes per voxel."""
-    return V.majority_labels(V.binned(nodes(s, d).where("region_id > 0"), SIZE)).select("i", "j", "k", "region_id")
+    return V.majority_labels(V.binned((nodes(s, d) if of is None else of).where("region_id > 0"), SIZE)).select("i", "j", "k", "region_id")
 
 
-def lookup(s, d):
+def with_annotation(s, d, columns, f):
+    """``f`` of the nodes and their label volume; the nodes are made distinct once, as a table, for both."""
+    n = written(nodes(s, d).select("file_id", "node_id", "x", "y", "z", "region_id", *columns))
+    return f(n, annotation(s, d, n))
+
+
+def lookup(s, d, of=None):
     """Flat-map lookup over the label volume, with holes and depths below the midline only."""
     hole = F.col("j") < 20
-    return annotation(s, d).select("i", "j", "k", F.when(hole, -1.0).otherwise(F.col("i") / 133.0).alias("x_flat"), F.when(hole, -1.0).otherwise(F.col("k") / 116.0).alias("y_flat"), F.when(F.col("k") < 58, F.col("k") * 10.0).otherwise(-1.0).alias("depth"))
+    return (annotation(s, d) if of is None else of).select("i", "j", "k", F.when(hole, -1.0).otherwise(F.col("i") / 133.0).alias("x_flat"), F.when(hole, -1.0).otherwise(F.col("k") / 116.0).alias("y_flat"), F.when(F.col("k") < 58, F.col("k") * 10.0).otherwise(-1.0).alias("depth"))
 
 
 def labels(s, d, by="subject"):
@@ -120,7 +127,7 @@ def queries() -> dict:
         "flt05_axon_nodes": lambda s, d: N.member(nodes(s, d), "type", N.node_types([2])).select("file_id", "node_id"),
         "flt07_rows_of_largest": lambda s, d: N.file_rows(nodes(s, d), [r[0] for r in N.largest_neurons(nodes(s, d), 3).collect()]).select("file_id", "node_id", "parent_id"),
         "flt08_somas": lambda s, d: N.soma_rows(nodes(s, d)).select("file_id", "node_id", "neuron_id", "region_acronym"),
-        "flt10_neurons_in_mask": lambda s, d: V.neurons_in_mask(nodes(s, d), dense(s, d), SIZE),
+        "flt10_neurons_in_mask": lambda s, d: V.neurons_in_mask(t(s, d, "neurons"), written(dense(s, d)), SIZE),
         "flt11_mask_bounds": lambda s, d: V.mask_bounds(dense(s, d), SIZE),
         "flt15_soma_radius": lambda s, d: N.soma_distance_filter(nodes(s, d), 300.0).select("file_id", "node_id"),
         "flt16_slab_segments": lambda s, d: M.slab_segments(M.edges(nodes(s, d)).where(finite("z", "parent_z")), "z", 5000.0, 500.0).select("file_id", "node_id"),
@@ -135,7 +142,7 @@ def queries() -> dict:
         "jn09_soma_distance": lambda s, d: _r(nodes(s, d).join(N.soma_locations(nodes(s, d)).groupBy("file_id").agg(F.avg("x").alias("sx")), "file_id").where(finite("x")).groupBy("file_id").agg(F.max(F.abs(F.col("x") - F.col("sx"))).alias("reach_x")), "reach_x", digits=4),
         "jn13_new_files": lambda s, d: swc.new_files(t(s, d, "neurons_copy").select("file_id", "node_id"), t(s, d, "neurons")),
         "jn14_region_names": lambda s, d: R.with_names(nodes(s, d), t(s, d, "atlas_regions")).select("file_id", "node_id", "region_name", "region_acronym"),
-        "jn16_annotated": lambda s, d: V.annotate(nodes(s, d), annotation(s, d), SIZE).select("file_id", "node_id", "region_id"),
+        "jn16_annotated": lambda s, d: with_annotation(s, d, [], lambda n, a: V.annotate(n, a, SIZE)).select("file_id", "node_id", "region_id"),
         # aggregates
         "agg01_regions": lambda s, d: N.region_counts(nodes(s, d)),
         "agg02_neurons_per_region": lambda s, d: N.neurons_per_region(t(s, d, "neurons")),
@@ -157,7 +164,7 @@ def queries() -> dict:
         "agg20_coverage": lambda s, d: M.coverage(nodes(s, d), [2]),
         "agg20_coverage_summary": lambda s, d: M.coverage_summary(M.coverage(nodes(s, d), [2])),
         "agg24_cluster_counts": lambda s, d: A.cluster_counts(A.active_map(nodes(s, d), labels(s, d).where("label < 5"))),
-        "agg25_projection_summary": lambda s, d: FM.projection_summary(FM.project(nodes(s, d), lookup(s, d), SIZE, SHAPE)),
+        "agg25_projection_summary": lambda s, d: with_annotation(s, d, [], lambda n, a: FM.projection_summary(written(FM.project(n, written(lookup(s, d, a)), SIZE, SHAPE).select("file_id", "projection_valid", "invalid_code", "depth_mode")))),
         "agg26_grouped_heatmap": lambda s, d: FM.grouped_heatmap(FM.flat_heatmap(flat_nodes(s, d), "fx", "fy", "fd", GRID, by=["file_id"]), labels(s, d).where("label < 5")),
         "agg28_histogram": lambda s, d: V.histogram(V.heatmap(nodes(s, d), SIZE), 64).select("bin", "n"),
         "agg29_step_curve": lambda s, d: _r(V.step_curve(V.histogram(V.heatmap(nodes(s, d), SIZE), 64)), "x", digits=4).select("bin", "side", "x", F.col("y").alias("height")),
@@ -203,15 +210,15 @@ def queries() -> dict:
         # rasters
         "ras01_smoothed": lambda s, d: _r(V.smoothed(V.heatmap(nodes(s, d), SIZE, SHAPE), 1.0, SHAPE), "n"),
         "ras02_merged": lambda s, d: V.merged(V.heatmap(nodes(s, d), SIZE, types=[2]), V.heatmap(nodes(s, d), SIZE, types=[3])),
-        "ras03_isolated": lambda s, d: V.isolated(V.heatmap(nodes(s, d), SIZE), annotation(s, d), IDS),
+        "ras03_isolated": lambda s, d: with_annotation(s, d, [], lambda n, a: V.isolated(V.heatmap(n, SIZE), a, IDS)),
         "ras04_otsu_mask": lambda s, d: V.heatmap_mask(V.heatmap(nodes(s, d), SIZE, SHAPE), 0.0, SHAPE),
         "ras06_threshold": lambda s, d: V.threshold_mask(V.heatmap(nodes(s, d), SIZE), 10, 100),
         "ras07_region_mask": lambda s, d: V.region_mask(annotation(s, d), IDS[2:5]),
         "ras08_dilated": lambda s, d: V.dilated(dense(s, d), 0.5, SHAPE),
         "ras09_voxel_numbers": lambda s, d: V.voxel_numbers(dense(s, d)),
         # flat maps, surfaces
-        "fm01_projection": lambda s, d: _r(FM.project(nodes(s, d), lookup(s, d), SIZE, SHAPE).select("file_id", "node_id", "x_flat", "y_flat", "depth_um", F.col("invalid_code").cast("int").alias("invalid_code"), "depth_mode"), "x_flat", "y_flat"),
-        "fm02_mirrored_projection": lambda s, d: _r(FM.project_with_mirror(nodes(s, d), lookup(s, d), SIZE, SHAPE, MIDLINE).select("file_id", "node_id", "x_flat", "y_flat", "depth_um", "lookup_mode"), "x_flat", "y_flat"),
+        "fm01_projection": lambda s, d: _r(with_annotation(s, d, [], lambda n, a: FM.project(n, written(lookup(s, d, a)), SIZE, SHAPE)).select("file_id", "node_id", "x_flat", "y_flat", "depth_um", F.col("invalid_code").cast("int").alias("invalid_code"), "depth_mode"), "x_flat", "y_flat"),
+        "fm02_mirrored_projection": lambda s, d: _r(with_annotation(s, d, [], lambda n, a: FM.project_with_mirror(n, written(lookup(s, d, a)), SIZE, SHAPE, MIDLINE)).select("file_id", "node_id", "x_flat", "y_flat", "depth_um", "lookup_mode"), "x_flat", "y_flat"),
         "fm08_exposed_faces": lambda s, d: V.exposed_faces(dense(s, d)),
         "fm08_vertices": lambda s, d: V.face_vertices(V.exposed_faces(dense(s, d))),
         "fm09_outlines": lambda s, d: V.outlines(dense(s, d)),

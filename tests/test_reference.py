@@ -292,6 +292,30 @@ def test_nrrd(spark, tmp_path):
     assert nrrd.components_last(np.zeros((2, 3, 4, 5))).shape == (3, 4, 5, 2)
 
 
+def test_nrrd_slabs_transforms_and_sets(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(nrrd, "SLAB_VOXELS", 8)
+    v = np.arange(1, 61, dtype=">i2").reshape(3, 4, 5)
+    (tmp_path / "depth_a.nrrd").write_bytes(nrrd.encode(v.astype("<i2")))
+    got = {(r["i"], r["j"], r["k"]): r["value"] for r in nrrd.read_nrrd(spark, str(tmp_path / "depth_a.nrrd")).collect()}
+    assert got == {(i, j, k): float(v[i, j, k]) for i in range(3) for j in range(4) for k in range(5)}
+    flat = np.random.default_rng(0).normal(size=(2, 3, 4, 5)).astype("f4")
+    for name in nrrd.LOOKUP_FILES.values():
+        if name != "depth.nrrd":
+            (tmp_path / name).write_bytes(nrrd.encode(flat))
+    found = nrrd.discover_lookups(spark, str(tmp_path))
+    assert found["depth"].endswith("depth_a.nrrd")
+    rows = nrrd.read_nrrd(spark, found["shaped"]).collect()
+    assert len(rows) == 60 and all(r["x_flat"] == pytest.approx(float(flat[0, r["i"], r["j"], r["k"]])) for r in rows)
+    (tmp_path / "depth_b.nrrd").write_bytes(nrrd.encode(flat))
+    with pytest.raises(FileNotFoundError):
+        nrrd.discover_lookups(spark, str(tmp_path))
+    h = {"space directions": "(2,0,0) (0,2,0) (0,0,2)", "space origin": "(0,0,0)"}
+    assert nrrd.agreed_transform({"a": h, "b": {}}, (2.0, 2.0, 2.0))[1][0, 0] == 2.0
+    for headers, size in (({"a": h, "b": {}}, None), ({"a": h, "b": {}}, (1.0, 1.0, 1.0)), ({"a": h, "b": h | {"space origin": "(1,0,0)"}}, None), ({"a": h}, (1.0, 1.0, 1.0))):
+        with pytest.raises(ValueError):
+            nrrd.agreed_transform(headers, size)
+
+
 def test_assignments_and_regions(spark):
     assert assignments.assignment_column("My Set!", {"cluster_my_set"}) == "cluster_my_set_2"
     assert assignments.leaf_sample(10, 4) == [0, 3, 6, 9]
