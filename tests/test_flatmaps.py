@@ -7,8 +7,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from arborlake.operators import assignments, assignmentsets, augment, clustering, exports, flatcorr, flatmap, regioncache, regions, voxels
-from arborlake.sources import store, swc, tables
+from arborlake.operators import assignments, assignmentsets, augment, clustering, exports, flatcorr, flatmap, regioncache, regions, summaries, voxels
+from arborlake.operators import nodes as node_ops
+from arborlake.sources import nrrd, store, swc, tables, volumes
 
 LOOKUP = "i long, j long, k long, x_shaped float, y_shaped float, x_square float, y_square float, depth float"
 
@@ -275,3 +276,53 @@ def test_projects_are_published_and_swc_written(spark, tmp_path):
     tables.write_projected_csv(table.withColumn("x_flat", F.lit(1.5)), str(tmp_path / "csv"))
     first = spark.read.csv(str(tmp_path / "csv"), header=True)
     assert tuple(first.columns) == tables.PROJECTED and len(tables.PROJECTED) == 31 and first.first()["x_flat"] == "1.5" and first.first()["depth_um"] == "NaN"
+
+
+def test_summaries_for_people(spark):
+    rows = [("a", 1, -1, 1), ("a", 2, 1, 2), ("a", 3, 1, 3), ("b", 1, -1, 1)]
+    table = spark.createDataFrame([(f, n, p, t, 5.0 if f == "a" else 95.0, 0.0, 5.0 if f == "a" else 95.0, "s", f, "R") for f, n, p, t in rows], "file_id string, node_id int, parent_id int, type int, x double, y double, z double, subject string, neuron_id string, region_acronym string")
+    assert summaries.terminus_columns(table.columns) == [*summaries.TERMINUS_BASE, "subject", "region_acronym"]
+    with pytest.raises(ValueError):
+        summaries.terminus_columns(["file_id"])
+    assert [(r["file_id"], r["node_id"]) for r in summaries.detected_termini(table, [2]).collect()] == [("a", 2)]
+    assert summaries.coverage_sentence(table, [2]) == "1 termini (axon) in 1 of 2 neurons; 1 neurons without any; 2 childless nodes of other types not counted"
+    text = summaries.soma_text(node_ops.hemisphere_summary(table, 50.0), "t", "z", 50.0)
+    assert "left: 1 (50.00 %)" in text and "5.00 to 95.00" in text
+    assert "0 somas" in summaries.soma_text(node_ops.hemisphere_summary(table.limit(0), 50.0), "t", "z", 50.0)
+    checked = spark.createDataFrame([("f", 1, "m", "id,acronym"), ("f", 2, "n", None)], "origin_csv string, line_no int, label string, mismatches string")
+    assert summaries.mismatch_text(checked, 2) == "1 of 2 points do not fit (acronym: 1, id: 1), among them m [id,acronym]"
+    assert summaries.mismatch_text(checked.where("label = 'n'"), 1) == "1 points checked, no mismatches"
+    atlas = spark.createDataFrame([(0, 0, 0, "right"), (9, 0, 9, "right")], "i long, j long, k long, side string")
+    assert summaries.sides_by_atlas(table, atlas, 50.0, 10.0).collect() == [("a", "left", "right")]
+    assert summaries.side_of(50.4, 50.0) == "midline" and summaries.check_resolution(25) == 25
+    for bad in (lambda: summaries.check_resolution(30), lambda: summaries.target_side("midline")):
+        with pytest.raises(ValueError):
+            bad()
+    colours = summaries.distinct_colours(9)
+    assert len(set(map(summaries.hex_colour, colours))) == 9 and summaries.hex_colour((1, 0, 0.5, 1)) == "#ff0080"
+    assert summaries.recoloured({"a": 1, "b": 2, "c": 1}, 1)["b"] == summaries.GREY and set(summaries.recoloured({"a": None, "b": 2}, None, False)) == {"a"}
+    assert summaries.point_properties(checked)["label"] == ["m", "n"]
+    with pytest.raises(ValueError):
+        summaries.point_properties(checked, 1)
+
+
+def test_volumes_are_decoded_once(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    xy = {s: rng.uniform(0, 1, (2, 2, 3, 4)).astype("f4") for s in ("shaped", "square")}
+    depth = rng.uniform(0, 100, (2, 3, 4)).astype("f4")
+    paths = {}
+    for kind, v in (*xy.items(), ("depth", depth)):
+        paths[kind] = str(tmp_path / f"{kind}.nrrd")
+        (tmp_path / f"{kind}.nrrd").write_bytes(nrrd.encode(v))
+    cache = str(tmp_path / "cache")
+    table, shape = volumes.lookup_table(spark, paths, cache)
+    assert shape == (2, 3, 4) and table.count() == 24
+    r = table.where("i = 1 and j = 2 and k = 3").first()
+    assert r["depth"] == pytest.approx(float(depth[1, 2, 3])) and r["x_square"] == pytest.approx(float(xy["square"][0, 1, 2, 3])) and r["y_shaped"] == pytest.approx(float(xy["shaped"][1, 1, 2, 3]))
+    made = sorted(p.stat().st_mtime_ns for p in (tmp_path / "cache").rglob("*.parquet"))
+    volumes.lookup_table(spark, paths, cache)
+    assert made == sorted(p.stat().st_mtime_ns for p in (tmp_path / "cache").rglob("*.parquet"))
+    (tmp_path / "depth.nrrd").write_bytes(nrrd.encode(depth[:, :, :3]))
+    with pytest.raises(ValueError, match="shapes differ"):
+        volumes.lookup_table(spark, paths, cache)
+    assert volumes.cached(spark, paths["depth"], cache, None).count() == 18
