@@ -109,3 +109,11 @@ def string_members(table: DataFrame, chosen: DataFrame) -> DataFrame:
     """Adds whether a row's file is among the chosen, ids compared as text."""
     ids = chosen.select(F.col("file_id").cast("string").alias("_s")).where("_s is not null").distinct().withColumn("_in", F.lit(True))
     return table.join(ids, F.col("file_id").cast("string") == F.col("_s"), "left").withColumn("added", F.coalesce("_in", F.lit(False))).drop("_s", "_in")
+
+
+def labels_by_text(table: DataFrame, assignment: DataFrame) -> DataFrame:
+    """Label of each row's file, ids compared as text; a blank label is none. A file with several labels has the least."""
+    label = F.when(F.trim(F.col("label").cast("string")) != "", F.col("label"))
+    per = assignment.select(F.col("file_id").cast("string").alias("_s"), label.alias("label")).where("_s is not null").groupBy("_s").agg(F.min("label").alias("label"))
+    keep = [c for c in table.columns if c != "label"]
+    return table.select(*keep).join(per, F.col("file_id").cast("string") == F.col("_s"), "left").drop("_s")

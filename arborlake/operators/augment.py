@@ -166,3 +166,8 @@ def projected_view(nodes: DataFrame, lookup: DataFrame, size: float, shape: tupl
     p = augmented_single(nodes, lookup, size, shape, midline)
     summary = projection_summary(p.select("file_id", F.col("flatmap_projection_valid").alias("projection_valid"), F.col("flatmap_invalid_code").alias("invalid_code"), F.col("flatmap_lookup_mode").alias("depth_mode")))
     return p, flat_segments(p, "x_flat", "y_flat", "depth_um"), summary
+
+
+def stats_reusable(stats: dict, shape: tuple[int, ...], zero_is_hole: bool, negative_is_hole: bool = True) -> bool:
+    """Whether statistics of a lookup (shape, zero_is_hole, negative_is_hole) hold for another use of it."""
+    return (tuple(stats.get("shape", ())), stats.get("zero_is_hole"), stats.get("negative_is_hole", True)) == (tuple(shape), zero_is_hole, negative_is_hole)

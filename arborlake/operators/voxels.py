@@ -311,3 +311,10 @@ def region_at(points: DataFrame, annotation: DataFrame, regions: DataFrame, size
     found = annotate(points, annotation, size).where("region_id > 0")
     dim = regions.select(F.col("region_id").alias("_r"), "acronym", "region_name", "structure_id_path")
     return found.join(dim, F.col("region_id") == F.col("_r")).drop("_r")
+
+
+def plot_series(volumes: DataFrame, bins: int = 256, name: str = "name", value: str = "n") -> DataFrame:
+    """Step curves of many volumes over common edges: name, bin, side, x, y. A volume without values has no curve to draw, so its heights are 0."""
+    hist = common_histograms(volumes, bins, name, value)
+    points = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("low").alias("x")), F.struct(F.lit(1).alias("side"), F.col("high").alias("x")))).alias("p")
+    return hist.select("name", "bin", "n", points).select("name", "bin", "p.side", "p.x", F.col("n").alias("y"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from arborlake.operators import assignments as A
 from arborlake.operators import augment as AU
 from arborlake.operators import clustering as CL
+from arborlake.operators import compare as CMP
 from arborlake.operators import correlation as COR
 from arborlake.operators import exports as EX
 from arborlake.operators import flatcorr as FC
@@ -71,6 +72,18 @@ def _clustered(s, d):
     return CL.correlation_clusters(COR.pearson(COR.voxel_counts(nodes(s, d), SIZE)), 8)
 
 
+def _points_of_groups(s, d):
+    """Points of the three largest groups."""
+    points = M.points(s, d)
+    top = P.groups(points).orderBy(F.desc("n_points"), "label", "origin").limit(3).collect()
+    return P.of_groups(points, [(x["label"], x["origin"]) for x in top])
+
+
+def _states(s, d):
+    """Several states of each file by the time of loading."""
+    return t(s, d, "neurons").where("loaded_at is not null").groupBy("file_id", "loaded_at").agg(F.max("type").alias("label"))
+
+
 def _flat_somas(s, d):
     somas = FM.flat_somas(stored(s, d).withColumn("depth_made", F.abs("depth_made")), "x_flat_shaped", "y_made", "depth_made")
     return FC.scaled_somas(somas, FC.soma_scales(stored(s, d), "x_flat_shaped", "y_made", "depth_made", 0.5, STORED))
@@ -113,6 +126,16 @@ def queries() -> dict:
         "reg02_region_at": lambda s, d: V.region_at(N.soma_rows(nodes(s, d)), annotation(s, d), t(s, d, "atlas_regions"), SIZE).select("file_id", "node_id", "region_id", "acronym"),
         "reg09_layer_hierarchy": lambda s, d: R.layer_hierarchy(t(s, d, "atlas_regions"), R.layer_map(t(s, d, "atlas_regions"))),
         "agg36_layer_counts": lambda s, d: FM.plane_counts(FM.layer_heatmap(M.flat_nodes(s, d), R.layer_map(t(s, d, "atlas_regions")), "fx", "fy", M.GRID)),
+        "flt13_points_of_groups": lambda s, d: _points_of_groups(s, d).select("origin_csv", "line_no", "label"),
+        "flt22_filtered": lambda s, d: A.filtered(A.active_map(nodes(s, d), labels(s, d).where("label < 5")), [2, 3], True),
+        "win07_first_state": lambda s, d: A.latest_state(_states(s, d), "loaded_at"),
+        "hlp38_last_state": lambda s, d: A.latest_state(_states(s, d), "loaded_at", keep="last"),
+        "top02_mismatches": lambda s, d: CMP.mismatches(M._twins(s, d), "region_id", ["file_id", "node_id"], 15).select("file_id", "node_id", F.col("l.region_id").alias("left_region"), F.col("r.region_id").alias("right_region")),
+        "sort03_leaf_order": lambda s, d: R.leaf_order(t(s, d, "atlas_regions")),
+        "asg05_members": lambda s, d: A.members(labels(s, d), 4),
+        "hlp07_labels_by_text": lambda s, d: A.labels_by_text(nodes(s, d).select("file_id").distinct(), labels(s, d).select("file_id", F.when(F.col("label") == 4, "").otherwise(F.col("label").cast("string")).alias("label"))),
+        "hlp13_plot_series": lambda s, d: r(V.plot_series(V.binned(nodes(s, d), SIZE).groupBy(F.col("type").cast("string").alias("name"), "i", "j", "k").agg(F.count(F.lit(1)).alias("n")), 32), "x", digits=4).select("name", "bin", "side", "x", F.col("y").alias("height")),
+        "hlp14_region_voxels": lambda s, d: V.voxel_numbers(V.region_mask(annotation(s, d), [M.IDS[2]])),
         "hlp49_added": lambda s, d: A.string_members(nodes(s, d).select("file_id").distinct(), N.largest_neurons(nodes(s, d), 25)),
         "hlp05_inferred_validity": lambda s, d: FM.inferred_validity(M.flat_nodes(s, d), "fx", "fy", "fd").select("file_id", "node_id", "flatmap_valid", "depth_valid"),
         "pt05_at_place": lambda s, d: P.checked_at_place(M.points(s, d), annotation(s, d), t(s, d, "atlas_regions"), MIDLINE, SIZE).select("origin_csv", "line_no", "label", "place_id", "place_acronym", "place_side", "mismatches"),
@@ -136,6 +159,9 @@ _STORED = f"""stored AS (SELECT file_id, node_id, MIN(type) AS type, MIN(y) AS f
     FROM stored WHERE isfinite(fx) AND isfinite(fy) AND NOT (fx = -1 AND fy = -1) AND isfinite(fd) AND (fd >= 0 OR fd = -1))"""
 
 
+_STATES = "WITH st AS (SELECT file_id, loaded_at, MAX(type) AS label FROM neurons WHERE loaded_at IS NOT NULL GROUP BY 1, 2)"
+
+
 def _pearson_sql(voxel: str) -> str:
     return f"""WITH {_STORED}, counts AS (SELECT file_id, {voxel} AS voxel, COUNT(*) AS n FROM drawn GROUP BY 1, 2), sums AS (SELECT file_id, CAST(SUM(n) AS DOUBLE) AS s, CAST(SUM(n * n) AS DOUBLE) AS q FROM counts GROUP BY 1),
   total AS (SELECT CAST(COUNT(DISTINCT voxel) AS DOUBLE) AS v FROM counts), pairs AS (SELECT a.file_id AS a, b.file_id AS b, CAST(SUM(a.n * b.n) AS DOUBLE) AS sxy FROM counts a JOIN counts b USING (voxel) WHERE a.file_id < b.file_id GROUP BY 1, 2),
@@ -203,6 +229,18 @@ def oracle_sql() -> dict[str, str]:
             LEFT JOIN annotation an ON CAST(ROUND_EVEN(z / {SIZE}, 0) AS BIGINT) = an.i AND CAST(ROUND_EVEN(y / {SIZE}, 0) AS BIGINT) = an.j AND CAST(ROUND_EVEN(x / {SIZE}, 0) AS BIGINT) = an.k),
             r AS (SELECT c.*, COALESCE(a.acronym, '') AS place_acronym, COALESCE(a.region_name, '') AS place_name FROM c LEFT JOIN atlas_regions a ON c.place_id = a.region_id)
             SELECT origin_csv, line_no, label, place_id, place_acronym, place_side, NULLIF(concat_ws(',', CASE WHEN id <> place_id THEN 'id' END, CASE WHEN acronym <> trim(place_acronym) THEN 'acronym' END, CASE WHEN {M._KEY('region_name')} <> {M._KEY('place_name')} THEN 'region_name' END, CASE WHEN hemisphere IS NOT NULL AND lower(hemisphere) <> place_side THEN 'hemisphere' END), '') AS mismatches FROM r""",
+        "flt13_points_of_groups": CSV_POINTS + " SELECT origin_csv, line_no, label FROM points SEMI JOIN (SELECT label, origin_csv FROM points GROUP BY 1, 2 ORDER BY COUNT(*) DESC, 1, 2 LIMIT 3) USING (label, origin_csv)",
+        "flt22_filtered": f"WITH {NODES}, {M._LABELS} SELECT file_id, CASE WHEN label < 5 THEN label END AS label FROM label WHERE label IN (2, 3) OR label >= 5",
+        "win07_first_state": _STATES + " SELECT file_id, loaded_at, label FROM st QUALIFY ROW_NUMBER() OVER (PARTITION BY file_id ORDER BY loaded_at) = 1",
+        "hlp38_last_state": _STATES + " SELECT file_id, loaded_at, label FROM st QUALIFY ROW_NUMBER() OVER (PARTITION BY file_id ORDER BY loaded_at DESC) = 1",
+        "top02_mismatches": M._TWINS.replace("SELECT l.file_id AS lf,", "SELECT l.file_id AS lf, COALESCE(l.file_id, r.file_id) AS file_id, COALESCE(l.node_id, r.node_id) AS node_id,") + " SELECT file_id, node_id, lr AS left_region, rr AS right_region FROM pairs WHERE lr IS DISTINCT FROM rr ORDER BY file_id NULLS FIRST, node_id NULLS FIRST LIMIT 15",
+        "sort03_leaf_order": "SELECT region_id, acronym, region_name FROM atlas_regions",
+        "asg05_members": f"WITH {NODES}, {M._LABELS} SELECT file_id FROM label WHERE label = 4",
+        "hlp07_labels_by_text": f"WITH {NODES}, {M._LABELS} SELECT file_id, CASE WHEN label <> 4 THEN CAST(label AS VARCHAR) END AS label FROM label",
+        "hlp13_plot_series": f"""WITH {NODES}, heat AS (SELECT CAST(type AS VARCHAR) AS name, {VOX}, CAST(COUNT(*) AS DOUBLE) AS n FROM nodes WHERE {OK} GROUP BY ALL), e AS (SELECT MIN(n) AS low, MAX(n) AS high FROM heat),
+            c AS (SELECT name, CAST(LEAST(FLOOR((n - low) / ((high - low) / 32)), 31) AS INT) AS bin, COUNT(*) AS c FROM heat CROSS JOIN e GROUP BY 1, 2) SELECT h.name, CAST(q.range AS INT) AS bin, side, ROUND(low + (q.range + side) * (high - low) / 32, 4) AS x, COALESCE(c, 0) AS height
+            FROM (SELECT DISTINCT name FROM heat) h CROSS JOIN range(32) q CROSS JOIN (VALUES (0), (1)) v(side) CROSS JOIN e LEFT JOIN c ON c.name = h.name AND c.bin = q.range""",
+        "hlp14_region_voxels": f"WITH {ANNOTATION} SELECT i, j, k, ROW_NUMBER() OVER (ORDER BY i, j, k) - 1 AS voxel_id FROM annotation WHERE region_id = {M.IDS[2]}",
         "hlp49_added": f"WITH {NODES} SELECT DISTINCT file_id, file_id IN (SELECT file_id FROM nodes GROUP BY 1 ORDER BY COUNT(*) DESC, 1 LIMIT 25) AS added FROM nodes",
         "hlp05_inferred_validity": f"WITH {M.FLAT} SELECT file_id, node_id, COALESCE(xy, FALSE) AS flatmap_valid, COALESCE(isfinite(fd) AND fd >= 0, FALSE) AS depth_valid FROM valid",
     }

@@ -77,7 +77,9 @@ def convert(spark: SparkSession, paths: list[str], out: str, hemisphere: str | N
             if r["side"]:
                 counts["midline" if r["side"] == "midline" else "already" if r["side"] == hemisphere else "flipped"] += r["n"]
         nodes = flipped(nodes.join(sides.where("side is not null").select("file_id"), "file_id", "left_semi"), hemisphere, midline)
-    node_table(nodes, annotation, regions, size).write.option("compression", "snappy").mode("overwrite").parquet(out)
+    # Files lie together and in order, whatever tasks read them.
+    ordered = node_table(nodes, annotation, regions, size).repartitionByRange("file_id", "node_id").sortWithinPartitions("file_id", "node_id")
+    ordered.write.option("compression", "snappy").mode("overwrite").parquet(out)
     done = spark.read.parquet(out).agg(F.count(F.lit(1)), F.countDistinct("file_id")).first()
     return {"discovered": len(paths), "processed": done[1], "failed": len(failures), "rows": done[0], "failures": failures, **counts}
 
