@@ -232,6 +232,9 @@ def queries() -> dict:
         "snk13_labelled_nodes": lambda s, d: A.onto_nodes(nodes(s, d), labels(s, d), ["label"]).select("file_id", "node_id", "label"),
         "snk14_selected_rows": lambda s, d: A.selected_rows(nodes(s, d), N.largest_neurons(nodes(s, d), 3).select("file_id", F.length("file_id").alias("row_order"))).select("row_order", "file_id", "node_id"),
         "snk04_swc_lines": lambda s, d: swc.swc_lines(nodes(s, d)),
+        "src07_parsed_lines": lambda s, d: _values(swc.parsed(_lines(s, d))[0]),
+        "src08_failed_files": lambda s, d: swc.parsed(_lines(s, d, broken=True))[1],
+        "src10_node_table": lambda s, d: with_annotation(s, d, ["type", "radius", "parent_id"], lambda n, a: swc.node_table(swc.parsed(swc.swc_lines(n))[0], a, t(s, d, "atlas_regions"), SIZE)).select("file_id", "node_id", "region_id", "region_name", "region_acronym", "subject", "neuron_id"),
         "fn09_region_keys": lambda s, d: t(s, d, "atlas_regions").select("region_id", region_key("region_name").alias("key"), slug("region_name").alias("slug"), layer_of("region_name").alias("layer")),
         "vox_rules": lambda s, d: nodes(s, d).where(finite("x", "y", "z")).groupBy(*[voxel("x", 25.0, r).alias(n) for r, n in (("truncate", "a"), ("floor", "b"), ("round", "c"), ("half_up", "e"))]).agg(F.count(F.lit(1)).alias("n")),
         "sql26_adhoc": _adhoc,
@@ -244,6 +247,14 @@ def _values(df):
     return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("x", "y", "z", "radius")})
 
 
+def _lines(s, d, broken=False):
+    """The nodes as SWC lines with remarks; broken: files of even length of name have a word for a number, those of a length of 3 n no nodes."""
+    lines = swc.swc_lines(nodes(s, d))
+    size = F.length("file_id")
+    value = F.when(size % 3 == 0, F.concat(F.lit("# "), "value")).when(size % 2 == 0, F.regexp_replace("value", "^", "x")).otherwise(F.col("value")) if broken else F.concat("value", F.lit("  extra # remark"))
+    return lines.select("file_id", value.alias("value"))
+
+
 def _adhoc(s, d):
     t(s, d, "neurons").createOrReplaceTempView("arborlake_neurons")
     return s.sql("SELECT type, count(*) AS n FROM arborlake_neurons WHERE region_acronym <> ? AND type >= ? GROUP BY type", args=["", 2])
@@ -418,6 +429,13 @@ def oracle_sql() -> dict[str, str]:
             SELECT i, j, k, least // 1000000 AS ci, least // 1000 % 1000 AS cj, least % 1000 AS ck FROM (SELECT i, j, k, MIN(ci * 1000000 + cj * 1000 + ck) AS least FROM reach GROUP BY 1, 2, 3)""",
         "agg29_step_curve": f"WITH {HEAT}, e AS (SELECT CAST(MIN(n) AS DOUBLE) AS low, CAST(MAX(n) AS DOUBLE) AS high FROM heat), b AS (SELECT CAST(LEAST(FLOOR((n - low) / ((high - low) / 64)), 63) AS INT) AS bin, COUNT(*) AS c FROM heat CROSS JOIN e GROUP BY 1) SELECT CAST(r.range AS INT) AS bin, side, ROUND(low + (r.range + side) * (high - low) / 64, 4) AS x, COALESCE(c, 0) AS height FROM range(64) r CROSS JOIN (VALUES (0), (1)) v(side) CROSS JOIN e LEFT JOIN b ON r.range = b.bin",
         "snk04_swc_lines": f"WITH {NODES} SELECT file_id, node_id, concat_ws(' ', CAST(node_id AS VARCHAR), CAST(COALESCE(type, 0) AS VARCHAR), {_NUM('x')}, {_NUM('y')}, {_NUM('z')}, {_NUM('radius')}, CAST(COALESCE(parent_id, -1) AS VARCHAR)) AS value FROM nodes",
+        "src07_parsed_lines": f"WITH {NODES} SELECT file_id, node_id, COALESCE(type, 0) AS type, {', '.join(f'CASE WHEN isfinite({c}) THEN CAST({_NUM(c)} AS DOUBLE) END AS {c}' for c in ('x', 'y', 'z', 'radius'))}, COALESCE(parent_id, -1) AS parent_id FROM nodes",
+        "src08_failed_files": f"WITH {NODES} SELECT DISTINCT file_id, CASE WHEN length(file_id) % 3 = 0 THEN 'no nodes' ELSE 'a field that is no number' END AS reason FROM nodes WHERE length(file_id) % 3 = 0 OR length(file_id) % 2 = 0",
+        "src10_node_table": f"""WITH {ANNOTATION}, n AS (SELECT *, {_STEM} AS stem, {', '.join(f'CASE WHEN {OK} THEN CAST(TRUNC(CAST({_NUM(c)} AS DOUBLE) / {SIZE}) AS BIGINT) END AS v{i}' for c, i in zip('xyz', 'ijk'))} FROM nodes)
+            SELECT file_id, node_id, COALESCE(an.region_id, 0) AS region_id, COALESCE(r.region_name, '') AS region_name, COALESCE(r.acronym, '') AS region_acronym,
+            CASE WHEN regexp_matches(stem, '^\\d+_\\d+_') THEN regexp_extract(stem, '^(\\d+)_(\\d+)_', 2) WHEN regexp_matches(stem, '^H\\d+(\\.\\d+){{6}}_\\d+') THEN regexp_extract(stem, '^(H\\d+(\\.\\d+){{6}})_(\\d+)', 1) ELSE stem END AS subject,
+            CASE WHEN regexp_matches(stem, '^\\d+_\\d+_') THEN regexp_extract(stem, '^(\\d+)_(\\d+)_', 1) WHEN regexp_matches(stem, '^H\\d+(\\.\\d+){{6}}_\\d+') THEN regexp_extract(stem, '^(H\\d+(\\.\\d+){{6}})_(\\d+)', 3) ELSE stem END AS neuron_id
+            FROM n LEFT JOIN annotation an ON vi = an.i AND vj = an.j AND vk = an.k LEFT JOIN atlas_regions r ON an.region_id = r.region_id""",
         "fm02_mirrored_projection": f"""WITH {_MIRRORED}
             SELECT file_id, node_id, ROUND(CASE WHEN dxy THEN ox WHEN mxy THEN mx END, 6) AS x_flat, ROUND(CASE WHEN dxy THEN oy WHEN mxy THEN my END, 6) AS y_flat, CASE WHEN NOT dxy AND mxy THEN CASE WHEN mdd THEN md END WHEN dd THEN od WHEN mdd THEN md END AS depth_um,
               CASE WHEN dxy AND dd THEN 'direct' WHEN dxy AND mdd THEN 'mirrored_depth' WHEN dxy THEN 'direct' WHEN mxy THEN 'mirrored' ELSE 'unmapped' END AS lookup_mode FROM f""",

@@ -37,6 +37,16 @@ def read_swc(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFram
         raise FileNotFoundError("no SWC files")
     lines = spark.read.text(paths).select(F.regexp_extract(F.input_file_name(), "([^/]+)$", 1).alias("file_id"), "value")
     lines = lines.withColumn("file_id", F.url_decode("file_id"))
+    names = spark.createDataFrame([(p.rsplit("/", 1)[-1],) for p in paths], "file_id string").distinct()
+    return parsed(lines, names)
+
+
+def parsed(lines: DataFrame, names: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Nodes of SWC lines (file_id, value), and the files that failed, by the rules of ``read_swc``.
+
+    ``names`` (file_id) are the files that should be there; without it, those of the lines.
+    """
+    names = lines.select("file_id").distinct() if names is None else names
     parts = F.split(F.trim(F.regexp_replace(F.regexp_replace("value", "#.*$", ""), r"\s+", " ")), " ")
     rows = lines.select("file_id", parts.alias("p")).where(F.size("p") >= 7)
     number = lambda i: F.expr(f"try_cast(p[{i}] as double)")
@@ -45,7 +55,6 @@ def read_swc(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFram
     for i in range(7):
         bad_row = bad_row | F.col(f"v{i}").isNull()
     bad = rows.groupBy("file_id").agg(F.count_if(bad_row).alias("n_bad"))
-    names = spark.createDataFrame([(p.rsplit("/", 1)[-1],) for p in paths], "file_id string").distinct()
     failed = names.join(bad, "file_id", "left").where("n_bad is null or n_bad > 0").select("file_id", F.when(F.col("n_bad").isNull(), "no nodes").otherwise("a field that is no number").alias("reason"))
     good = rows.join(bad.where("n_bad = 0").select("file_id"), "file_id", "left_semi")
     whole = lambda i, n: F.col(f"v{i}").cast("int").alias(n)
