@@ -326,3 +326,13 @@ def test_volumes_are_decoded_once(spark, tmp_path):
     with pytest.raises(ValueError, match="shapes differ"):
         volumes.lookup_table(spark, paths, cache)
     assert volumes.cached(spark, paths["depth"], cache, None).count() == 18
+
+
+def test_vertex_order_over_blocks_of_ids_and_empty_masks(spark):
+    rows = [("a", n) for n in (-7, -1, 0, 2, 3, 11, 40)] + [("b", 5), (None, 1)]
+    table = spark.createDataFrame(rows, "file_id string, node_id int")
+    got = {(r["file_id"], r["node_id"]): r["vertex"] for r in node_ops.in_order(table, block_ids=3).collect()}
+    assert got == {("a", n): k for k, n in enumerate((-7, -1, 0, 2, 3, 11, 40))} | {("b", 5): 0, (None, 1): 0}
+    places = spark.createDataFrame([("a", 1.0, 2.0, 3.0), ("b", None, 2.0, 3.0)], "file_id string, x double, y double, z double")
+    mask = spark.createDataFrame([(0, 0, 0)], "i long, j long, k long")
+    assert voxels.in_mask(places, mask, 10.0).count() == 1 and voxels.in_mask(places, mask.limit(0), 10.0).count() == 0
