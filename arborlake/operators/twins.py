@@ -31,17 +31,17 @@ def _x_hash(side: str, tolerance: float) -> Column:
     return F.when(none, F.lit(0)).when(plain, F.xxhash64(F.lit("x"), "file_id", "node_id", near)).otherwise(F.xxhash64(F.lit(side), "file_id", "node_id", "x"))
 
 
-def _hashed(df: DataFrame, side: str, bits: int, tolerance: float) -> DataFrame:
+def _hashed(df: DataFrame, side: str, bits: int, tolerance: float, bucket: tuple[Column, ...] | None = None) -> DataFrame:
     sign = 1 if side == "neurons" else -1
     hashes = {
         "key": F.xxhash64(F.lit("key"), "file_id", "node_id"),
         "region": F.xxhash64(F.lit("region"), "file_id", "node_id", F.coalesce("region_id", F.lit(0))),
         "x": _x_hash(side, tolerance),
     }
-    df = df.where(F.col("file_id").isNotNull() & F.col("node_id").isNotNull()).select(_bucket(bits).alias("bucket"), F.lit(sign).alias("n"), *[h.alias(c) for c, h in hashes.items()])
+    df = df.where(F.col("file_id").isNotNull() & F.col("node_id").isNotNull()).select(*(bucket or (_bucket(bits).alias("bucket"),)), F.lit(sign).alias("n"), *[h.alias(c) for c, h in hashes.items()])
     # Each hash as two halves of 32 bits: long sums of them cannot overflow.
     halves = [(F.shiftright(c, 32) * sign).alias(f"{c}_high") for c in hashes] + [(F.col(c).bitwiseAND(0xFFFFFFFF) * sign).alias(f"{c}_low") for c in hashes]
-    return df.select("bucket", "n", *halves)
+    return df.select(*[c for c in df.columns if c not in hashes and c != "n"], "n", *halves)
 
 
 SUMS = ("n", "key_high", "key_low", "region_high", "region_low", "x_high", "x_low")
@@ -104,7 +104,13 @@ def difference_report(neurons: DataFrame, copy: DataFrame) -> DataFrame:
 
 
 def column_checksums(neurons: DataFrame, copy: DataFrame, bits: int = BUCKET_BITS, tolerance: float = 0.001) -> DataFrame:
-    """How many buckets there are, and how many are unequal in each column."""
-    m = checksum_matrix(neurons, copy, bits, tolerance)
-    off = lambda c: F.sum(F.when((F.col(f"{c}_high") != 0) | (F.col(f"{c}_low") != 0), 1).otherwise(0))
-    return m.agg(F.count(F.lit(1)).alias("n_buckets"), off("key").alias("unequal_keys"), off("region").alias("unequal_region_id"), off("x").alias("unequal_x"))
+    """The matrix file by file: how many buckets a file has, and how many are unequal in each column.
+
+    Repeated rows make their bucket unequal. Output: file_id, n_buckets,
+    unequal_keys, unequal_region_id, unequal_x.
+    """
+    bucket = (F.col("file_id"), F.shiftright("node_id", bits).alias("block"))
+    both = _hashed(neurons, "neurons", bits, tolerance, bucket).unionAll(_hashed(copy, "copy", bits, tolerance, bucket))
+    m = both.groupBy("file_id", "block").agg(*[F.sum(c).alias(c) for c in SUMS])
+    off = lambda c: F.count_if((F.col(f"{c}_high") != 0) | (F.col(f"{c}_low") != 0))
+    return m.groupBy("file_id").agg(F.count(F.lit(1)).alias("n_buckets"), off("key").alias("unequal_keys"), off("region").alias("unequal_region_id"), off("x").alias("unequal_x"))

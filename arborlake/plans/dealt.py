@@ -149,5 +149,9 @@ def oracle_sql() -> dict[str, str]:
         "p5_report": f"""WITH n AS ({_NODES}) SELECT CASE ref_field WHEN 'parent_id' THEN 'neurons' ELSE 'atlas_regions' END AS referred_table, cause, strftime(t, '%Y-%m') AS load_month,
             COUNT(*) AS n_orphans, COUNT(DISTINCT file_id) AS n_files FROM ({_ORPHANS}) o GROUP BY 1, 2, 3""",
         "p6_found": _SIDES + "SELECT file_id, node_id, diff FROM f",
+        "p6_matrix": """WITH rows_ AS (SELECT 0 AS side, file_id, node_id, x, region_id FROM neurons UNION ALL SELECT 1, file_id, node_id, x, region_id FROM neurons_copy),
+            h AS (SELECT side, file_id, CAST(FLOOR(node_id / 8.0) AS BIGINT) AS b, node_id, COALESCE(region_id, 0) AS r, CASE WHEN x IS NULL OR isnan(x) THEN '' WHEN ABS(x) < 1e12 AND ABS(x - ROUND_EVEN(x / 0.01, 0) * 0.01) <= 0.0005 THEN CAST(ROUND_EVEN(x / 0.01, 0) AS VARCHAR) ELSE side || ' ' || x END AS v FROM rows_ WHERE file_id IS NOT NULL AND node_id IS NOT NULL),
+            l AS (SELECT file_id, b, """ + ", ".join(f"COALESCE(list({v} ORDER BY {v}) FILTER (side = 0 AND {w}), []) <> COALESCE(list({v} ORDER BY {v}) FILTER (side = 1 AND {w}), []) AS {n}" for n, v, w in (("k", "node_id", "TRUE"), ("g", "(node_id, r)", "TRUE"), ("x", "(node_id, v)", "v <> ''"))) + """ FROM h GROUP BY 1, 2)
+            SELECT file_id, COUNT(*) AS n_buckets, COUNT(*) FILTER (k) AS unequal_keys, COUNT(*) FILTER (g) AS unequal_region_id, COUNT(*) FILTER (x) AS unequal_x FROM l GROUP BY 1""",
         "p6_report": _SIDES + "SELECT diff, COUNT(*) AS n_nodes, COUNT(DISTINCT file_id) AS n_files FROM f GROUP BY diff",
     }

@@ -304,6 +304,9 @@ def test_differences_equal_brute_force(spark):
     schema = "file_id string, node_id int, x double, region_id int"
     got = twins.differences(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema))
     assert {(r["file_id"], r["node_id"], r["diff"]) for r in got.collect()} == want
+    by_file = {r["file_id"]: r for r in twins.column_checksums(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema)).collect()}
+    assert set(by_file) == {f for f, n, *_ in a + b if f is not None and n is not None} and by_file["F0"]["unequal_keys"] == by_file["F0"]["n_buckets"] == 1
+    assert all(r["unequal_keys"] <= r["unequal_region_id"] <= r["n_buckets"] and r["unequal_x"] <= r["n_buckets"] for r in by_file.values())
     empty = spark.createDataFrame([], schema)
     assert twins.differences(empty, empty).count() == 0
     assert twins.differences(empty, spark.createDataFrame(b, schema)).where("diff <> 'missing_in_neurons'").count() == 0
