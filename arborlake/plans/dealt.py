@@ -123,7 +123,7 @@ def oracle_sql() -> dict[str, str]:
         "p1_lifespans": _FIELDS + """, carried AS (SELECT * REPLACE (COALESCE(type, last_value(type IGNORE NULLS) OVER (PARTITION BY stream, field ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS type) FROM cat),
             marked AS (SELECT *, CASE WHEN LAG(seq) OVER w = seq - 1 AND LAG(type) OVER w IS NOT DISTINCT FROM type THEN 0 ELSE 1 END AS new FROM carried WINDOW w AS (PARTITION BY stream, field ORDER BY seq)),
             numbered AS (SELECT *, SUM(new) OVER (PARTITION BY stream, field ORDER BY seq) AS island FROM marked)
-            SELECT stream, field, type, MIN(seq) AS first_seq, MAX(seq) AS last_seq, arg_min(export_id, seq) AS first_export, arg_max(export_id, seq) AS last_export, COUNT(*) AS n_exports FROM numbered GROUP BY stream, field, island, type""",
+            SELECT stream, field, type, CAST(MIN(seq) AS INT) AS first_seq, CAST(MAX(seq) AS INT) AS last_seq, arg_min(export_id, seq) AS first_export, arg_max(export_id, seq) AS last_export, COUNT(*) AS n_exports FROM numbered GROUP BY stream, field, island, type""",
         "p1_nodes": _FIELDS + """, alias(plain, target) AS (VALUES """ + ", ".join(f"('{a}', '{c}')" for a, c in drift.ALIASES.items()) + """),
             typed AS (SELECT k.file_id, TRY_CAST(k.node_id AS BIGINT) AS node_id, CASE WHEN field IN ('type', 'x') THEN field ELSE target END AS target, v, l.exported_at, k.export_id FROM kinds k JOIN (SELECT DISTINCT stream, export_id, exported_at FROM lines) l USING (stream, export_id) LEFT JOIN alias ON plain = regexp_replace(lower(field), '[^a-z0-9]', '', 'g') WHERE k.file_id IS NOT NULL AND TRY_CAST(k.node_id AS BIGINT) IS NOT NULL),
             cast_ AS (SELECT *, TRY_CAST(v AS DOUBLE) AS d, CASE WHEN TRY_CAST(v AS DOUBLE) = ROUND_EVEN(TRY_CAST(v AS DOUBLE), 0) THEN TRY_CAST(TRY_CAST(v AS DOUBLE) AS INT) END AS n, TRY_CAST(v AS BOOLEAN) AS b FROM typed)

@@ -223,7 +223,7 @@ def oracle_sql() -> dict[str, str]:
             WHERE file_id NOT IN (SELECT file_id FROM nodes GROUP BY file_id ORDER BY COUNT(*) DESC, file_id LIMIT 40) AND file_id IN (SELECT file_id FROM nodes WHERE type = 1)""",
         "flt12_world_bounds": f"WITH {M.HEAT} SELECT " + ", ".join(f"GREATEST(0.0, (MIN({n}) - 0.5) * {SIZE}) AS {c}_low, (MAX({n}) + 1.5) * {SIZE} AS {c}_high" for n, c in zip("ijk", "zyx")) + " FROM dense",
         "reg02_region_at": f"WITH {ANNOTATION} SELECT n.file_id, n.node_id, a.region_id, r.acronym FROM nodes n JOIN annotation a ON CAST(TRUNC(n.x / {SIZE}) AS BIGINT) = a.i AND CAST(TRUNC(n.y / {SIZE}) AS BIGINT) = a.j AND CAST(TRUNC(n.z / {SIZE}) AS BIGINT) = a.k JOIN atlas_regions r ON a.region_id = r.region_id WHERE n.type = 1 AND isfinite(n.x) AND isfinite(n.y) AND isfinite(n.z)",
-        "reg09_layer_hierarchy": "WITH l AS (SELECT region_id, trim(acronym) AS acronym, trim(region_name) AS region_name, lower(regexp_extract(region_name, '(?i)(?:,|/)\\s*(?:layer\\s+)?(2/3|6a|6b|1|4|5)\\s*$', 1)) AS layer FROM atlas_regions a WHERE NOT EXISTS (SELECT 1 FROM atlas_regions b WHERE b.parent_region_id = a.region_id)) SELECT layer, ROW_NUMBER() OVER (PARTITION BY layer ORDER BY lower(region_name), lower(acronym), region_id) AS position, region_id, acronym, region_name FROM l WHERE layer <> ''",
+        "reg09_layer_hierarchy": "WITH l AS (SELECT region_id, trim(acronym) AS acronym, trim(region_name) AS region_name, lower(regexp_extract(region_name, '(?i)(?:,|/)\\s*(?:layer\\s+)?(2/3|6a|6b|1|4|5)\\s*$', 1)) AS layer FROM atlas_regions a WHERE NOT EXISTS (SELECT 1 FROM atlas_regions b WHERE b.parent_region_id = a.region_id)) SELECT layer, CAST(ROW_NUMBER() OVER (PARTITION BY layer ORDER BY lower(region_name), lower(acronym), region_id) AS INT) AS position, region_id, acronym, region_name FROM l WHERE layer <> ''",
         "agg36_layer_counts": f"WITH {M.FLAT}, layers AS (SELECT region_id, lower(regexp_extract(region_name, '(?i)(?:,|/)\\s*(?:layer\\s+)?(2/3|6a|6b|1|4|5)\\s*$', 1)) AS layer FROM atlas_regions a WHERE NOT EXISTS (SELECT 1 FROM atlas_regions b WHERE b.parent_region_id = a.region_id)) SELECT layer, COUNT(*) AS n_nodes FROM valid v JOIN layers l ON v.region_id = l.region_id WHERE xy AND layer <> '' GROUP BY 1",
         "pt05_at_place": CSV_POINTS + f""", {ANNOTATION}, c AS (SELECT p.*, COALESCE(an.region_id, 0) AS place_id, CASE WHEN z < {MIDLINE - 1} THEN 'left' WHEN z > {MIDLINE + 1} THEN 'right' ELSE 'midline' END AS place_side FROM points p
             LEFT JOIN annotation an ON CAST(ROUND_EVEN(z / {SIZE}, 0) AS BIGINT) = an.i AND CAST(ROUND_EVEN(y / {SIZE}, 0) AS BIGINT) = an.j AND CAST(ROUND_EVEN(x / {SIZE}, 0) AS BIGINT) = an.k),
