@@ -206,7 +206,14 @@ def consistent_nodes(lines: DataFrame, aliases: dict[str, str] | None = None, ta
     type is null; integers may come in decimal form. Output: file_id, node_id, type, x and the target columns,
     last_export (time of the latest export with the node).
     """
+    kinds = {"type": "int", "x": "double"} | (targets or TARGETS)
     fields = export_fields(lines).where("file_id is not null and node_id is not null")
     fields = fields.withColumn("target", F.when(F.col("field").isin("type", "x"), F.col("field")).otherwise(target_column(aliases)))
-    latest = lambda c, t: F.max_by(_typed(t), F.when((F.col("target") == c) & _typed(t).isNotNull(), F.struct("exported_at", "export_id", "value"))).alias(c)
-    return fields.groupBy("file_id", "node_id").agg(latest("type", "int"), latest("x", "double"), *[latest(c, t) for c, t in (targets or TARGETS).items()], F.max("exported_at").alias("last_export"))
+    fits = F.lit(False)
+    for kind in sorted(set(kinds.values())):
+        fits = F.when(F.col("target").isin([c for c, k in kinds.items() if k == kind]), _typed(kind).isNotNull()).otherwise(fits)
+    # The latest value that fits, per node and column; only that one is cast.
+    when = F.struct("exported_at", "export_id", "value")
+    latest = fields.groupBy("file_id", "node_id", "target").agg(F.max_by("value", F.when(fits, when)).alias("value"), F.max("exported_at").alias("at"))
+    pick = lambda c, k: F.max(F.when(F.col("target") == c, _typed(k))).alias(c)
+    return latest.groupBy("file_id", "node_id").agg(*[pick(c, k) for c, k in kinds.items()], F.max("at").alias("last_export"))
