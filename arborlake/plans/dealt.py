@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from arborlake.operators import drift, hierarchy, references, skew, twins
 from arborlake.runtime import read_table as t
+from arborlake.runtime import times_as_text
 from arborlake.sources import csv_points
 
 QUANTILES = [0.05, 0.25, 0.5, 0.75, 0.95]
@@ -21,7 +22,7 @@ def queries() -> dict:
         "p1_found": lambda s, d: drift.schema_changes(t(s, d, "node_exports")).select("export_id", "change", "field", "new_field"),
         "p1_lifespans": lambda s, d: drift.column_lifespans(t(s, d, "node_exports")),
         "p1_casts": lambda s, d: drift.column_casts(t(s, d, "node_exports")),
-        "p1_nodes": lambda s, d: drift.consistent_nodes(t(s, d, "node_exports")),
+        "p1_nodes": lambda s, d: times_as_text(drift.consistent_nodes(t(s, d, "node_exports")), "last_export"),
         "p2_found": lambda s, d: hierarchy.cyclic_nodes(t(s, d, "neurons")),
         "p2_trees": lambda s, d: _texts(hierarchy.hierarchies(t(s, d, "neurons"))),
         "p2_found_in_blocks": lambda s, d: hierarchy.cyclic_nodes(t(s, d, "neurons"), cap=500),
@@ -127,7 +128,7 @@ def oracle_sql() -> dict[str, str]:
         "p1_nodes": _FIELDS + """, alias(plain, target) AS (VALUES """ + ", ".join(f"('{a}', '{c}')" for a, c in drift.ALIASES.items()) + """),
             typed AS (SELECT k.file_id, TRY_CAST(k.node_id AS BIGINT) AS node_id, CASE WHEN field IN ('type', 'x') THEN field ELSE target END AS target, v, l.exported_at, k.export_id FROM kinds k JOIN (SELECT DISTINCT stream, export_id, exported_at FROM lines) l USING (stream, export_id) LEFT JOIN alias ON plain = regexp_replace(lower(field), '[^a-z0-9]', '', 'g') WHERE k.file_id IS NOT NULL AND TRY_CAST(k.node_id AS BIGINT) IS NOT NULL),
             cast_ AS (SELECT *, TRY_CAST(v AS DOUBLE) AS d, CASE WHEN TRY_CAST(v AS DOUBLE) = ROUND_EVEN(TRY_CAST(v AS DOUBLE), 0) THEN TRY_CAST(TRY_CAST(v AS DOUBLE) AS INT) END AS n, TRY_CAST(v AS BOOLEAN) AS b FROM typed)
-            SELECT file_id, node_id, """ + ", ".join(f"arg_max({_TYPED[k]}, (exported_at, export_id, v)) FILTER (target = '{c}' AND {_TYPED[k]} IS NOT NULL) AS {c}" for c, k in ({"type": "int", "x": "double"} | drift.TARGETS).items()) + """, MAX(exported_at) AS last_export FROM cast_ GROUP BY 1, 2""",
+            SELECT file_id, node_id, """ + ", ".join(f"arg_max({_TYPED[k]}, (exported_at, export_id, v)) FILTER (target = '{c}' AND {_TYPED[k]} IS NOT NULL) AS {c}" for c, k in ({"type": "int", "x": "double"} | drift.TARGETS).items()) + """, strftime(MAX(exported_at), '%Y-%m-%d %H:%M:%S.%f') AS last_export FROM cast_ GROUP BY 1, 2""",
         "p1_casts": _FIELDS + """, named AS (SELECT field, type, COUNT(*) AS n_exports, regexp_replace(lower(field), '[^a-z0-9]', '', 'g') AS plain FROM cat GROUP BY 1, 2),
             alias(plain, column_name) AS (VALUES """ + ", ".join(f"('{a}', '{c}')" for a, c in drift.ALIASES.items()) + """), target(column_name, column_type) AS (VALUES """ + ", ".join(f"('{a}', '{c}')" for a, c in drift.TARGETS.items()) + """)
             SELECT field, type, n_exports, column_name, column_type, 'try_cast(`' || field || '` AS ' || column_type || ') AS ' || column_name AS cast_sql FROM named LEFT JOIN alias USING (plain) LEFT JOIN target USING (column_name)""",

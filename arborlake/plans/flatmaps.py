@@ -21,7 +21,7 @@ from arborlake.plans import morphology as M
 from arborlake.plans.dealt import CSV_POINTS
 from arborlake.plans.morphology import ANNOTATION, MIDLINE, NODES, OK, SHAPE, SIZE, VOX, annotation, labels, nodes
 from arborlake.runtime import read_table as t
-from arborlake.runtime import written
+from arborlake.runtime import times_as_text, written
 from arborlake.sources import tables
 
 #: Grid of the stored flat-map columns: x spans both hemispheres.
@@ -128,8 +128,8 @@ def queries() -> dict:
         "agg36_layer_counts": lambda s, d: FM.plane_counts(FM.layer_heatmap(M.flat_nodes(s, d), R.layer_map(t(s, d, "atlas_regions")), "fx", "fy", M.GRID)),
         "flt13_points_of_groups": lambda s, d: _points_of_groups(s, d).select("origin_csv", "line_no", "label"),
         "flt22_filtered": lambda s, d: A.filtered(A.active_map(nodes(s, d), labels(s, d).where("label < 5")), [2, 3], True),
-        "win07_first_state": lambda s, d: A.latest_state(_states(s, d), "loaded_at"),
-        "hlp38_last_state": lambda s, d: A.latest_state(_states(s, d), "loaded_at", keep="last"),
+        "win07_first_state": lambda s, d: times_as_text(A.latest_state(_states(s, d), "loaded_at"), "loaded_at"),
+        "hlp38_last_state": lambda s, d: times_as_text(A.latest_state(_states(s, d), "loaded_at", keep="last"), "loaded_at"),
         "top02_mismatches": lambda s, d: CMP.mismatches(M._twins(s, d), "region_id", ["file_id", "node_id"], 15).select("file_id", "node_id", F.col("l.region_id").alias("left_region"), F.col("r.region_id").alias("right_region")),
         "sort03_leaf_order": lambda s, d: R.leaf_order(t(s, d, "atlas_regions")),
         "asg05_members": lambda s, d: A.members(labels(s, d), 4),
@@ -231,8 +231,8 @@ def oracle_sql() -> dict[str, str]:
             SELECT origin_csv, line_no, label, place_id, place_acronym, place_side, NULLIF(concat_ws(',', CASE WHEN id <> place_id THEN 'id' END, CASE WHEN acronym <> trim(place_acronym) THEN 'acronym' END, CASE WHEN {M._KEY('region_name')} <> {M._KEY('place_name')} THEN 'region_name' END, CASE WHEN hemisphere IS NOT NULL AND lower(hemisphere) <> place_side THEN 'hemisphere' END), '') AS mismatches FROM r""",
         "flt13_points_of_groups": CSV_POINTS + " SELECT origin_csv, line_no, label FROM points SEMI JOIN (SELECT label, origin_csv FROM points GROUP BY 1, 2 ORDER BY COUNT(*) DESC, 1, 2 LIMIT 3) USING (label, origin_csv)",
         "flt22_filtered": f"WITH {NODES}, {M._LABELS} SELECT file_id, CASE WHEN label < 5 THEN label END AS label FROM label WHERE label IN (2, 3) OR label >= 5",
-        "win07_first_state": _STATES + " SELECT file_id, loaded_at, label FROM st QUALIFY ROW_NUMBER() OVER (PARTITION BY file_id ORDER BY loaded_at) = 1",
-        "hlp38_last_state": _STATES + " SELECT file_id, loaded_at, label FROM st QUALIFY ROW_NUMBER() OVER (PARTITION BY file_id ORDER BY loaded_at DESC) = 1",
+        "win07_first_state": _STATES + " SELECT file_id, strftime(loaded_at, '%Y-%m-%d %H:%M:%S.%f') AS loaded_at, label FROM st QUALIFY ROW_NUMBER() OVER (PARTITION BY file_id ORDER BY st.loaded_at) = 1",
+        "hlp38_last_state": _STATES + " SELECT file_id, strftime(loaded_at, '%Y-%m-%d %H:%M:%S.%f') AS loaded_at, label FROM st QUALIFY ROW_NUMBER() OVER (PARTITION BY file_id ORDER BY st.loaded_at DESC) = 1",
         "top02_mismatches": M._TWINS.replace("SELECT l.file_id AS lf,", "SELECT l.file_id AS lf, COALESCE(l.file_id, r.file_id) AS file_id, COALESCE(l.node_id, r.node_id) AS node_id,") + " SELECT file_id, node_id, lr AS left_region, rr AS right_region FROM pairs WHERE lr IS DISTINCT FROM rr ORDER BY file_id NULLS FIRST, node_id NULLS FIRST LIMIT 15",
         "sort03_leaf_order": "SELECT region_id, acronym, region_name FROM atlas_regions",
         "asg05_members": f"WITH {NODES}, {M._LABELS} SELECT file_id FROM label WHERE label = 4",

@@ -17,7 +17,7 @@ from arborlake.operators import regions as R
 from arborlake.operators import voxels as V
 from arborlake.plans.dealt import CSV_POINTS
 from arborlake.runtime import read_table as t
-from arborlake.runtime import written
+from arborlake.runtime import times_as_text, written
 from arborlake.sources import csv_points, swc
 
 MIDLINE = 5695.0
@@ -119,7 +119,7 @@ def _segment_bins(s, d):
 def queries() -> dict:
     q = {
         # sources, filters
-        "src01_scan": lambda s, d: _values(t(s, d, "neurons")),
+        "src01_scan": lambda s, d: times_as_text(_values(t(s, d, "neurons")), "traced_at", "loaded_at"),
         "src09_file_names": lambda s, d: t(s, d, "neurons").select("file_id").distinct().select("file_id", *[c.alias(n) for c, n in zip(swc.parse_file_names(F.col("file_id")), ("subject", "neuron_id"))]),
         "flt01_neurons_by_acronym": lambda s, d: N.neurons_touching(t(s, d, "neurons"), list(ACRONYMS)),
         "flt02_neurons_by_region_id": lambda s, d: N.neurons_touching(t(s, d, "neurons"), IDS, "region_id", types=[2, 3]),
@@ -338,7 +338,7 @@ _SMOOTH = ", ".join(_axis(n, axis, size) for n, (axis, size) in enumerate(zip("i
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "src01_scan": "SELECT * REPLACE (CASE WHEN NOT isnan(x) THEN x END AS x, CASE WHEN NOT isnan(y) THEN y END AS y, CASE WHEN NOT isnan(z) THEN z END AS z, CASE WHEN NOT isnan(radius) THEN radius END AS radius) FROM neurons",
+        "src01_scan": "SELECT * REPLACE (CASE WHEN NOT isnan(x) THEN x END AS x, CASE WHEN NOT isnan(y) THEN y END AS y, CASE WHEN NOT isnan(z) THEN z END AS z, CASE WHEN NOT isnan(radius) THEN radius END AS radius, strftime(traced_at, '%Y-%m-%d %H:%M:%S.%f') AS traced_at, strftime(loaded_at, '%Y-%m-%d %H:%M:%S.%f') AS loaded_at) FROM neurons",
         "src09_file_names": f"""WITH f AS (SELECT DISTINCT file_id, {_STEM} AS stem FROM neurons) SELECT file_id,
             CASE WHEN regexp_matches(stem, '^\\d+_\\d+_') THEN regexp_extract(stem, '^(\\d+)_(\\d+)_', 2) WHEN regexp_matches(stem, '^H\\d+(\\.\\d+){{6}}_\\d+') THEN regexp_extract(stem, '^(H\\d+(\\.\\d+){{6}})_(\\d+)', 1) ELSE stem END AS subject,
             CASE WHEN regexp_matches(stem, '^\\d+_\\d+_') THEN regexp_extract(stem, '^(\\d+)_(\\d+)_', 1) WHEN regexp_matches(stem, '^H\\d+(\\.\\d+){{6}}_\\d+') THEN regexp_extract(stem, '^(H\\d+(\\.\\d+){{6}})_(\\d+)', 3) ELSE stem END AS neuron_id FROM f""",

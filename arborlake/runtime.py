@@ -71,6 +71,11 @@ def is_number(c: Column | str) -> Column:
     return F.coalesce(F.abs(c) < F.lit(float("inf")), F.lit(False))
 
 
+def times_as_text(df: DataFrame, *names: str) -> DataFrame:
+    """Timestamps as text to the microsecond, which every store and checker holds alike."""
+    return df.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS") for c in names})
+
+
 def arrow_schema(ddl: str):
     """Arrow schema of a flat DDL string; usable inside Python workers."""
     import pyarrow as pa
