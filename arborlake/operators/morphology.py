@@ -20,22 +20,26 @@ def edges(nodes: DataFrame) -> DataFrame:
     return child.join(parent, (F.col("file_id") == F.col("_f")) & (F.col("parent_id") == F.col("_n"))).drop("_f", "_n")
 
 
-def childless(nodes: DataFrame) -> DataFrame:
-    """Nodes that are nobody's parent. All nodes count as children, whatever their type or region."""
-    parents = nodes.select(F.col("file_id").alias("_f"), F.col("parent_id").alias("_p")).where("_p is not null")
+def childless(nodes: DataFrame, children: DataFrame | None = None) -> DataFrame:
+    """Nodes that are nobody's parent. All nodes count as children, whatever their type or region.
+
+    ``children`` may be the table as delivered: repeated rows name the same
+    parents, so they need not be made distinct first.
+    """
+    parents = (nodes if children is None else children).select(F.col("file_id").alias("_f"), F.col("parent_id").alias("_p")).where("_p is not null")
     return nodes.join(parents, (F.col("file_id") == F.col("_f")) & (F.col("node_id") == F.col("_p")), "left_anti")
 
 
-def termini(nodes: DataFrame, types: list[int] | None = None, regions: list[str] | None = None, files: list[str] | None = None) -> DataFrame:
+def termini(nodes: DataFrame, types: list[int] | None = None, regions: list[str] | None = None, files: list[str] | None = None, children: DataFrame | None = None) -> DataFrame:
     """Childless nodes of the types and regions. Types and regions filter what is reported, never the children."""
-    return member(member(childless(member(nodes, "file_id", files)), "type", types), "region_acronym", regions)
+    return member(member(childless(member(nodes, "file_id", files), children), "type", types), "region_acronym", regions)
 
 
-def coverage(nodes: DataFrame, types: list[int], requested: DataFrame | None = None) -> DataFrame:
+def coverage(nodes: DataFrame, types: list[int], requested: DataFrame | None = None, children: DataFrame | None = None) -> DataFrame:
     """Childless nodes per cell: of the types, and others. Requested cells without nodes count 0."""
-    tally = childless(nodes).groupBy("file_id").agg(F.count_if(F.col("type").isin(types)).alias("n_termini"), F.count_if(~F.col("type").isin(types) | F.col("type").isNull()).alias("n_other"))
+    tally = childless(nodes, children).groupBy("file_id").agg(F.count_if(F.col("type").isin(types)).alias("n_termini"), F.count_if(~F.col("type").isin(types) | F.col("type").isNull()).alias("n_other"))
     if requested is None:
-        requested = nodes.select("file_id").distinct()
+        requested = (nodes if children is None else children).select("file_id").distinct()
     return requested.select("file_id").distinct().join(tally, "file_id", "left").select("file_id", F.coalesce("n_termini", F.lit(0)).alias("n_termini"), F.coalesce("n_other", F.lit(0)).alias("n_other"))
 
 

@@ -136,9 +136,9 @@ def queries() -> dict:
         # joins
         "jn01_edges": lambda s, d: M.edges(nodes(s, d)).select("file_id", "node_id", "parent_id"),
         "jn02_cable_length": lambda s, d: _r(M.cable_length(M.edges(nodes(s, d)).where(finite("x", "y", "z", "parent_x", "parent_y", "parent_z"))), "length", digits=3),
-        "jn03_termini_per_neuron": lambda s, d: M.termini(nodes(s, d), [2]).groupBy("file_id").agg(F.count(F.lit(1)).alias("n_termini")),
-        "jn03_termini": lambda s, d: M.termini(nodes(s, d), [2, 3]).select("file_id", "node_id", "type"),
-        "jn03_termini_in_region": lambda s, d: M.termini(nodes(s, d), [2], list(ACRONYMS)).select("file_id", "node_id"),
+        "jn03_termini_per_neuron": lambda s, d: M.termini(nodes(s, d), [2], children=t(s, d, "neurons")).groupBy("file_id").agg(F.count(F.lit(1)).alias("n_termini")),
+        "jn03_termini": lambda s, d: M.termini(nodes(s, d), [2, 3], children=t(s, d, "neurons")).select("file_id", "node_id", "type"),
+        "jn03_termini_in_region": lambda s, d: M.termini(nodes(s, d), [2], list(ACRONYMS), children=t(s, d, "neurons")).select("file_id", "node_id"),
         "jn09_soma_distance": lambda s, d: _r(nodes(s, d).join(N.soma_locations(nodes(s, d)).groupBy("file_id").agg(F.avg("x").alias("sx")), "file_id").where(finite("x")).groupBy("file_id").agg(F.max(F.abs(F.col("x") - F.col("sx"))).alias("reach_x")), "reach_x", digits=4),
         "jn13_new_files": lambda s, d: swc.new_files(t(s, d, "neurons_copy").select("file_id", "node_id"), t(s, d, "neurons")),
         "jn14_region_names": lambda s, d: R.with_names(nodes(s, d), t(s, d, "atlas_regions")).select("file_id", "node_id", "region_name", "region_acronym"),
@@ -161,8 +161,8 @@ def queries() -> dict:
         "agg15_neuron_summary": lambda s, d: _r(N.neuron_summary(nodes(s, d)), "soma_x", "soma_y", "soma_z", digits=4),
         "agg16_neuron_sums": lambda s, d: COR.neuron_sums(COR.voxel_counts(nodes(s, d), SIZE)),
         "agg17_input_nodes": lambda s, d: COR.input_nodes(nodes(s, d), SIZE),
-        "agg20_coverage": lambda s, d: M.coverage(nodes(s, d), [2]),
-        "agg20_coverage_summary": lambda s, d: M.coverage_summary(M.coverage(nodes(s, d), [2])),
+        "agg20_coverage": lambda s, d: M.coverage(nodes(s, d), [2], children=t(s, d, "neurons")),
+        "agg20_coverage_summary": lambda s, d: M.coverage_summary(M.coverage(nodes(s, d), [2], children=t(s, d, "neurons"))),
         "agg24_cluster_counts": lambda s, d: A.cluster_counts(A.active_map(nodes(s, d), labels(s, d).where("label < 5"))),
         "agg25_projection_summary": lambda s, d: with_annotation(s, d, [], lambda n, a: FM.projection_summary(written(FM.project(n, written(lookup(s, d, a)), SIZE, SHAPE).select("file_id", "projection_valid", "invalid_code", "depth_mode")))),
         "agg26_grouped_heatmap": lambda s, d: FM.grouped_heatmap(FM.flat_heatmap(flat_nodes(s, d), "fx", "fy", "fd", GRID, by=["file_id"]), labels(s, d).where("label < 5")),
@@ -177,7 +177,7 @@ def queries() -> dict:
         "top02_remaps": lambda s, d: CMP.remaps(_twins(s, d), "region_id", 20),
         "set01_concatenated": lambda s, d: t(s, d, "neurons").select("file_id", "node_id", "x").unionByName(t(s, d, "neurons_copy").select("file_id", "node_id", "x")).groupBy("file_id").agg(F.count(F.lit(1)).alias("n_rows")),
         "set04_mask_union": lambda s, d: V.region_mask(annotation(s, d), IDS),
-        "set05_with_termini": lambda s, d: M.coverage(nodes(s, d), [2]).select("file_id", (F.col("n_termini") > 0).alias("has_termini")),
+        "set05_with_termini": lambda s, d: M.coverage(nodes(s, d), [2], children=t(s, d, "neurons")).select("file_id", (F.col("n_termini") > 0).alias("has_termini")),
         # hemispheres
         "xf03_soma_sides": lambda s, d: _r(N.soma_sides(nodes(s, d), MIDLINE), "soma", digits=4),
         "xf05_flipped": lambda s, d: _r(N.flipped(nodes(s, d), "left", MIDLINE).where(finite("z")).select("file_id", "node_id", "z"), "z", digits=6),
