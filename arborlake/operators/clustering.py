@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+from collections.abc import Callable, Iterator
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arborlake.operators.components import connected_components
-from arborlake.runtime import written
+from arborlake.operators.correlation import Cohort, per_neuron
+from arborlake.runtime import arrow_schema, written
 
 #: Largest cohort whose distance matrix the driver holds (20,000² floats are 3.2 GB; the default stays far below).
 MOST_NEURONS = 5_000
+#: Fixed value: bytes from which a square lies in a file of the task's disk instead of its memory.
+IN_MEMORY = 200_000_000
 
 
 def distances(r: np.ndarray) -> np.ndarray:
@@ -26,40 +33,56 @@ def linkage(d: np.ndarray, method: str = "average") -> np.ndarray:
     Methods: average, complete, single, ward (on Euclidean distances). Merged
     clusters are numbered from n in order of height.
     """
+    return merged(np.array(d, float), method)
+
+
+def merged(d: np.ndarray, method: str = "average") -> np.ndarray:
+    """``linkage`` that uses the matrix up, so that nothing else of its size is needed."""
     if method not in ("average", "complete", "single", "ward"):
         raise ValueError(f"unknown method {method!r}")
-    n = len(d)
-    d = d.astype(float) ** (2 if method == "ward" else 1)
+    n = m = len(d)
+    if method == "ward":
+        for row in d:
+            np.multiply(row, row, out=row)
     np.fill_diagonal(d, np.inf)
-    size, alive, chain, merges = np.ones(n), np.ones(n, bool), [], []
-    while alive.sum() > 1:
+    # Rows of merged clusters stay until half of them are gone; their place in ``gone`` is infinite.
+    size, gone, own, chain, merges = np.ones(n), np.zeros(n), np.arange(n), [], []
+    while len(merges) < n - 1:
+        if n - len(merges) <= m // 2:
+            kept = np.flatnonzero(gone[:m] == 0)
+            for to, row in enumerate(kept):
+                d[to, : len(kept)] = d[row, kept]
+            chain = np.searchsorted(kept, chain).tolist()
+            size, own, gone, m = size[kept], own[kept], np.zeros(len(kept)), len(kept)
         if not chain:
-            chain = [int(np.argmax(alive))]
+            chain = [int(np.argmin(gone))]
         while True:
             a = chain[-1]
-            b = int(np.argmin(d[a]))
+            b = int(np.argmin(d[a, :m] + gone))
             if len(chain) > 1 and d[a, chain[-2]] <= d[a, b]:
                 b = chain[-2]
                 break
             chain.append(b)
         chain = chain[:-2]
-        height = d[a, b]
-        merges.append((a, b, np.sqrt(height) if method == "ward" else height))
+        height, x, y = d[a, b], d[a, :m], d[b, :m]
+        merges.append((own[a], own[b], np.sqrt(height) if method == "ward" else height))
         na, nb = size[a], size[b]
         if method == "average":
-            new = (na * d[a] + nb * d[b]) / (na + nb)
+            new = (na * x + nb * y) / (na + nb)
         elif method == "complete":
-            new = np.maximum(d[a], d[b])
+            new = np.maximum(x, y)
         elif method == "single":
-            new = np.minimum(d[a], d[b])
+            new = np.minimum(x, y)
         else:
-            new = ((na + size) * d[a] + (nb + size) * d[b] - size * height) / (na + nb + size)
-        new[~alive] = np.inf
+            new = ((na + size) * x + (nb + size) * y - size * height) / (na + nb + size)
         new[[a, b]] = np.inf
-        d[b], d[:, b] = new, new
-        d[a], d[:, a] = np.inf, np.inf
-        alive[a], size[b] = False, na + nb
-    # Number the merges by height.
+        d[b, :m], d[:m, b] = new, new
+        gone[a], size[b] = np.inf, na + nb
+    return _numbered(merges, n)
+
+
+def _numbered(merges: list[tuple[int, int, float]], n: int) -> np.ndarray:
+    """Merges of (member, member, height) as rows (a, b, height, size) in order of height."""
     merges.sort(key=lambda m: m[2])
     up, number, count = list(range(n)), list(range(n)), [1] * n
 
@@ -90,7 +113,9 @@ def cut(merges: np.ndarray, k: int) -> np.ndarray:
     group = {v: [v] for v in range(n)}
     for i in range(keep):
         a, b = int(merges[i, 0]), int(merges[i, 1])
-        group[n + i] = group.pop(a) + group.pop(b)
+        less, more = sorted((group.pop(a), group.pop(b)), key=len)
+        more += less
+        group[n + i] = more
     labels = np.zeros(n, int)
     for label, (_, rows) in enumerate(sorted(group.items(), key=lambda g: min(g[1])), 1):
         labels[rows] = label
@@ -146,15 +171,48 @@ def matrix(long_form: DataFrame, missing: float = -1.0) -> tuple[list[str], np.n
     return ids, out
 
 
-def correlation_clusters(long_form: DataFrame, k: int, method: str = "average") -> DataFrame:
-    """Clusters of a correlated cohort: file_id, label, leaf position."""
-    ids, r = matrix(long_form)
-    spark = long_form.sparkSession
-    if not ids:
-        return spark.createDataFrame([], "file_id string, label int, leaf int")
-    merges = linkage(distances(r), method)
-    labels, place = cut(merges, k), {v: p for p, v in enumerate(leaf_order(merges))}
-    return spark.createDataFrame([(f, int(labels[v]), place[v]) for v, f in enumerate(ids)], "file_id string, label int, leaf int")
+def _square(n: int) -> np.ndarray:
+    """Room for a square of doubles: memory, or from ``IN_MEMORY`` on a file that is gone with its last use."""
+    if 8 * n * n < IN_MEMORY:
+        return np.empty((n, n))
+    with tempfile.TemporaryFile(dir=os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0] or None) as f:
+        f.truncate(8 * n * n)
+        return np.memmap(f, float, "r+", shape=(n, n))
+
+
+def correlation_distances(cohort: Cohort, dense: bool) -> np.ndarray:
+    """Distances of all pairs of a cohort, row by row."""
+    d = _square(len(cohort.ids))
+    for a in range(len(d)):
+        d[a] = np.maximum(0.0, 1.0 - np.clip(cohort.row(a, dense), -1.0, 1.0))
+        d[a, a] = 0.0
+    return d
+
+
+def _one_task(rows: DataFrame, work: Callable[[Iterator], dict], ddl: str) -> DataFrame:
+    """``work`` on all rows (of which there is one a neuron) in one task of an executor: chains follow one another, and the driver holds none of it."""
+    schema = arrow_schema(ddl)
+
+    def run(batches):
+        import pyarrow as pa
+
+        yield pa.RecordBatch.from_pydict(work(batches), schema=schema)
+
+    return rows.repartition(1).mapInArrow(run, ddl)
+
+
+def correlation_clusters(counts: DataFrame, k: int, method: str = "average", dense: bool = False) -> DataFrame:
+    """Clusters of a cohort correlated by its counts per voxel: file_id, label, leaf position. Without ``dense``, neurons that share no voxel are at the distance 2."""
+
+    def work(batches):
+        cohort = Cohort(batches)
+        if not cohort.ids:
+            return {"file_id": [], "label": [], "leaf": []}
+        merges = merged(correlation_distances(cohort, dense), method)
+        place = np.argsort(leaf_order(merges))
+        return {"file_id": cohort.ids, "label": cut(merges, k), "leaf": place}
+
+    return _one_task(per_neuron(counts), work, "file_id string, label int, leaf int")
 
 
 def soma_clusters(somas: DataFrame, k: int, method: str = "ward") -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -84,3 +87,56 @@ def dense_pearson(counts: DataFrame) -> DataFrame:
     lower = upper.select(F.col("swc_id_2").alias("swc_id_1"), F.col("swc_id_1").alias("swc_id_2"), "r")
     own = sums.select(F.col("file_id").alias("swc_id_1"), F.col("file_id").alias("swc_id_2"), F.lit(1.0).alias("r"))
     return upper.unionAll(lower).unionAll(own)
+
+
+def per_neuron(counts: DataFrame) -> DataFrame:
+    """The counts of each neuron as one row: file_id, v (i, j, k, n)."""
+    return counts.groupBy("file_id").agg(F.collect_list(F.struct(*[F.col(c).cast("long").alias(c) for c in (*IJK, "n")])).alias("v"))
+
+
+class Cohort:
+    """All counts of a cohort in a task, from batches of ``per_neuron``: a few numbers a neuron and voxel.
+
+    A row of its correlations is made when it is asked for, by the same sums and formula as ``pearson``.
+    """
+
+    def __init__(self, batches: Iterable):
+        ids, lengths, parts = [], [], []
+        for b in batches:
+            v = b.column("v")
+            ids += b.column("file_id").to_pylist()
+            lengths.append(v.value_lengths().to_numpy(zero_copy_only=False))
+            parts.append(np.array([f.to_numpy(zero_copy_only=False) for f in v.flatten().flatten()]))
+        order = sorted(range(len(ids)), key=ids.__getitem__)
+        self.ids = [ids[x] for x in order]
+        place = np.empty(len(ids), int)
+        place[order] = np.arange(len(ids))
+        *at, n = np.concatenate(parts, axis=1) if parts else np.zeros((4, 0), int)
+        neuron = place[np.repeat(np.arange(len(ids)), np.concatenate(lengths))] if parts else np.zeros(0, int)
+        # Voxels get numbers; the counts lie by neuron, and once more by voxel.
+        by = np.lexsort(at)
+        new = np.any([c[by][1:] != c[by][:-1] for c in at], axis=0)
+        voxel = np.empty(len(by), int)
+        voxel[by] = np.concatenate(([0], np.cumsum(new))) if len(by) else 0
+        self.voxels = int(voxel.max(initial=-1)) + 1
+        mine = np.argsort(neuron, kind="stable")
+        self.voxel, self.count, self.start = voxel[mine], n[mine], np.searchsorted(neuron[mine], np.arange(len(ids) + 1))
+        self.others, self.theirs, self.first = neuron[by], n[by], np.searchsorted(voxel[by], np.arange(self.voxels + 1))
+        self.s, self.q = (np.array([v[a:b].sum() for a, b in zip(self.start, self.start[1:])], float) for v in (self.count, self.count**2))
+
+    def row(self, a: int, dense: bool, missing: float = -1.0) -> np.ndarray:
+        """r of neuron a and all: of ``dense_pearson``, or of ``pearson`` with ``missing`` where that has none; 1 for itself."""
+        own = slice(self.start[a], self.start[a + 1])
+        sxy = np.zeros(len(self.ids))
+        for v, n in zip(self.voxel[own], self.count[own]):
+            there = slice(self.first[v], self.first[v + 1])
+            sxy[self.others[there]] += n * self.theirs[there]
+        total = float(self.voxels)
+        spread = (total * self.q[a] - self.s[a] * self.s[a]) * (total * self.q - self.s * self.s)
+        known = (spread > 0) & (dense | (sxy > 0))
+        r = np.full(len(sxy), 0.0 if dense else missing)
+        np.divide(total * sxy - self.s[a] * self.s, np.sqrt(spread, where=spread > 0, out=np.ones(len(sxy))), where=known, out=r)
+        if dense:
+            np.clip(r, -1.0, 1.0, out=r)
+        r[a] = 1.0
+        return r

@@ -82,11 +82,10 @@ def correlation_clusters(nodes: DataFrame, x: str, y: str, depth: str, k: int, g
     """From stored columns to clusters: file_id, label, leaf; unassigned files have nulls. Raises for fewer than two neurons."""
     cohort = member(nodes, "file_id", files)
     counts = bin_counts(rendered(cohort, x, y, depth, grid, sentinel, collapse, mask))
-    long_form = correlated(counts)
     n = counts.select("file_id").distinct().limit(2).count()
     if n < 2:
         raise ValueError("a correlation takes at least two neurons with rendered nodes")
-    labelled = clustering.correlation_clusters(long_form, k, method)
+    labelled = clustering.correlation_clusters(_as_volume(counts), k, method, dense=True)
     none = unassigned(cohort, counts).select("file_id", F.lit(None).cast("int").alias("label"), F.lit(None).cast("int").alias("leaf"))
     return labelled.unionByName(none)
 

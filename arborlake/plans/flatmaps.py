@@ -69,7 +69,7 @@ def _of_unions(s, d, f):
 
 
 def _clustered(s, d):
-    return CL.correlation_clusters(COR.pearson(COR.voxel_counts(nodes(s, d), SIZE)), 8)
+    return CL.correlation_clusters(COR.voxel_counts(nodes(s, d), SIZE), 8)
 
 
 def _points_of_groups(s, d):

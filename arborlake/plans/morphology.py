@@ -200,7 +200,7 @@ def queries() -> dict:
         "cor01_pearson": lambda s, d: _r(COR.pearson(COR.voxel_counts(nodes(s, d), SIZE)), "r"),
         "cor02_square": lambda s, d: _r(COR.square(COR.pearson(COR.voxel_counts(nodes(s, d), SIZE)), nodes(s, d).select("file_id").distinct()), "r"),
         "cor04_dense_pearson": lambda s, d: _r(COR.dense_pearson(COR.voxel_counts(nodes(s, d), SIZE)), "r"),
-        "cl02_correlation_clusters": lambda s, d: CL.correlation_clusters(COR.pearson(COR.voxel_counts(nodes(s, d), SIZE)), 8),
+        "cl02_correlation_clusters": lambda s, d: CL.correlation_clusters(COR.voxel_counts(nodes(s, d), SIZE), 8),
         "cl05_soma_clusters": lambda s, d: CL.soma_clusters(_somas(s, d), 8),
         "cl06_soma_kmeans": lambda s, d: CL.soma_kmeans(_somas(s, d), 8),
         "cl07_soma_dbscan": lambda s, d: CL.soma_dbscan(_somas(s, d), 300.0, 3),
