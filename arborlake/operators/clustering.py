@@ -157,20 +157,6 @@ def cophenetic_spearman(d: np.ndarray, merges: np.ndarray) -> float:
     return float(np.corrcoef(a, b)[0, 1])
 
 
-def matrix(long_form: DataFrame, missing: float = -1.0) -> tuple[list[str], np.ndarray]:
-    """Long correlations of a cohort as a square matrix with sorted ids."""
-    ids = [r[0] for r in long_form.select("swc_id_1").union(long_form.select("swc_id_2")).distinct().limit(MOST_NEURONS + 1).collect()]
-    if len(ids) > MOST_NEURONS:
-        raise ValueError(f"more than {MOST_NEURONS} neurons")
-    ids.sort()
-    at, out = {v: k for k, v in enumerate(ids)}, np.full((len(ids), len(ids)), missing)
-    got = long_form.where("r is not null").toPandas()
-    a, b = got["swc_id_1"].map(at).to_numpy(), got["swc_id_2"].map(at).to_numpy()
-    out[a, b] = out[b, a] = got["r"].to_numpy()
-    np.fill_diagonal(out, 1.0)
-    return ids, out
-
-
 def _square(n: int) -> np.ndarray:
     """Room for a square of doubles: memory, or from ``IN_MEMORY`` on a file that is gone with its last use."""
     if 8 * n * n < IN_MEMORY:
@@ -287,10 +273,15 @@ def compared_partitions(a: np.ndarray, b: np.ndarray, ks: range = range(2, 21))
     return out
 
 
-def compare_linkages(long_form: DataFrame, first: str = "average", second: str = "ward", ks: range = range(2, 21)) -> DataFrame:
-    """Two linkages of one correlated cohort, compared at each k: k, ari, nmi."""
-    ids, r = matrix(long_form)
-    if len(ids) < 2:
-        return long_form.sparkSession.createDataFrame([], "k int, ari double, nmi double")
-    d = distances(r)
-    return long_form.sparkSession.createDataFrame(compared_partitions(linkage(d, first), linkage(d, second), ks), "k int, ari double, nmi double")
+def compare_linkages(counts: DataFrame, first: str = "average", second: str = "ward", ks: range = range(2, 21)) -> DataFrame:
+    """Two linkages of one cohort, of which all pairs are correlated, compared at each k: k, ari, nmi."""
+
+    def work(batches):
+        cohort = Cohort(batches)
+        if len(cohort.ids) < 2:
+            return {"k": [], "ari": [], "nmi": []}
+        one = merged(correlation_distances(cohort, True), first)  # uses the matrix up
+        two = merged(correlation_distances(cohort, True), second)
+        return dict(zip(("k", "ari", "nmi"), zip(*compared_partitions(one, two, ks))))
+
+    return _one_task(per_neuron(counts), work, "k int, ari double, nmi double")

@@ -119,7 +119,7 @@ def queries() -> dict:
         "snk19_distances": lambda s, d: r(EX.ordered_distances(COR.dense_pearson(COR.voxel_counts(nodes(s, d), SIZE)), _clustered(s, d)), "distance"),
         "snk21_projected_rows": lambda s, d: tables.projected_rows(nodes(s, d).select("file_id", "node_id", "parent_id", "type", "region_id")).select("file_id", "node_id", "parent_id", "type", "region_id", "x_flat", "allen_layer_label"),
         "cl09_mutual_information": lambda s, d: r(A.mutual_information(labels(s, d), labels(s, d, "name")), "nmi"),
-        "cl09_compared_linkages": lambda s, d: r(CL.compare_linkages(COR.dense_pearson(COR.voxel_counts(nodes(s, d), SIZE))), "ari", "nmi"),
+        "cl09_compared_linkages": lambda s, d: r(CL.compare_linkages(COR.voxel_counts(nodes(s, d), SIZE)), "ari", "nmi"),
         "agg28_common_histograms": lambda s, d: V.common_histograms(V.binned(nodes(s, d), SIZE).groupBy(F.col("type").cast("string").alias("name"), "i", "j", "k").agg(F.count(F.lit(1)).alias("n")), 32).select("name", "bin", "n"),
         "set07_sources_excluded": lambda s, d: V.neurons_in_masks(nodes(s, d), M.dense(s, d), SIZE, N.largest_neurons(nodes(s, d), 40), nodes(s, d).where("type = 1").select("file_id")),
         "flt12_world_bounds": lambda s, d: V.world_bounds(M.dense(s, d), SIZE),

@@ -58,3 +58,14 @@ def test_squares_on_disk_give_the_same_merges(monkeypatch):
         square = clustering._square(40)
         square[:] = d
         assert isinstance(square, np.memmap) and (clustering.merged(square, method) == clustering.linkage(d, method)).all()
+
+
+def test_linkages_are_compared_in_a_task(spark, sf, no_driver):
+    df = catalogue.queries()["cl09_compared_linkages"](spark, sf)
+    no_driver()
+    _, r = brute(correlation.dense_pearson(correlation.voxel_counts(nodes(spark, sf), SIZE)))
+    d = clustering.distances(r)
+    want = clustering.compared_partitions(clustering.linkage(d, "average"), clustering.linkage(d, "ward"))
+    assert sorted(map(tuple, df.collect())) == [(k, pytest.approx(a, abs=1e-6), pytest.approx(b, abs=1e-6)) for k, a, b in want]
+    counts = spark.createDataFrame([("a", 0, 0, 0, 1)], "file_id string, i long, j long, k long, n long")
+    assert clustering.compare_linkages(counts).count() == 0
