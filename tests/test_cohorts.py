@@ -69,3 +69,10 @@ def test_linkages_are_compared_in_a_task(spark, sf, no_driver):
     assert sorted(map(tuple, df.collect())) == [(k, pytest.approx(a, abs=1e-6), pytest.approx(b, abs=1e-6)) for k, a, b in want]
     counts = spark.createDataFrame([("a", 0, 0, 0, 1)], "file_id string, i long, j long, k long, n long")
     assert clustering.compare_linkages(counts).count() == 0
+
+
+def test_clusters_are_ordered_without_the_driver(spark, sf, no_driver):
+    df = catalogue.queries()["exp01_ordered_clusters"](spark, sf)
+    no_driver()
+    want = catalogue.queries()["cl02_correlation_clusters"](spark, sf).collect()
+    assert sorted((r["leaf_order"], r["file_id"], r["cluster_assignment"]) for r in df.collect()) == sorted((leaf + 1, f, label) for f, label, leaf in want)
