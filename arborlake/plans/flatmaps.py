@@ -72,6 +72,11 @@ def _clustered(s, d):
     return CL.correlation_clusters(COR.voxel_counts(nodes(s, d), SIZE), 8)
 
 
+def _ordered_distances(s, d):
+    counts = written(COR.voxel_counts(nodes(s, d), SIZE))
+    return EX.cohort_distances(counts, CL.correlation_clusters(counts, 8))
+
+
 def _points_of_groups(s, d):
     """Points of the three largest groups."""
     points = M.points(s, d)
@@ -116,7 +121,7 @@ def queries() -> dict:
         "fm12_components": lambda s, d: _of_unions(s, d, RC.footprint_components),
         "exp01_ordered_clusters": lambda s, d: r(EX.ordered_clusters(nodes(s, d), _clustered(s, d)), "soma_x", "soma_y", "soma_z", digits=4),
         "snk17_extended": lambda s, d: EX.extended(t(s, d, "neurons"), labels(s, d)).select("file_id", "node_id", "cluster_assignment"),
-        "snk19_distances": lambda s, d: r(EX.ordered_distances(COR.dense_pearson(COR.voxel_counts(nodes(s, d), SIZE)), _clustered(s, d)), "distance"),
+        "snk19_distances": lambda s, d: r(_ordered_distances(s, d), "distance"),
         "snk21_projected_rows": lambda s, d: tables.projected_rows(nodes(s, d).select("file_id", "node_id", "parent_id", "type", "region_id")).select("file_id", "node_id", "parent_id", "type", "region_id", "x_flat", "allen_layer_label"),
         "cl09_mutual_information": lambda s, d: r(A.mutual_information(labels(s, d), labels(s, d, "name")), "nmi"),
         "cl09_compared_linkages": lambda s, d: r(CL.compare_linkages(COR.voxel_counts(nodes(s, d), SIZE)), "ari", "nmi"),

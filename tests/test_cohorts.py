@@ -2,8 +2,9 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from arborlake.operators import clustering, correlation
+from arborlake.operators import clustering, correlation, exports
 from arborlake.plans import catalogue
 from arborlake.plans.morphology import SIZE, nodes
 
@@ -76,3 +77,19 @@ def test_clusters_are_ordered_without_the_driver(spark, sf, no_driver):
     no_driver()
     want = catalogue.queries()["cl02_correlation_clusters"](spark, sf).collect()
     assert sorted((r["leaf_order"], r["file_id"], r["cluster_assignment"]) for r in df.collect()) == sorted((leaf + 1, f, label) for f, label, leaf in want)
+
+
+def test_distances_in_leaf_order_by_blocks(spark, sf, no_driver, monkeypatch):
+    df = catalogue.queries()["snk19_distances"](spark, sf)
+    no_driver()
+    counts = correlation.voxel_counts(nodes(spark, sf), SIZE)
+    result = clustering.correlation_clusters(counts, 8).localCheckpoint()
+    long_form = correlation.dense_pearson(counts)
+    want = {(r[0], r[1]): r[2] for r in exports.ordered_distances(long_form, result).collect()}
+    got = df.collect()
+    assert len(got) == len(want) == result.count() ** 2 and all(abs(r[2] - want[r[0], r[1]]) < 1e-6 for r in got)
+    # Several blocks; neurons without a place count in the correlation but have no row.
+    monkeypatch.setattr(exports, "PAIRS_A_BLOCK", 100)
+    some = result.withColumn("leaf", F.when(F.col("leaf") % 3 > 0, F.col("leaf")))
+    want = {(r[0], r[1]): r[2] for r in exports.ordered_distances(long_form, some).collect()}
+    assert {(r[0], r[1]): r[2] for r in exports.cohort_distances(counts, some).collect()} == want
