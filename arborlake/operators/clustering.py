@@ -14,8 +14,6 @@ from arborlake.operators.components import connected_components
 from arborlake.operators.correlation import Cohort, per_neuron
 from arborlake.runtime import arrow_schema, written
 
-#: Largest cohort whose distance matrix the driver holds (20,000² floats are 3.2 GB; the default stays far below).
-MOST_NEURONS = 5_000
 #: Fixed value: bytes from which a square lies in a file of the task's disk instead of its memory.
 IN_MEMORY = 200_000_000
 
@@ -81,6 +79,40 @@ def merged(d: np.ndarray, method: str = "average") -> np.ndarray:
     return _numbered(merges, n)
 
 
+def ward_of_points(c: np.ndarray) -> np.ndarray:
+    """Ward's ``linkage`` of points by the centres of clusters: no matrix, a chain's step takes one row of distances."""
+    n = m = len(c)
+    c, size, gone, low, own, chain, merges = np.array(c.T, float), np.ones(n), np.zeros(n), np.zeros(n), np.arange(n), [], []
+
+    def away(a: int) -> np.ndarray:
+        d = sum((v - v[a]) ** 2 for v in c) * (2 * size[a] * size / (size[a] + size)) + gone
+        d[a] = np.inf
+        return d
+
+    while len(merges) < n - 1:
+        if n - len(merges) <= m // 2:
+            kept = np.flatnonzero(gone == 0)
+            chain = np.searchsorted(kept, chain).tolist()
+            c, size, low, own, gone, m = c[:, kept], size[kept], low[kept], own[kept], np.zeros(len(kept)), len(kept)
+        if not chain:
+            chain = [int(np.argmin(gone))]
+        while True:
+            a = chain[-1]
+            d = away(a)
+            b = int(np.argmin(d))
+            if len(chain) > 1 and d[chain[-2]] <= d[b]:
+                b = chain[-2]
+                break
+            chain.append(b)
+        chain = chain[:-2]
+        # Rounding must not put a merge below those it joins.
+        low[b] = max(np.sqrt(d[b]), low[a], low[b])
+        merges.append((own[a], own[b], low[b]))
+        c[:, b] = (size[a] * c[:, a] + size[b] * c[:, b]) / (size[a] + size[b])
+        gone[a], size[b] = np.inf, size[a] + size[b]
+    return _numbered(merges, n)
+
+
 def _numbered(merges: list[tuple[int, int, float]], n: int) -> np.ndarray:
     """Merges of (member, member, height) as rows (a, b, height, size) in order of height."""
     merges.sort(key=lambda m: m[2])
@@ -202,14 +234,24 @@ def correlation_clusters(counts: DataFrame, k: int, method: str = "average", den
 
 
 def soma_clusters(somas: DataFrame, k: int, method: str = "ward") -> DataFrame:
-    """Hierarchical clusters of a cohort's soma coordinates (file_id, x, y, z)."""
-    got = somas.select("file_id", "x", "y", "z").orderBy("file_id").limit(MOST_NEURONS + 1).toPandas()
-    if not 2 <= len(got) <= MOST_NEURONS:
-        raise ValueError(f"clustering takes 2 to {MOST_NEURONS} somas, not {len(got)}")
-    c = got[["x", "y", "z"]].to_numpy()
-    merges = linkage(np.sqrt(((c[:, None] - c[None]) ** 2).sum(2)), method)
-    labels = cut(merges, k)
-    return somas.sparkSession.createDataFrame([(f, int(v)) for f, v in zip(got["file_id"], labels)], "file_id string, label int")
+    """Hierarchical clusters of a cohort's soma coordinates (file_id, x, y, z). Ward's method needs no matrix."""
+    somas = written(somas.select("file_id", "x", "y", "z"))
+    if somas.limit(2).count() < 2:
+        raise ValueError("clustering takes at least 2 somas")
+
+    def work(batches):
+        got = sorted(row for b in batches for row in zip(*(b.column(c).to_pylist() for c in ("file_id", "x", "y", "z"))))
+        c = np.array([row[1:] for row in got], float)
+        if method == "ward":
+            merges = ward_of_points(c)
+        else:
+            d = _square(len(c))
+            for a in range(len(c)):
+                d[a] = np.sqrt(((c - c[a]) ** 2).sum(1))
+            merges = merged(d, method)
+        return {"file_id": [row[0] for row in got], "label": cut(merges, k)}
+
+    return _one_task(somas, work, "file_id string, label int")
 
 
 def soma_kmeans(somas: DataFrame, k: int, starts: int = 10, seed: int = 42) -> DataFrame:

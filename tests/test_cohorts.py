@@ -93,3 +93,19 @@ def test_distances_in_leaf_order_by_blocks(spark, sf, no_driver, monkeypatch):
     some = result.withColumn("leaf", F.when(F.col("leaf") % 3 > 0, F.col("leaf")))
     want = {(r[0], r[1]): r[2] for r in exports.ordered_distances(long_form, some).collect()}
     assert {(r[0], r[1]): r[2] for r in exports.cohort_distances(counts, some).collect()} == want
+
+
+def test_ward_of_points_equals_the_matrix():
+    c = np.random.default_rng(8).normal(size=(300, 3))
+    merges, want = clustering.ward_of_points(c), clustering.linkage(np.sqrt(((c[:, None] - c[None]) ** 2).sum(2)), "ward")
+    assert np.allclose(merges, want) and (np.diff(merges[:, 2]) >= 0).all()
+
+
+@pytest.mark.parametrize("method", ["ward", "single"])
+def test_somas_of_any_number_are_clustered(spark, method):
+    n = 5_200
+    c = np.random.default_rng(9).normal(0, 1, (n, 3)) + np.repeat(np.arange(4), n // 4)[:, None] * 100
+    somas = spark.createDataFrame([(f"n{v:05}", *map(float, p)) for v, p in enumerate(c)], "file_id string, x double, y double, z double")
+    assert sorted(map(tuple, clustering.soma_clusters(somas, 4, method).collect())) == [(f"n{v:05}", 1 + v // (n // 4)) for v in range(n)]
+    with pytest.raises(ValueError):
+        clustering.soma_clusters(somas.limit(1), 4, method)
