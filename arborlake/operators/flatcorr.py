@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from arborlake.operators import clustering, correlation
 from arborlake.operators.flatmap import Grid, flat_bins
 from arborlake.operators.nodes import member
-from arborlake.runtime import is_number
+from arborlake.runtime import is_number, written
 
 #: Fixed value: largest grid that a correlation or heatmap may have.
 MOST_VOXELS = 100_000_000
@@ -81,7 +81,7 @@ def correlated(counts: DataFrame) -> DataFrame:
 def correlation_clusters(nodes: DataFrame, x: str, y: str, depth: str, k: int, grid: Grid, method: str = "average", sentinel: bool = True, collapse: bool = False, mask: DataFrame | None = None, files: list[str] | None = None) -> DataFrame:
     """From stored columns to clusters: file_id, label, leaf; unassigned files have nulls. Raises for fewer than two neurons."""
     cohort = member(nodes, "file_id", files)
-    counts = bin_counts(rendered(cohort, x, y, depth, grid, sentinel, collapse, mask))
+    counts = written(bin_counts(rendered(cohort, x, y, depth, grid, sentinel, collapse, mask)))
     n = counts.select("file_id").distinct().limit(2).count()
     if n < 2:
         raise ValueError("a correlation takes at least two neurons with rendered nodes")

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from arborlake.operators import clustering, correlation, exports
+from arborlake.operators import clustering, correlation, exports, flatcorr, flatmap
 from arborlake.plans import catalogue
 from arborlake.plans.morphology import SIZE, nodes
 
@@ -109,3 +109,12 @@ def test_somas_of_any_number_are_clustered(spark, method):
     assert sorted(map(tuple, clustering.soma_clusters(somas, 4, method).collect())) == [(f"n{v:05}", 1 + v // (n // 4)) for v in range(n)]
     with pytest.raises(ValueError):
         clustering.soma_clusters(somas.limit(1), 4, method)
+
+
+def test_flat_clusters_of_any_number_of_neurons(spark):
+    n = 5_100
+    flat = spark.range(n).select(F.format_string("n%05d", "id").alias("file_id"), *[(F.col("id") % 2 + 0.2).alias(c) for c in ("x", "y")], F.lit(10.0).alias("d"))
+    flat = flat.unionAll(flat.select("file_id", F.lit(1.9), F.lit(1.9), "d").where("file_id < 'n00100'"))
+    grid = flatmap.Grid((0.0, 2.0), (0.0, 2.0), 8, (0.0, 500.0), 100.0)
+    got = sorted(map(tuple, flatcorr.correlation_clusters(flat, "x", "y", "d", 2, grid).select("file_id", "label").collect()))
+    assert got == [(f"n{v:05}", 1 + v % 2) for v in range(n)]
